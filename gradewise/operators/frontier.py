@@ -54,7 +54,8 @@ def best_as_of(
     spine = (
         daily.groupBy(group)
         .agg(F.min("date").alias("_from"))
-        .withColumn("date", F.explode(F.filter(days, lambda d: d >= F.col("_from"))))
+        .withColumn("date", F.explode(days))
+        .filter(F.col("date") >= F.col("_from"))
         .drop("_from")
     )
     so_far = Window.partitionBy(group).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
