@@ -199,12 +199,12 @@ def retrieve_vector(
         F.col(question_id).cast("bigint").alias("question_id"),
         F.col(vector).alias("vector"),
         F.pmod(F.xxhash64(question_id), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("bigint").alias("_chunk"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("_chunk"),
     )
     right = corpus.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.col(vector).alias("vector"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("_block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"),
         F.pmod(F.xxhash64(doc_id), F.lit(chunks)).alias("_chunk"),
     )
     partial = (

@@ -132,7 +132,7 @@ def argument_problems(requests: DataFrame, declared: Mapping[str, ArgumentSet] =
         "problem", F.lit("not an allowed value")
     )
     malformed = (
-        typed.filter(F.col("pattern").isNotNull() & ~F.col("value").rlike(F.concat(F.lit("^("), F.col("pattern"), F.lit(r")$"))))
+        typed.filter(~F.rlike(F.col("value"), F.concat(F.lit("^("), F.col("pattern"), F.lit(")$"))))
         .select(given.columns)
         .withColumn("problem", F.lit("wrong type"))
     )
