@@ -39,13 +39,19 @@ def map_get(arguments: Column, key: str, default: str | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+# A quoted text is matched whole, so a constant inside it is never taken for one.
+_TOKENS = r"""('[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*")|\b(None|True|False)\b"""
+_CONSTANTS = {"None": "null", "True": "true", "False": "false"}
+_JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+
+
 def python_literal_to_json(text: Column) -> Column:
-    """Rewrite the quotes and constants of a dict literal. Text it cannot rewrite safely stays invalid JSON."""
-    # A double-quoted token is consumed whole, so single quotes inside it are left alone.
-    quoted = F.regexp_replace(text, r"'([^'\"\\]*)'|\"([^\"\\]*)\"", r'"$1$2"')
-    for name, constant in (("None", "null"), ("True", "true"), ("False", "false")):
-        quoted = F.regexp_replace(quoted, rf"(?<=[:,\[]\s?){name}(?=\s*[,}}\]])", constant)
-    return quoted
+    """Rewrite Python's constants; single quotes are left to the JSON reader, which accepts them."""
+    marked = F.regexp_replace(text, _TOKENS, "$1\u0001$2\u0002")
+    plain = F.replace(marked, F.lit("\u0001\u0002"), F.lit(""))
+    for name, constant in _CONSTANTS.items():
+        plain = F.replace(plain, F.lit(f"\u0001{name}\u0002"), F.lit(constant))
+    return F.when(text.rlike("None|True|False"), plain).otherwise(text)
 
 
 def _literal_json(text: str | None) -> str | None:
@@ -70,7 +76,7 @@ def parse_dict_literal(text: Column, python_fallback: bool = True) -> Column:
 
     Almost all text is read by built-in expressions; only what they reject is sent to Python, in Arrow batches.
     """
-    parsed = F.from_json(python_literal_to_json(text), MAP)
+    parsed = F.from_json(python_literal_to_json(text), MAP, _JSON_OPTIONS)
     if not python_fallback:
         return F.coalesce(parsed, empty_map())
     rejected = F.when(parsed.isNull() & text.isNotNull(), text)

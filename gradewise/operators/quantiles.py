@@ -7,8 +7,10 @@ cut that holds a wanted rank follows from at most a thousand counts per group; o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +21,15 @@ def _cut_points(df: DataFrame, value: str, cuts: int) -> list[float]:
     """At most `cuts` numbers on the driver. They only steer the work: any cut points give the same result."""
     shares = [i / cuts for i in range(1, cuts)]
     row = df.agg(F.percentile_approx(value, shares, 10 * cuts).alias("p")).first()
-    return sorted(set(row["p"] or []))
-
-
-def _cut_of(value: Column, points: Sequence[float]) -> Column:
-    """Number of cut points at or below the value, by bisection over a literal array."""
-    if not points:
-        return F.lit(0)
-    table = F.array(*[F.lit(float(p)) for p in points])
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(points).bit_length()))])
-    size = len(points)
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(
-            (found + step <= size) & (F.get(table, F.least(found + step, F.lit(size)) - 1) <= value), found + step
-        ).otherwise(found),
-    )
+    return sorted({p for p in row["p"] or [] if math.isfinite(p)})
+
+
+def _with_cut(data: DataFrame, points: Sequence[float]) -> DataFrame:
+    """Add `_cut`, the number of cut points at or below the value."""
+    if len(points) < 2:
+        return data.withColumn("_cut", F.lit(0.0))
+    splits = [-math.inf, *points, math.inf]
+    return Bucketizer(splits=splits, inputCol="_v", outputCol="_cut", handleInvalid="keep").transform(data)
 
 
 def group_quantiles(
@@ -45,7 +39,7 @@ def group_quantiles(
     data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     points = _cut_points(data, "_v", cuts)
     cells = (
-        data.withColumn("_cut", _cut_of(F.col("_v"), points))
+        _with_cut(data, points)
         .groupBy(*groups, "_cut", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -21,9 +21,8 @@ CORPUS_CHUNK = 16384
 
 
 def distinct_terms(text: Column) -> Column:
-    """Distinct lower-case words of at least three characters."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= MIN_TERM))
+    """Distinct lower-case words of at least three letters or digits."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{MIN_TERM},}}"), F.lit(0)))
 
 
 def postings(corpus: DataFrame, ident: str, text: str) -> DataFrame:
@@ -43,29 +42,49 @@ def document_frequency(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return index.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def key_terms(terms: DataFrame, frequency: DataFrame, n_terms: int = KEY_TERMS, existing: bool = False) -> DataFrame:
+def _rarest(terms: DataFrame, n_terms: int) -> DataFrame:
+    order = Window.partitionBy("question_id").orderBy("df", "term")
+    return terms.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_terms).drop("_r")
+
+
+def key_terms(terms: DataFrame, frequency: DataFrame, n_terms: int = KEY_TERMS) -> DataFrame:
     """The n rarest terms of each question: `(question_id, term, df)`.
 
-    A term that no document has is the rarest of all, so a question may end up without a hit; `existing` leaves
-    such terms out.
+    A term that no document has is the rarest of all, so a question may end up without a hit.
     """
-    joined = terms.join(frequency, "term", "inner" if existing else "left").withColumn(
-        "df", F.coalesce("df", F.lit(0)).cast("bigint")
+    known = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("bigint"))
+    return _rarest(known, n_terms).select("question_id", "term", "df")
+
+
+def search_terms(terms: DataFrame, frequency: DataFrame, n_terms: int = KEY_TERMS) -> DataFrame:
+    """Terms each question is searched by: `(question_id, term, df, search)`, only terms that documents have.
+
+    The first search uses the n rarest terms. It finds nothing exactly when no document has any of them, which the
+    frequencies already tell; then the second search takes the n rarest terms that do occur.
+    """
+    known = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("bigint"))
+    question = Window.partitionBy("question_id")
+    order = question.orderBy("df", "term")
+    placed = known.withColumns(
+        {
+            "_place": F.row_number().over(order),
+            "_missing": F.count_if(F.col("df") == 0).over(question),
+        }
     )
-    rarest = Window.partitionBy("question_id").orderBy("df", "term")
-    return (
-        joined.withColumn("_r", F.row_number().over(rarest))
-        .filter(F.col("_r") <= n_terms)
-        .select("question_id", "term", "df")
+    is_first = F.col("_missing") < n_terms
+    last = F.when(is_first, F.lit(n_terms)).otherwise(F.col("_missing") + n_terms)
+    return placed.filter((F.col("df") > 0) & (F.col("_place") <= last)).select(
+        "question_id", "term", "df", F.when(is_first, F.lit("first")).otherwise(F.lit("second")).alias("search")
     )
 
 
-def _first_docs_per_subset(index: DataFrame, common: DataFrame, k: int) -> DataFrame:
+def _first_docs_per_subset(holders: DataFrame, common: DataFrame, k: int) -> DataFrame:
     """Candidates for matches on common terms only: `(question_id, doc_id)`.
 
-    A document whose matched key terms are exactly the common terms S can only be among the best k if it is among
-    the k smallest ids of the documents that hold all of S: every other such document scores at least as much and
-    wins the tie. So k documents per *distinct* S are enough, whatever the number of questions that share it.
+    A document whose matched terms are exactly the common terms S can only be among the best k if it is among the k
+    smallest ids of the documents that hold all of S: every other such document scores at least as much and wins
+    the tie. So k documents per *distinct* S are enough, whatever the number of questions that share it. `holders`
+    has the postings of the common terms.
     """
     sets = common.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("df", "term"))).alias("_set"))
     size = F.size("_set")
@@ -77,8 +96,6 @@ def _first_docs_per_subset(index: DataFrame, common: DataFrame, k: int) -> DataF
     subsets = sets.select("question_id", F.explode(F.transform(masks, member)).alias("subset"))
     distinct_subsets = subsets.select("subset").distinct()
 
-    common_terms = common.select("term").distinct()
-    holders = index.join(common_terms, "term", "left_semi")
     documents = holders.groupBy("doc_id").agg(F.collect_set("term").alias("doc_terms"))  # at most the common terms
     first = Window.partitionBy("subset").orderBy("doc_id")
     best = (
@@ -95,26 +112,29 @@ def _first_docs_per_subset(index: DataFrame, common: DataFrame, k: int) -> DataF
 def rank_by_terms(
     index: DataFrame, keys: DataFrame, n_docs: Column, k: int = TOP_K, common_df: int = COMMON_DF
 ) -> DataFrame:
-    """Best k documents per question by the summed rarity of its key terms: `(question_id, doc_id, score, rank)`.
+    """Best k documents per question by the summed rarity of its terms: `(question_id, doc_id, score, rank)`.
 
-    Ties go to the smaller id. Terms in at most `common_df` documents propose all their documents; commoner terms
-    only propose what can still win, so the candidates per question are bounded although no document is ruled out.
+    `keys` is `(question_id, term, df)`. Ties go to the smaller id. Terms in at most `common_df` documents propose
+    all their documents; commoner terms only propose what can still win, so the candidates per question are bounded
+    although no document is ruled out.
     """
-    used = keys.filter(F.col("df") > 0)
-    rare = used.filter(F.col("df") <= common_df).select("question_id", "term")
-    common = used.filter(F.col("df") > common_df)
-    candidates = (
-        index.join(rare, "term")
-        .select("question_id", "doc_id")
-        .unionByName(_first_docs_per_subset(index, common, k))
-        .distinct()
-    )
-    weight = F.log((n_docs + 1) / F.col("df"))
-    wanted = candidates.join(used.withColumn("weight", weight), "question_id").select(
-        "question_id", "doc_id", "term", "weight"
+    keys = keys.withColumn("weight", F.log((n_docs + 1) / F.col("df")))
+    # Only the postings of searched terms are moved, spread by document: a frequent term is on all tasks. The branches
+    # below share this one exchange.
+    used = index.join(keys.select("term").distinct(), "term", "left_semi").repartition("doc_id")
+    rare = keys.filter(F.col("df") <= common_df)
+    common = keys.filter(F.col("df") > common_df)
+    holders = used.join(common.select("term").distinct(), "term", "left_semi")
+
+    rare_hits = used.join(rare, "term").select("question_id", "doc_id", "weight")
+    candidates = rare_hits.select("question_id", "doc_id").unionByName(_first_docs_per_subset(holders, common, k)).distinct()
+    common_hits = (
+        candidates.join(common.select("question_id", "term", "weight"), "question_id")
+        .join(holders, ["doc_id", "term"])
+        .select("question_id", "doc_id", "weight")
     )
     scored = (
-        wanted.join(index, ["doc_id", "term"])
+        rare_hits.unionByName(common_hits)
         .groupBy("question_id", "doc_id")
         .agg(F.round(F.sum("weight"), 6).alias("score"))
     )
@@ -136,17 +156,16 @@ def retrieve_lexical(
 ) -> DataFrame:
     """Two searches per question: its rarest terms first; where they find nothing, its rarest terms that occur.
 
-    Returns `(question_id, doc_id, score, rank, search)`; a question without any hit has no row.
+    Returns `(question_id, doc_id, score, rank, search)`; a question without any hit has no row. The corpus is read
+    twice, once for frequencies and once for the postings of the searched terms.
     """
     index = postings(corpus, doc_id, doc_text) if index is None else index
     terms = question_terms(questions, question_id, question_text)
     frequency = document_frequency(index, terms.select("term").distinct())
     n_docs = corpus.agg(F.count(F.lit(1))).scalar()
-
-    first = rank_by_terms(index, key_terms(terms, frequency, n_terms), n_docs, k, common_df)
-    unanswered = terms.join(first.select("question_id").distinct(), "question_id", "left_anti")
-    second = rank_by_terms(index, key_terms(unanswered, frequency, n_terms, existing=True), n_docs, k, common_df)
-    return first.withColumn("search", F.lit("first")).unionByName(second.withColumn("search", F.lit("second")))
+    keys = search_terms(terms, frequency, n_terms)
+    ranked = rank_by_terms(index, keys.drop("search"), n_docs, k, common_df)
+    return ranked.join(keys.select("question_id", "search").distinct(), "question_id")
 
 
 def _cell_top_k(k: int, exclude_self: bool) -> Callable:
