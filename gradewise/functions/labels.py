@@ -61,8 +61,8 @@ def exponent_label(value: Column) -> Column:
 def thousand_label(value: Column) -> Column:
     """`12k` from 1000 on, else the whole number."""
     return F.when(
-        value >= 1000, F.concat((value / 1000).cast("bigint").cast("string"), F.lit("k"))
-    ).otherwise(value.cast("bigint").cast("string"))
+        value >= 1000, F.concat((value / 1000).try_cast("bigint").cast("string"), F.lit("k"))
+    ).otherwise(value.try_cast("bigint").cast("string"))
 
 
 def alias_map(names: Mapping[str, str]) -> Column:

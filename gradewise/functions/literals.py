@@ -6,7 +6,7 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -83,6 +83,15 @@ def parse_dict_literal(text: Column, python_fallback: bool = True) -> Column:
     return F.coalesce(parsed, F.from_json(_literal_json_batch(rejected), MAP), empty_map())
 
 
+def with_parsed_args(df: DataFrame, column: str, into: str) -> DataFrame:
+    """`parse_dict_literal` as a step of its own: the built-in result is kept in a column and computed once."""
+    staged = df.withColumn(into, F.from_json(python_literal_to_json(F.col(column)), MAP, _JSON_OPTIONS))
+    rejected = F.when(F.col(into).isNull(), F.col(column))
+    return staged.withColumn(
+        into, F.coalesce(F.col(into), F.from_json(_literal_json_batch(rejected), MAP), empty_map())
+    )
+
+
 def canonical_value(value: Column) -> Column:
     """One spelling for a value: lists as JSON without blanks, constants in lower case."""
     is_list = value.rlike(r"^\s*\[")

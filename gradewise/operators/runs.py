@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewise.functions.labels import path_label
-from gradewise.functions.literals import args_text, canonical_args, parse_dict_literal
+from gradewise.functions.literals import args_text, canonical_args, with_parsed_args
 from gradewise.functions.measures import truncate_int
 
 GROUP_KEYS = ("inspect_model_name", "benchmark", "prompt_schema", "task_args")
@@ -47,7 +47,8 @@ def harmonize(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
 
 def with_canonical_args(runs: DataFrame) -> DataFrame:
     """One spelling per set of arguments, so that spelling does not split a group."""
-    return runs.withColumn("task_args", args_text(canonical_args(parse_dict_literal(F.col("task_args")))))
+    parsed = with_parsed_args(runs, "task_args", "_args")
+    return parsed.withColumn("task_args", args_text(canonical_args(F.col("_args")))).drop("_args")
 
 
 def summarize_runs(

@@ -532,10 +532,11 @@ def parse_dict_literal(t: Tables):
         F.concat(F.lit("{'note': 'it\\'s \"so\"', 'k': "), k, F.lit("}")),
         F.lit("not a dict"),
     )
-    given = literals.parse_dict_literal(F.get(forms, (F.col("event_id") % 6).cast("int")))
+    rows = t.events.select("event_id", F.get(forms, (F.col("event_id") % 6).cast("int")).alias("text"))
     added = F.create_map(F.lit("split"), F.lit("test"))
-    return t.events.select(
-        "event_id", _map_text(literals.canonical_args(literals.merge_maps(given, added))).alias("args")
+    merged = literals.merge_maps(F.col("args"), added)
+    return literals.with_parsed_args(rows, "text", "args").select(
+        "event_id", _map_text(literals.canonical_args(merged)).alias("args")
     )
 
 
