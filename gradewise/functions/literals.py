@@ -54,21 +54,23 @@ def python_literal_to_json(text: Column) -> Column:
     return F.when(text.rlike("None|True|False"), plain).otherwise(text)
 
 
-def _literal_json(text: str | None) -> str | None:
-    if text is None:
-        return None
-    try:
-        value = ast.literal_eval(text)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return None
-    if not isinstance(value, dict):
-        return None
-    return json.dumps({str(k): v for k, v in value.items()}, default=str)
+def _literal_reader():
+    """The Arrow function for text the JSON reader rejects.
 
+    It is defined inside a function so that it travels to the workers by value; they need not have this package.
+    """
+
+    def read(text):
+        try:
+            value = ast.literal_eval(text)
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
+            return None
+        return json.dumps({str(k): v for k, v in value.items()}, default=str) if isinstance(value, dict) else None
+
+    def read_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(read, na_action="ignore")
 
-@F.pandas_udf(StringType())
-def _literal_json_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(_literal_json, na_action="ignore")
+    return F.pandas_udf(read_batch, StringType())
 
 
 def parse_dict_literal(text: Column, python_fallback: bool = True) -> Column:
@@ -80,7 +82,7 @@ def parse_dict_literal(text: Column, python_fallback: bool = True) -> Column:
     if not python_fallback:
         return F.coalesce(parsed, empty_map())
     rejected = F.when(parsed.isNull() & text.isNotNull(), text)
-    return F.coalesce(parsed, F.from_json(_literal_json_batch(rejected), MAP), empty_map())
+    return F.coalesce(parsed, F.from_json(_literal_reader()(rejected), MAP), empty_map())
 
 
 def with_parsed_args(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -88,7 +90,7 @@ def with_parsed_args(df: DataFrame, column: str, into: str) -> DataFrame:
     staged = df.withColumn(into, F.from_json(python_literal_to_json(F.col(column)), MAP, _JSON_OPTIONS))
     rejected = F.when(F.col(into).isNull(), F.col(column))
     return staged.withColumn(
-        into, F.coalesce(F.col(into), F.from_json(_literal_json_batch(rejected), MAP), empty_map())
+        into, F.coalesce(F.col(into), F.from_json(_literal_reader()(rejected), MAP), empty_map())
     )
 
 

@@ -107,55 +107,50 @@ def augmented(context: Column, prompt: Column) -> Column:
     return F.concat(context, F.lit("\n\nQuestion:\n"), prompt)
 
 
-def last_turns(turns: DataFrame) -> DataFrame:
-    """Last turn of each conversation: `(conv_id, last_turn, last_role, last_text)`. Combined map-side."""
-    last = F.max_by(F.struct("turn", "role", "text"), F.col("turn"))
-    return (
-        turns.groupBy("conv_id")
-        .agg(last.alias("_last"))
-        .select(
-            "conv_id",
-            F.col("_last.turn").alias("last_turn"),
-            F.col("_last.role").alias("last_role"),
-            F.col("_last.text").alias("last_text"),
-        )
+def _edit_ends(turns: DataFrame, edits: DataFrame, new_text: Column) -> DataFrame:
+    """Put `new_text` at the end of the conversations in `edits`.
+
+    `new_text` may use the columns of the edit and `_role`, `_text` of the last turn. The last turn is found by a
+    narrow maximum; the join is on `(conv_id, turn)`, so a conversation with very many turns is spread over tasks, and
+    the row of the last turn gives either its replacement or itself and the appended message.
+    """
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    placed = edits.join(ends, "conv_id", "left").withColumns(
+        {"turn": F.coalesce("turn", F.lit(-1)), "_has_turns": F.col("turn").isNotNull(), "_edit": F.lit(True)}
+    )
+    last = turns.select("conv_id", "turn", F.col("role").alias("_role"), F.col("text").alias("_text"))
+    joined = last.join(placed.filter("_has_turns").drop("_has_turns"), ["conv_id", "turn"], "left")
+    is_user = F.col("_role") == "user"
+
+    def message(turn: Column, role: Column, text: Column) -> Column:
+        return F.struct(turn.cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
+
+    own = message(F.col("turn"), F.col("_role"), F.col("_text"))
+    messages = (
+        F.when(F.col("_edit").isNull(), F.array(own))
+        .when(is_user, F.array(message(F.col("turn"), F.col("_role"), new_text)))
+        .otherwise(F.array(own, message(F.col("turn") + 1, F.lit("user"), new_text)))
     )
+    edited = joined.select("conv_id", F.inline(messages))
+    absent = placed.filter(~F.col("_has_turns")).withColumns(
+        {"_role": F.lit(None).cast("string"), "_text": F.lit(None).cast("string")}
+    )
+    begun = absent.select("conv_id", F.inline(F.array(message(F.lit(0), F.lit("user"), new_text))))
+    return edited.unionByName(begun)
 
 
 def replace_or_append_turn(turns: DataFrame, edits: DataFrame) -> DataFrame:
     """Put `edits(conv_id, new_text)` at the end of conversations `turns(conv_id, turn, role, text)`.
 
-    A last message from the user gets the new text; otherwise a user message is appended. The join is on
-    `(conv_id, turn)`, so a conversation with very many turns does not land on one task.
+    A last message from the user gets the new text; otherwise a user message is appended.
     """
-    ends = turns.groupBy("conv_id").agg(
-        F.max("turn").alias("_last"), F.max_by("role", "turn").alias("_role")
-    )
-    placed = edits.join(ends, "conv_id", "left")
-    is_user = F.coalesce(F.col("_role") == "user", F.lit(False))
-    replaced = placed.filter(is_user).select("conv_id", F.col("_last").alias("turn"), "new_text")
-    appended = placed.filter(~is_user).select(
-        "conv_id",
-        (F.coalesce(F.col("_last"), F.lit(-1)) + 1).alias("turn"),
-        F.lit("user").alias("role"),
-        F.col("new_text").alias("text"),
-    )
-    kept = turns.join(replaced, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", F.coalesce("new_text", "text").alias("text")
-    )
-    return kept.unionByName(appended)
+    return _edit_ends(turns, edits, F.col("new_text"))
 
 
 def augment_turns(turns: DataFrame, contexts: DataFrame) -> DataFrame:
     """Put retrieved context before the last question of each conversation: `contexts(conv_id, context, query)`."""
-    ends = last_turns(turns)
-    edits = contexts.join(ends, "conv_id", "left").select(
-        "conv_id",
-        augmented(
-            F.col("context"), F.when(F.col("last_role") == "user", F.col("last_text")).otherwise(F.col("query"))
-        ).alias("new_text"),
-    )
-    return replace_or_append_turn(turns, edits)
+    asked = F.when(F.col("_role") == "user", F.col("_text")).otherwise(F.col("query"))
+    return _edit_ends(turns, contexts, augmented(F.col("context"), asked))
 
 
 def source_block(title: Column, url: Column, content: Column) -> Column:

@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one buffer. Here the value range is cut at
-about a thousand approximate quantiles of the whole column; counts per (group, cut, value) combine map-side; the
-cut that holds a wanted rank follows from at most a thousand counts per group; only those cuts are ranked.
+about a thousand approximate quantiles of the whole column. The cut that holds a wanted rank follows from at most a
+thousand counts per group, and only the rows of those cuts are moved, counted per value and ranked.
 """
 
 from __future__ import annotations
@@ -38,11 +38,7 @@ def group_quantiles(
     """Quantiles with linear interpolation per group: the groups, `n`, and an array `quantiles` in order of `shares`."""
     data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     points = _cut_points(data, "_v", cuts)
-    cells = (
-        _with_cut(data, points)
-        .groupBy(*groups, "_cut", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    tagged = _with_cut(data, points)
 
     ordered = Window.partitionBy(*groups).orderBy("_cut")
     wanted = F.array(*[F.lit(float(s)) for s in shares])
@@ -53,8 +49,8 @@ def group_quantiles(
         )
     )
     totals = (
-        cells.groupBy(*groups, "_cut")
-        .agg(F.sum("_n").alias("_rows"))
+        tagged.groupBy(*groups, "_cut")
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumns(
             {
                 "_start": F.sum("_rows").over(ordered) - F.col("_rows"),
@@ -69,7 +65,9 @@ def group_quantiles(
     )
     in_cut = Window.partitionBy(*groups, "_cut").orderBy("_v")
     hits = (
-        cells.join(totals, [*groups, "_cut"])
+        tagged.join(totals, [*groups, "_cut"])
+        .groupBy(*groups, "_cut", "_v", "_start", "_ranks", "n")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.col("_start") + F.sum("_n").over(in_cut))
         .withColumn(
             "_rank",

@@ -16,10 +16,21 @@ KEY_TERMS = 5
 TOP_K = 5
 COMMON_DF = 1000
 MIN_TERM = 3
+BROADCAST_ROWS = 500_000
 QUERY_BLOCK = 2048
 CORPUS_CHUNK = 16384
 
 
+def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Does the table have at most `rows` rows? Stops counting after that many."""
+    return table.limit(rows + 1).count() <= rows
+
+
+def _sent(table: DataFrame, small: bool) -> DataFrame:
+    """Broadcast when a check has bounded the size; otherwise leave the choice to Spark."""
+    return F.broadcast(table) if small else table
+
+
 def distinct_terms(text: Column) -> Column:
     """Distinct lower-case words of at least three letters or digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{MIN_TERM},}}"), F.lit(0)))
@@ -39,7 +50,7 @@ def question_terms(questions: DataFrame, ident: str, text: str) -> DataFrame:
 
 def document_frequency(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Documents per term, for the terms of the questions only."""
-    return index.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.join(_sent(vocabulary, is_small(vocabulary)), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _rarest(terms: DataFrame, n_terms: int) -> DataFrame:
@@ -110,23 +121,28 @@ def _first_docs_per_subset(holders: DataFrame, common: DataFrame, k: int) -> Dat
 
 
 def rank_by_terms(
-    index: DataFrame, keys: DataFrame, n_docs: Column, k: int = TOP_K, common_df: int = COMMON_DF
+    index: DataFrame,
+    keys: DataFrame,
+    n_docs: Column,
+    k: int = TOP_K,
+    common_df: int = COMMON_DF,
+    small: bool = False,
 ) -> DataFrame:
     """Best k documents per question by the summed rarity of its terms: `(question_id, doc_id, score, rank)`.
 
     `keys` is `(question_id, term, df)`. Ties go to the smaller id. Terms in at most `common_df` documents propose
     all their documents; commoner terms only propose what can still win, so the candidates per question are bounded
-    although no document is ruled out.
+    although no document is ruled out. `small` says that `keys` has been checked to fit a broadcast.
     """
     keys = keys.withColumn("weight", F.log((n_docs + 1) / F.col("df")))
     # Only the postings of searched terms are moved, spread by document: a frequent term is on all tasks. The branches
     # below share this one exchange.
-    used = index.join(keys.select("term").distinct(), "term", "left_semi").repartition("doc_id")
+    used = index.join(_sent(keys.select("term").distinct(), small), "term", "left_semi").repartition("doc_id")
     rare = keys.filter(F.col("df") <= common_df)
     common = keys.filter(F.col("df") > common_df)
-    holders = used.join(common.select("term").distinct(), "term", "left_semi")
+    holders = used.join(_sent(common.select("term").distinct(), small), "term", "left_semi")
 
-    rare_hits = used.join(rare, "term").select("question_id", "doc_id", "weight")
+    rare_hits = used.join(_sent(rare, small), "term").select("question_id", "doc_id", "weight")
     candidates = rare_hits.select("question_id", "doc_id").unionByName(_first_docs_per_subset(holders, common, k)).distinct()
     common_hits = (
         candidates.join(common.select("question_id", "term", "weight"), "question_id")
@@ -164,7 +180,9 @@ def retrieve_lexical(
     frequency = document_frequency(index, terms.select("term").distinct())
     n_docs = corpus.agg(F.count(F.lit(1))).scalar()
     keys = search_terms(terms, frequency, n_terms)
-    ranked = rank_by_terms(index, keys.drop("search"), n_docs, k, common_df)
+    # n_terms rows per question at most, so the number of questions bounds what is broadcast
+    small = is_small(questions, BROADCAST_ROWS // n_terms)
+    ranked = rank_by_terms(index, keys.drop("search"), n_docs, k, common_df, small)
     return ranked.join(keys.select("question_id", "search").distinct(), "question_id")
 
 
@@ -255,9 +273,13 @@ def contexts(
     block: Column | None = None,
     empty: str = fixed.NO_ARTICLES,
 ) -> DataFrame:
-    """Context text per question; a question without a hit gets the fixed text."""
+    """Context text per question; a question without a hit gets the fixed text.
+
+    With few questions the ranked ids are broadcast, so the corpus is filtered where it is read and never moved.
+    """
+    small = is_small(questions, BROADCAST_ROWS // 50)
     block = source_block(F.col("title"), F.col("url"), F.col("content")) if block is None else block
-    passages = ranked.join(corpus.withColumnRenamed(doc_id, "doc_id"), "doc_id")
+    passages = corpus.withColumnRenamed(doc_id, "doc_id").join(_sent(ranked, small), "doc_id")
     built = build_context(passages, "question_id", heading, block)
     return (
         questions.select(F.col(question_id).alias("question_id"))

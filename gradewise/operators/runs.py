@@ -56,13 +56,13 @@ def summarize_runs(
 ) -> DataFrame:
     """One row per group: mean and sample deviation of accuracy, mean tokens as integers, run count, facts.
 
-    Rows with a null key are dropped. One shuffle, combined map-side. The files of a group are a table of their own
-    (`run_files`): one cell per group could not hold them when a group is a third of all runs.
+    Rows with a null key are dropped. One shuffle of partial aggregates. The facts depend on model and benchmark only,
+    so they are grouped by as well: that splits nothing and keeps the aggregate in a hash table. The files of a group are a
+    table of their own (`run_files`): one cell could not hold them when a group is a third of all runs.
     """
     facts = [f for f in FACTS if f in runs.columns and (include_cost or f != "cost_source_date")]
-    order = "filename"
     aggregates = [
-        F.min_by("total_samples", order).alias("total_samples"),
+        F.min("total_samples").alias("total_samples"),
         (F.min("total_samples") != F.max("total_samples")).alias("mixed_samples"),
         F.avg("accuracy").alias("mean_accuracy"),
         F.stddev_samp("accuracy").alias("std_accuracy"),
@@ -72,14 +72,12 @@ def summarize_runs(
     ]
     if include_cost:
         aggregates.append(F.bround(F.sum("est_cost"), 2).alias("est_tot_cost"))
-    if facts:
-        aggregates.append(F.min_by(F.struct(*facts), F.col(order)).alias("_facts"))
-    summary = runs.dropna(subset=list(keys)).groupBy(*keys).agg(*aggregates)
+    summary = runs.dropna(subset=list(keys)).groupBy(*keys, *facts).agg(*aggregates)
     label = path_label(F.col("prompt_schema"), F.col("benchmark"), F.col("inspect_model_name"))
     return summary.select(
         label.alias("path"),
         *keys,
-        *[F.col(f"_facts.{f}").alias(f) for f in facts],
+        *facts,
         "total_samples",
         "mixed_samples",
         "mean_accuracy",

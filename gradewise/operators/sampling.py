@@ -1,7 +1,7 @@
 """Exact seeded sampling and few-shot example choice.
 
 Both rest on a digest order: `md5(seed|id)` is uniform, the same on every attempt, and its leading digits cut the data
-into buckets of even size. A rank over all rows is then a bucket offset (from at most 16^3 counts) plus a rank within
+into buckets of even size. A rank over all rows is then a bucket offset (from at most 16^4 counts) plus a rank within
 one small bucket, so no window ever spans the table.
 """
 
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from gradewise.operators.samples import SEED
 
-BUCKET_DIGITS = 3
-TOP_N_LIMIT = 10_000
+BUCKET_DIGITS = 4
+SLICE_DIGITS = 3
+TOP_N_LIMIT = 100
 
 
 def digest(key: Column, seed: int = SEED) -> Column:
@@ -41,31 +42,32 @@ def _offsets(counts: DataFrame, bucket: str, rows: str) -> DataFrame:
 def sample_exact(df: DataFrame, ident: str, n: int | None, seed: int = SEED) -> DataFrame:
     """Exactly `min(n, count)` rows without replacement; the input itself when `n` is unset or 0.
 
-    `ident` must be unique. Small n is a distributed top-n. For large n whole digest buckets are kept and only the
-    bucket in which the n-th row falls is ranked.
+    `ident` must be unique. Small n is a distributed top-n. For large n the n-th smallest digest is found from narrow
+    scans of the id; the rows are then one filter over the table, without a shuffle or a sort of them.
     """
     if not n:
         return df
     if n <= TOP_N_LIMIT:
         return df.orderBy(digest(F.col(ident), seed), F.col(ident)).limit(n)
-    return _sample_by_buckets(df, ident, n, seed)
+    place = F.struct(digest(F.col(ident), seed).alias("d"), F.col(ident).alias("i"))
+    last = _nth_place(df.select(place.alias("_place")), n)
+    return df.filter(last.isNull() | (place <= last))
 
 
-def _sample_by_buckets(df: DataFrame, ident: str, n: int, seed: int) -> DataFrame:
-    tagged = df.withColumn("_digest", digest(F.col(ident), seed)).withColumn(
-        "_bucket", F.substring("_digest", 1, BUCKET_DIGITS)
-    )
+def _nth_place(places: DataFrame, n: int) -> Column:
+    """The n-th smallest `_place` as a scalar; null when there are fewer rows. Only one bucket is ranked."""
+    tagged = places.withColumn("_bucket", F.substring("_place.d", 1, BUCKET_DIGITS))
     counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    starts = _offsets(counts, "_bucket", "_rows").filter(F.col("bucket_start") < n)
-    placed = tagged.join(F.broadcast(starts), "_bucket")
-    whole = F.col("bucket_start") + F.col("bucket_rows") <= n
-    in_bucket = Window.partitionBy("_bucket").orderBy("_digest", ident)
-    cut = (
-        placed.filter(~whole)
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .filter(F.col("bucket_start") + F.col("_rank") <= n)
+    start, rows = F.col("bucket_start"), F.col("bucket_rows")
+    cut = _offsets(counts, "_bucket", "_rows").filter((start < n) & (start + rows >= n))  # one row at most
+    in_bucket = Window.partitionBy("_bucket").orderBy("_place")
+    return (
+        tagged.join(F.broadcast(cut), "_bucket")
+        .withColumn("_rank", F.row_number().over(in_bucket) + start)
+        .filter(F.col("_rank") == n)
+        .agg(F.max("_place"))
+        .scalar()
     )
-    return placed.filter(whole).select(df.columns).unionByName(cut.select(df.columns))
 
 
 def example_ring(samples: DataFrame, ident: str = "id", text: str = "input", seed: int = SEED) -> DataFrame:
@@ -82,7 +84,7 @@ def example_ring(samples: DataFrame, ident: str = "id", text: str = "input", see
     ).withColumns(
         {
             "_bucket": F.substring("_text_digest", 1, BUCKET_DIGITS),
-            "_slice": F.substring("_id_digest", 1, BUCKET_DIGITS),
+            "_slice": F.substring("_id_digest", 1, SLICE_DIGITS),
         }
     )
     # one shuffle serves both the rank within a cell and the cell counts below (the exchange is reused)
@@ -95,7 +97,7 @@ def example_ring(samples: DataFrame, ident: str = "id", text: str = "input", see
     )
     cells = ranked.filter(F.col("_rank") == 1).select("_bucket", "_text_digest", "_slice", "_rows")
     buckets = cells.groupBy("_bucket").agg(F.sum("_rows").alias("_bucket_rows"))
-    # both at most 16^3 rows: the broadcast is bounded by BUCKET_DIGITS, not by the data
+    # at most 16^BUCKET_DIGITS rows: the broadcast does not grow with the data
     starts = F.broadcast(_offsets(buckets, "_bucket", "_bucket_rows"))
 
     by_bucket = Window.partitionBy("_bucket").orderBy("_text_digest", "_slice")

@@ -37,12 +37,22 @@ def enriched_runs(
     large_scale: str,
     include_cost: bool = False,
     random_baselines: dict[str, float] | None = None,
-    canonical: bool = False,
+    spelling: str = "literal",
 ) -> DataFrame:
+    """Run rows with model and benchmark facts.
+
+    `spelling` says when arguments of two runs are the same: `literal` text, `canonical` form, or `majority`, which
+    gives all runs of a model, benchmark and prompt schema their most frequent arguments.
+    """
     metadata = model_metadata(
         read_model_prices(spark, price_file), *read_model_metadata(spark, notable, large_scale)
     )
-    runs = with_canonical_args(runs) if canonical else runs
+    if spelling == "canonical":
+        runs = with_canonical_args(runs)
+    elif spelling == "majority":
+        runs = harmonize(runs, ["prompt_schema", "benchmark", "inspect_model_name"], ["task", "task_args"])
+    elif spelling != "literal":
+        raise ValueError(f"unknown spelling {spelling!r}")
     return enrich_runs(
         runs, metadata, baselines_table(spark, random_baselines), publication_dates(spark), include_cost
     )

@@ -582,9 +582,10 @@ def jsonl_stats(t: Tables):
     line = F.when(F.col("event_id") % 10 == 0, F.rtrim(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
     lines = t.events.select("event_type", line.alias("line"))
     rows = questions.parse_json_lines(lines, "line", "k bigint", keep=["event_type"])
-    good = questions.valid_lines(rows).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_valid"), F.sum("k").alias("total_k"))
-    bad = rows.groupBy("event_type").agg(F.count(questions.BAD_LINE).alias("n_invalid"))
-    return good.join(bad, "event_type")
+    bad = F.col(questions.BAD_LINE)
+    return rows.groupBy("event_type").agg(
+        F.count_if(bad.isNull()).alias("n_valid"), F.count(bad).alias("n_invalid"), F.sum("k").alias("total_k")
+    )
 
 
 # --- retrieval -------------------------------------------------------------------------------

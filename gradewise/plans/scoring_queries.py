@@ -43,7 +43,7 @@ runs AS (
 WITH {_EVENT_RUNS_SQL}
 SELECT prompt_schema || '/' || benchmark || '/' || split_part(inspect_model_name, '/', 2) AS path,
        inspect_model_name, benchmark, prompt_schema, task_args,
-       arg_min(total_samples, filename)::BIGINT AS total_samples,
+       min(total_samples)::BIGINT AS total_samples,
        min(total_samples) <> max(total_samples) AS mixed_samples,
        round(avg(accuracy), 6) AS mean_accuracy, round(stddev_samp(accuracy), 6) AS std_accuracy,
        trunc(avg(input_tokens))::BIGINT AS mean_input_tokens,

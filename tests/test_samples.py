@@ -79,10 +79,11 @@ def test_sample_exact(spark, n, monkeypatch):
     assert top == cut and len(top) == (min(n, 1000) if n else 1000) == len(set(top))
 
 
-@pytest.mark.parametrize("digits", [1, 3])
+@pytest.mark.parametrize("digits", [1, 4])
 @pytest.mark.parametrize("n_shot", [1, 3, 5])
 def test_fewshot_pairs_with_heavy_copies(spark, monkeypatch, n_shot, digits):
     monkeypatch.setattr(sampling, "BUCKET_DIGITS", digits)
+    monkeypatch.setattr(sampling, "SLICE_DIGITS", digits)
     generator = random.Random(7)
     texts = ["hot"] * 120 + [f"t{generator.randrange(90)}" for _ in range(180)]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, input string")

@@ -68,10 +68,11 @@ def test_no_run_files_is_an_error(spark, tmp_path):
         logs.read_runs(spark, str(tmp_path)).count()
 
 
-def test_summary_golden(spark, stored, tmp_path):
+@pytest.mark.parametrize("spelling", ["canonical", "majority"])
+def test_summary_golden(spark, stored, spelling):
     rows = evaluate.enriched_runs(
         spark, logs.read_runs(spark, str(stored)), str(stored / "models.tsv"), str(stored / "notable.csv"),
-        str(stored / "large.csv"), include_cost=True, canonical=True,
+        str(stored / "large.csv"), include_cost=True, spelling=spelling,
     )
     assert rows.columns == dims.RUN_COLUMNS
     summary = {r.prompt_schema: r for r in evaluate.summary_with_files(rows, include_cost=True).collect()}
