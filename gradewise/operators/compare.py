@@ -340,6 +340,25 @@ def multi_response_baseline(statement_count: Column) -> Column:
     return F.bround(F.avg(F.try_divide(F.lit(1.0), F.pow(F.lit(2.0), statement_count.cast("double")) - 1)), 3)
 
 
+def lab_bench_baselines(records: DataFrame) -> DataFrame:
+    """Random accuracy per subset of a question set with distractors: `(benchmark, random)`."""
+    name = F.concat(F.lit("lab-bench-"), F.lower("subset"))
+    return records.groupBy(name.alias("benchmark")).agg(random_baseline(F.size("distractors")).alias("random"))
+
+
+def statement_baselines(records: DataFrame) -> DataFrame:
+    """Random accuracy of the statement questions, text-only and all: `(benchmark, random)`."""
+    wide = records.select(
+        F.size("answer_statements").alias("n"),
+        F.explode(
+            F.when(F.col("image_file").isNull(), F.array(F.lit("vct"), F.lit("vct_images"))).otherwise(
+                F.array(F.lit("vct_images"))
+            )
+        ).alias("benchmark"),
+    )
+    return wide.groupBy("benchmark").agg(multi_response_baseline(F.col("n")).alias("random"))
+
+
 def array_length_stats(rows: DataFrame, column: str = "answer_statements") -> DataFrame:
     """Total, smallest and largest array size; a missing array counts as 0. No rows give nulls."""
     size = F.coalesce(F.array_size(F.col(column)), F.lit(0)).cast("bigint")

@@ -62,6 +62,21 @@ def with_benchmark_facts(runs: DataFrame, baselines: DataFrame, dates: DataFrame
     return runs.join(F.broadcast(baselines), "benchmark", "left").join(F.broadcast(dates), "benchmark", "left")
 
 
+def with_computed_random(baselines: DataFrame, computed: DataFrame) -> DataFrame:
+    """Fill missing random values from `computed(benchmark, random)`, as question sets give them."""
+    known = F.col("baselines")
+    filled = F.struct(
+        known["expert"].alias("expert"),
+        known["non_expert"].alias("non_expert"),
+        F.coalesce(known["random"], F.col("_random")).alias("random"),
+    )
+    return (
+        baselines.join(computed.select("benchmark", F.col("random").alias("_random")), "benchmark", "left")
+        .withColumn("baselines", filled)
+        .drop("_random")
+    )
+
+
 RUN_COLUMNS = [
     "inspect_model_name", "epoch_model_name", "epoch_model_publication_date", "epoch_organization",
     "epoch_parameters", "epoch_training_compute_flop", "benchmark", "benchmark_publication_date", "task_args",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradewise import fixed_values as fixed
 from gradewise.functions.literals import drop_keys, merge_settings
+from gradewise.operators.retrieval import RETRIEVERS
 from gradewise.operators.samples import MAPPERS
 
 CONTROL_KEYS = ("enabled", "runs")
@@ -153,6 +155,43 @@ def with_defaults(requests: DataFrame, declared: Mapping[str, ArgumentSet] = ARG
     )
 
 
+def _with_rewritten(arguments: Column, name: str, rewrite: Callable[[Column], Column]) -> Column:
+    return F.transform_values(arguments, lambda k, v: F.when(k == name, rewrite(v)).otherwise(v))
+
+
+def complete_arguments(requests: DataFrame, declared: Mapping[str, ArgumentSet] = ARGUMENTS) -> DataFrame:
+    """Arguments as a run uses them: defaults filled in, `all` or nothing expanded to the full list, values rewritten."""
+    rows = [
+        (b, {n: json.dumps(list(a.choices)) for n, a in group.arguments.items() if a.all_word or a.many})
+        for b, group in declared.items()
+    ]
+    lists = requests.sparkSession.createDataFrame(rows, "benchmark string, _lists map<string,string>")
+    full = with_defaults(requests, declared).join(F.broadcast(lists), "benchmark", "left")  # a row per declared set
+    listed = F.coalesce(F.col("_lists"), F.create_map().cast("map<string,string>"))
+    asked = F.transform_values(
+        "args", lambda k, v: F.when(v.isin("all", "[]", ""), F.coalesce(F.try_element_at(listed, k), v)).otherwise(v)
+    )
+    full = full.withColumn("args", merge_settings(listed, asked)).drop("_lists")
+    rewrites: Column | None = None
+    for benchmark, group in declared.items():
+        for name, argument in group.arguments.items():
+            if argument.rewrite is not None:
+                here = F.col("benchmark") == benchmark
+                changed = _with_rewritten(F.col("args"), name, argument.rewrite)
+                rewrites = F.when(here, changed) if rewrites is None else rewrites.when(here, changed)
+    return full if rewrites is None else full.withColumn("args", rewrites.otherwise(F.col("args")))
+
+
+def retriever_problems(models: DataFrame, known: Sequence[str] = tuple(RETRIEVERS)) -> DataFrame:
+    """Models whose enabled retrieval names no tool, or one that is not registered: `(model_key, tool, problem)`."""
+    rag = F.from_json("rag", "enabled boolean, tool string")
+    read = models.select("model_key", rag["enabled"].alias("enabled"), rag["tool"].alias("tool")).filter("enabled")
+    problem = F.when(F.col("tool").isNull(), F.lit("no tool")).when(
+        ~F.col("tool").isin(list(known)), F.lit("unknown tool")
+    )
+    return read.select("model_key", "tool", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
 def known_benchmarks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n in MAPPERS], "benchmark string")
 

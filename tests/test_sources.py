@@ -210,5 +210,30 @@ def test_argument_checks(spark):
         ("vct", "mode", "xx", "not an allowed value"), ("vct", "samples", "ten", "wrong type"),
     }
     full = {r.benchmark: r.args for r in validate.with_defaults(requests).collect()}
+    done = {r.benchmark: r.args for r in validate.complete_arguments(requests).collect()}
+    assert json.loads(done["mmlu_pro"]["subtasks"])[:2] == ["biology", "medicine"] and len(json.loads(done["mmlu_pro"]["subtasks"])) == 15
+    assert done["gpqa"]["subtasks"] == '["Biology","Alchemy"]' and done["wmdp"]["cot"] == "true" and done["vct"]["cot"] == "false"
     assert full["gpqa"]["split"] == "train" and full["gpqa"]["n_shot"] == "5" and full["vct"]["subtasks"] == "all"
     assert F is not None
+
+
+def test_retriever_checks(spark):
+    rows = [("a", '{"enabled": true, "tool": "web"}'), ("b", '{"enabled": false, "tool": "web"}'), ("c", '{"enabled": true}'),
+            ("d", '{"enabled": true, "tool": "lexical"}'), ("e", None)]
+    got = validate.retriever_problems(spark.createDataFrame(rows, "model_key string, rag string")).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "web", "unknown tool"), ("c", None, "no tool")]
+
+
+def test_baselines_from_question_sets(spark):
+    lab = spark.createDataFrame(
+        [("LitQA2", ["a"]), ("LitQA2", ["a", "b", "c"]), ("ProtocolQA", ["a"])], "subset string, distractors array<string>"
+    )
+    vct = spark.createDataFrame(
+        [([1], None), ([1, 2], None), ([1, 2, 3], "i.png")], "answer_statements array<int>, image_file string"
+    )
+    computed = compare.lab_bench_baselines(lab).unionByName(compare.statement_baselines(vct))
+    table = dims.with_computed_random(dimensions.baselines_table(spark), computed)
+    got = {r.benchmark: r.baselines for r in table.collect()}
+    assert got["lab-bench-litqa2"].random == 0.375 and got["lab-bench-protocolqa"].random == 0.5
+    assert got["vct_images"].random == 0.492 and got["vct"].random == 0.667 and got["gpqa"].random == 0.25
+    assert got["lab-bench-cloningscenarios"].random is None and got["lab-bench-litqa2"].expert == 0.7
