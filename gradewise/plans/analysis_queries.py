@@ -231,7 +231,7 @@ def _reasoning_rows(t: Tables):
         F.lit("{'reasoning_tokens': "), tokens, F.lit(", 'reasoning_effort': "),
         F.when(k % 4 == 0, F.lit("None")).otherwise(F.concat(F.lit("'"), effort, F.lit("'"))), F.lit("}"),
     )
-    return t.events.select(
+    rows = t.events.select(
         (F.col("user_id") % 3).cast("string").alias("benchmark"),
         model.alias("inspect_model_name"),
         task_args.alias("task_args"),
@@ -240,8 +240,8 @@ def _reasoning_rows(t: Tables):
         F.col("event_id").alias("mean_output_tokens"),
         (F.col("user_id") + 1).alias("total_samples"),
         F.col("event_id").alias("row_id"),
-        parse_dict_literal(task_args, python_fallback=False).alias("task_args_map"),
     )
+    return rows.withColumn("task_args_map", parse_dict_literal(F.col("task_args"), python_fallback=False))
 
 
 @query(
