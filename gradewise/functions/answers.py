@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The two answer patterns.
 # Flags: i ignore case, m line anchors, d only "\n" ends a line, U Unicode classes.
 STRICT_ANSWER = r"(?imdU)^ANSWER\s*:\s*([A-Za-z ,]+)\s*(?:$|\n)"
 LOOSE_ANSWER = r"(?idU)ANSWER\s*:\s*([A-Za-z ,]+)(?:[^\w]|\n|$)"

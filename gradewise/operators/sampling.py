@@ -144,7 +144,7 @@ def fewshot_pairs(
     wanted = (
         ring.withColumn("available", available)
         .filter(F.col("available") > 0)
-        .withColumn("rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(n_shot), F.col("available").cast("int")))))
+        .withColumn("rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(n_shot).cast("bigint"), "available").cast("int"))))
         .select(
             ident,
             "rank",
