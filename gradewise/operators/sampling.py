@@ -81,12 +81,7 @@ def example_ring(samples: DataFrame, ident: str = "id", text: str = "input", see
         F.col(ident).alias("_id"),
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(text))).alias("_text_digest"),
         digest(F.col(ident), seed).alias("_id_digest"),
-    ).withColumns(
-        {
-            "_bucket": F.substring("_text_digest", 1, BUCKET_DIGITS),
-            "_slice": F.substring("_id_digest", 1, SLICE_DIGITS),
-        }
-    )
+    ).withColumn("_slice", F.substring("_id_digest", 1, SLICE_DIGITS))
     # one shuffle serves both the rank within a cell and the cell counts below (the exchange is reused)
     cell = Window.partitionBy("_text_digest", "_slice")
     ranked = keyed.withColumns(
@@ -95,7 +90,9 @@ def example_ring(samples: DataFrame, ident: str = "id", text: str = "input", see
             "_rows": F.count(F.lit(1)).over(cell),
         }
     )
-    cells = ranked.filter(F.col("_rank") == 1).select("_bucket", "_text_digest", "_slice", "_rows")
+    cells = ranked.filter(F.col("_rank") == 1).select(
+        F.substring("_text_digest", 1, BUCKET_DIGITS).alias("_bucket"), "_text_digest", "_slice", "_rows"
+    )
     buckets = cells.groupBy("_bucket").agg(F.sum("_rows").alias("_bucket_rows"))
     # at most 16^BUCKET_DIGITS rows: the broadcast does not grow with the data
     starts = F.broadcast(_offsets(buckets, "_bucket", "_bucket_rows"))

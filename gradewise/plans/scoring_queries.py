@@ -275,6 +275,43 @@ def token_cost(t: Tables):
     )
 
 
+@query(
+    "summary_cost",
+    """
+WITH r AS (
+  SELECT p_brand AS inspect_model_name, l_linestatus AS benchmark, l_returnflag AS prompt_schema,
+         CASE WHEN p_type = 'PROMO' THEN 0
+              ELSE round_even(p_retailprice / 1000000 * (l_quantity * 1000) + 10.01::DOUBLE / 1000000 * (2 * l_linenumber + 1), 2) END AS est_cost
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT inspect_model_name, benchmark, prompt_schema, round(sum(est_cost), 2) AS est_tot_cost, count(*)::BIGINT AS num_runs
+FROM r GROUP BY ALL
+""",
+)
+def summary_cost(t: Tables):
+    """Lines as runs of a brand, with price texts; promotional parts lack a price. Each run's cost is rounded, then summed.
+
+    The odd token and price numbers keep every cost away from a rounding tie.
+    """
+    facts = t.part.select(
+        F.col("p_partkey").alias("l_partkey"),
+        F.col("p_brand").alias("inspect_model_name"),
+        F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("input_cost_per_M_tokens"),
+        F.when(F.col("p_type") != "PROMO", F.lit("$10.01")).alias("output_cost_per_M_tokens"),
+    )
+    lines = t.lineitem.select(
+        "l_partkey",
+        F.col("l_linestatus").alias("benchmark"),
+        F.col("l_returnflag").alias("prompt_schema"),
+        F.lit("{}").alias("task_args"),
+        F.lit(1).alias("total_samples"),
+        F.col("l_discount").alias("accuracy"),
+        (F.col("l_quantity") * 1000).alias("input_tokens"),
+        (F.col("l_linenumber") * 2 + 1).alias("output_tokens"),
+    )
+    summary = runs.summarize_runs(costing.with_run_cost(lines.join(facts, "l_partkey")), include_cost=True)
+    return summary.select("inspect_model_name", "benchmark", "prompt_schema", F.round("est_tot_cost", 2).alias("est_tot_cost"), "num_runs")
+
+
 @query(
     "cost_rollup",
     """
