@@ -88,21 +88,22 @@ def samples_gpqa(records: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def _content_id() -> Column:
-    """These sources carry no id: use a digest of question and choices."""
-    return F.md5(F.concat_ws("|", F.col("question"), F.array_join("choices", "|")))
+def _content_id(records: DataFrame) -> Column:
+    """These sources carry no id: a digest of question and choices, and of the stored place where it is known."""
+    place = [F.col("_row_key")] if "_row_key" in records.columns else []
+    return F.md5(F.concat_ws("|", F.col("question"), F.array_join("choices", "|"), *place))
 
 
 def samples_mmlu(records: DataFrame) -> DataFrame:
     return _sample(
-        records, "mmlu", _content_id(), F.col("question"), F.array(letter(F.col("answer"))), F.col("choices"),
+        records, "mmlu", _content_id(records), F.col("question"), F.array(letter(F.col("answer"))), F.col("choices"),
         {"subject": _blank("subject")},
     )
 
 
 def samples_wmdp(records: DataFrame) -> DataFrame:
     return _sample(
-        records, "wmdp", _content_id(), F.col("question"), F.array(letter(F.col("answer"))), F.col("choices"), {}
+        records, "wmdp", _content_id(records), F.col("question"), F.array(letter(F.col("answer"))), F.col("choices"), {}
     )
 
 

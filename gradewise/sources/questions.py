@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradewise import schemas
 
 BAD_LINE = "_bad_line"
+ROW_KEY = "_row_key"
 
 
 def read_question_set(
@@ -17,10 +18,16 @@ def read_question_set(
 ) -> DataFrame:
     """Rows of a question set stored as `<root>/subset=<name>/split=<name>/*.parquet`.
 
-    Both filters are on partition columns, so only the wanted directories are read.
+    Both filters are on partition columns, so only the wanted directories are read. `_row_key` is the place of a row
+    in the stored set, for sources that have no id of their own.
     """
     schema = f"{schemas.QUESTION_SETS[benchmark]}, subset string, split string"
-    rows = spark.read.schema(schema).parquet(root)
+    place = F.concat_ws(
+        ":",
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+/[^/]+)$", 1),
+        F.col("_metadata.row_index").cast("string"),
+    )
+    rows = spark.read.schema(schema).parquet(root).select("*", place.alias(ROW_KEY))
     if subsets is not None:
         rows = rows.filter(F.col("subset").isin(list(subsets)))
     if split is not None:

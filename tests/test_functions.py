@@ -1,5 +1,7 @@
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,22 @@ def test_extract_answer_probes(spark):
     assert [g[0] for g in got] == [want for _, want in PROBES]
 
 
+def test_extract_answer_agrees_with_python_on_random_text(spark):
+    generator = random.Random(1)
+    pieces = ["ANSWER", "answer", ":", " ", "\n", "A", "C", ",", "b", "$", "é", ".", "\r", "\t", "\u2028", "*", " : ", "\u00a0", "1"]
+    texts = ["".join(generator.choices(pieces, k=generator.randrange(1, 25))) for _ in range(3000)]
+
+    def python(text):
+        found = re.search(answers.STRICT_ANSWER.replace("(?imdU)", "(?i)"), text, re.MULTILINE)
+        found = found or re.search(answers.LOOSE_ANSWER.replace("(?idU)", "(?i)"), text)
+        return found.group(1).strip().upper() if found else None
+
+    got = values(spark, [(t,) for t in texts], "c string", x=answers.extract_answer(F.col("c")))
+    wrong = [(t, g[0], python(t)) for t, g in zip(texts, got) if g[0] != python(t)]
+    assert not wrong
+    assert sum(g[0] is not None for g in got) > 100
+
+
 @pytest.mark.parametrize(
     "answer,right,lenient",
     [("C, A", True, True), ("CA", True, True), ("A C", False, True), ("A", False, False), ("A,,C", False, False), ("", False, False)],

@@ -147,6 +147,37 @@ def test_question_set_pruning(spark, tmp_path):
     assert prepare.prepare_samples(spark, root, "mmlu", subset="all", split="test", samples=2).count() == 2
 
 
+def test_copies_in_a_question_set_keep_their_own_ids(spark, tmp_path, monkeypatch):
+    from gradewise.operators import sampling
+
+    root = str(tmp_path / "mmlu")
+    rows = [("same", ["a", "b"], 1, "s", "virology", "test")] * 50 + [(f"q{i}", ["a", "b"], 0, "s", "anatomy", "test") for i in range(50)]
+    spark.createDataFrame(rows, f"{schemas.MMLU}, subset string, split string").write.partitionBy("subset", "split").parquet(root)
+    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 0)
+    for n in (1, 33, 70):
+        got = prepare.prepare_samples(spark, root, "mmlu", split="test", samples=n)
+        assert got.count() == n == got.select("id").distinct().count()
+
+
+def test_preparation_by_subtask_and_mode(spark, tmp_path):
+    root = str(tmp_path / "gpqa")
+    rows = [(f"r{i}", f"q{i}", "a", "b", "c", "d", "Biology" if i % 2 else "Physics", "", "", "", "", "", "gpqa_main", "train") for i in range(20)]
+    spark.createDataFrame(rows, f"{schemas.GPQA}, subset string, split string").write.partitionBy("subset", "split").parquet(root)
+    bio = prepare.prepare_samples(spark, root, "gpqa", subset="gpqa_main", subtasks="Biology", split="train")
+    assert bio.count() == 10
+    done = prepare.prepare_prompts(bio, n_shot=3)
+    assert done.count() == 10 and {r.prompt.count("ANSWER: ") for r in done.collect()} == {4}
+    pro = str(tmp_path / "pro")
+    spark.createDataFrame([(1, "q", ["x"], "A", "Biology", "", "", None, "test")], f"{schemas.MMLU_PRO}, subset string, split string").write.partitionBy("subset", "split").parquet(pro)
+    assert prepare.prepare_samples(spark, pro, "mmlu_pro", subtasks="biology", split="test").count() == 1
+    with pytest.raises(ValueError, match="no samples"):
+        prepare.prepare_samples(spark, pro, "mmlu_pro", subtasks="law", split="test")
+    record = {"question_id": "1", "question": "Q", "image_file": None, "answer_statements": [{"statement": "s", "is_correct": True}]}
+    (tmp_path / "v.jsonl").write_text("\n".join(json.dumps({**record, "image_file": f}) for f in (None, "i.png")))
+    vct = prepare.prepare_samples(spark, str(tmp_path / "v.jsonl"), "vct", subtasks="no_images", mode="mr")
+    assert [r.target for r in vct.collect()] == [["A"]]
+
+
 def test_articles(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version='1'>11</PMID><Article><ArticleTitle>One</ArticleTitle>"
