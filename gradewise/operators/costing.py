@@ -14,13 +14,14 @@ from gradewise.functions.pricing import (
     token_cost,
     token_cost_rounded,
 )
+from gradewise.operators.sizes import dimension
 
 
 def with_token_cost(usage: DataFrame, prices: DataFrame, model: str = "inspect_model_name") -> DataFrame:
     """Price `usage(model, input_tokens, output_tokens)`: adds `cost` and `cost_method`; unknown models cost 0.
 
-    `prices` has one row per model, so the join cannot multiply rows. It carries no broadcast hint: Spark
-    broadcasts it when it is small and splits a frequent model's rows when it is not.
+    `prices` has one row per model, so the join cannot multiply rows. It is broadcast after a check of its size; beyond
+    that Spark joins by shuffle and splits the rows of a frequent model.
     """
     table = prices.select(
         F.col("inspect_model_name").alias(model),
@@ -29,7 +30,7 @@ def with_token_cost(usage: DataFrame, prices: DataFrame, model: str = "inspect_m
         price_from_digits(F.col("cost_per_M_tokens")).alias("_both"),
         F.lit(True).alias("_known"),
     )
-    priced = usage.join(table, model, "left")
+    priced = usage.join(dimension(table), model, "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     return priced.withColumns(
         {

@@ -11,26 +11,16 @@ from pyspark.sql import functions as F
 
 from gradewise import fixed_values as fixed
 from gradewise.operators.prompts import build_context, source_block
+from gradewise.operators.sizes import BROADCAST_ROWS, is_small, sent_if
 
 KEY_TERMS = 5
 TOP_K = 5
 COMMON_DF = 1000
 MIN_TERM = 3
-BROADCAST_ROWS = 500_000
 QUERY_BLOCK = 2048
 CORPUS_CHUNK = 16384
 
 
-def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Does the table have at most `rows` rows? Stops counting after that many."""
-    return table.limit(rows + 1).count() <= rows
-
-
-def _sent(table: DataFrame, small: bool) -> DataFrame:
-    """Broadcast when a check has bounded the size; otherwise leave the choice to Spark."""
-    return F.broadcast(table) if small else table
-
-
 def distinct_terms(text: Column) -> Column:
     """Distinct lower-case words of at least three letters or digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{MIN_TERM},}}"), F.lit(0)))
@@ -50,7 +40,7 @@ def question_terms(questions: DataFrame, ident: str, text: str) -> DataFrame:
 
 def document_frequency(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Documents per term, for the terms of the questions only."""
-    return index.join(_sent(vocabulary, is_small(vocabulary)), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.join(sent_if(vocabulary, is_small(vocabulary)), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _rarest(terms: DataFrame, n_terms: int) -> DataFrame:
@@ -137,12 +127,12 @@ def rank_by_terms(
     keys = keys.withColumn("weight", F.log((n_docs + 1) / F.col("df")))
     # Only the postings of searched terms are moved, spread by document: a frequent term is on all tasks. The branches
     # below share this one exchange.
-    used = index.join(_sent(keys.select("term").distinct(), small), "term", "left_semi").repartition("doc_id")
+    used = index.join(sent_if(keys.select("term").distinct(), small), "term", "left_semi").repartition("doc_id")
     rare = keys.filter(F.col("df") <= common_df)
     common = keys.filter(F.col("df") > common_df)
-    holders = used.join(_sent(common.select("term").distinct(), small), "term", "left_semi")
+    holders = used.join(sent_if(common.select("term").distinct(), small), "term", "left_semi")
 
-    rare_hits = used.join(_sent(rare, small), "term").select("question_id", "doc_id", "weight")
+    rare_hits = used.join(sent_if(rare, small), "term").select("question_id", "doc_id", "weight")
     candidates = rare_hits.select("question_id", "doc_id").unionByName(_first_docs_per_subset(holders, common, k)).distinct()
     common_hits = (
         candidates.join(common.select("question_id", "term", "weight"), "question_id")
@@ -272,14 +262,16 @@ def contexts(
     heading: str = "Context from search:",
     block: Column | None = None,
     empty: str = fixed.NO_ARTICLES,
+    k: int = TOP_K,
 ) -> DataFrame:
     """Context text per question; a question without a hit gets the fixed text.
 
-    With few questions the ranked ids are broadcast, so the corpus is filtered where it is read and never moved.
+    `ranked` has at most `k` rows per question. With few questions it is broadcast, so the corpus is filtered where it
+    is read and never moved.
     """
-    small = is_small(questions, BROADCAST_ROWS // 50)
+    small = is_small(questions, BROADCAST_ROWS // k)
     block = source_block(F.col("title"), F.col("url"), F.col("content")) if block is None else block
-    passages = corpus.withColumnRenamed(doc_id, "doc_id").join(_sent(ranked, small), "doc_id")
+    passages = corpus.withColumnRenamed(doc_id, "doc_id").join(sent_if(ranked, small), "doc_id")
     built = build_context(passages, "question_id", heading, block)
     return (
         questions.select(F.col(question_id).alias("question_id"))

@@ -13,6 +13,7 @@ from gradewise import fixed_values as fixed
 from gradewise.functions.literals import drop_keys, merge_settings
 from gradewise.operators.retrieval import RETRIEVERS
 from gradewise.operators.samples import MAPPERS
+from gradewise.operators.sizes import is_small
 
 CONTROL_KEYS = ("enabled", "runs")
 MATRIX_LIMIT = 10_000
@@ -209,7 +210,7 @@ def run_matrix(benchmarks: DataFrame, models: DataFrame, limit: int = MATRIX_LIM
     value, checked against `limit`, and unfolded per benchmark. `benchmarks(benchmark, runs, args)` may be a table
     of any size.
     """
-    if models.limit(limit + 1).count() > limit:
+    if not is_small(models, limit):
         raise ValueError(f"more than {limit} models in one configuration")
     entries = models.agg(
         F.sort_array(
