@@ -18,7 +18,7 @@ TOP_K = 5
 COMMON_DF = 1000
 MIN_TERM = 3
 QUERY_BLOCK = 2048
-CORPUS_CHUNK = 16384
+CORPUS_CHUNK = 8192
 
 
 def distinct_terms(text: Column) -> Column:
@@ -176,29 +176,42 @@ def retrieve_lexical(
     return ranked.join(keys.select("question_id", "search").distinct(), "question_id")
 
 
-def _cell_top_k(k: int, exclude_self: bool) -> Callable:
-    def best(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        columns = ["question_id", "doc_id", "score"]
-        if queries.empty or chunk.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype(
-                {"question_id": "int64", "doc_id": "int64", "score": "float64"}
-            )
-        left = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        right = np.stack(chunk["vector"].to_numpy()).astype(np.float64)
-        query_ids = queries["question_id"].to_numpy()
-        order = np.argsort(chunk["doc_id"].to_numpy(), kind="stable")
-        doc_ids = chunk["doc_id"].to_numpy()[order]
-        scores = left @ right[order].T
+def _cell_top_k(k: int, exclude_self: bool, rows_at_once: int = 256) -> Callable:
+    """Best k documents of one corpus chunk for each question of one block. A small part of the product is held at a time."""
+
+    def best_of_part(query_ids, left, doc_ids, right):
+        scores = left @ right.T
         if exclude_self:
             scores[query_ids[:, None] == doc_ids[None, :]] = -np.inf
-        # stable: equal scores keep the smaller id first
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(query_ids)), top.shape[1])
-        picked = top.ravel()
-        out = pd.DataFrame(
-            {"question_id": query_ids[rows], "doc_id": doc_ids[picked], "score": scores[rows, picked]}
+        width = scores.shape[1]
+        # the k-th highest score of each row; everything at or above it is a candidate, ties included
+        lowest = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.full(len(scores), -np.inf)
+        rows, columns = np.nonzero((scores >= lowest[:, None]) & np.isfinite(scores))
+        found = scores[rows, columns]
+        order = np.lexsort((columns, -found, rows))  # documents are in id order, so equal scores keep the smaller id
+        rows, columns, found = rows[order], columns[order], found[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return query_ids[rows[kept]], doc_ids[columns[kept]], found[kept]
+
+    def best(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(queries) and len(chunk):
+            chunk = chunk.sort_values("doc_id")
+            doc_ids = chunk["doc_id"].to_numpy()
+            right = np.stack(chunk["vector"].to_numpy()).astype(np.float64)
+            query_ids = queries["question_id"].to_numpy()
+            left = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+            for start in range(0, len(query_ids), rows_at_once):
+                part = slice(start, start + rows_at_once)
+                parts.append(best_of_part(query_ids[part], left[part], doc_ids, right))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[], [], []]
+        return pd.DataFrame(
+            {
+                "question_id": np.asarray(columns[0], dtype=np.int64),
+                "doc_id": np.asarray(columns[1], dtype=np.int64),
+                "score": np.asarray(columns[2], dtype=np.float64),
+            }
         )
-        return out[np.isfinite(out["score"])]
 
     return best
 
