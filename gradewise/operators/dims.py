@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gradewise import fixed_values as fixed
@@ -155,3 +155,17 @@ def split_rejects(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that pass and rows that do not, for a report of what was dropped. A null condition is a reject."""
     passed = F.coalesce(keep, F.lit(False))
     return df.filter(passed), df.filter(~passed)
+
+
+def filter_observed(df: DataFrame, keep: Column, name: str = "filter") -> tuple[DataFrame, Observation]:
+    """Rows that pass, and an observation with `rows_in` and `rows_dropped` once an action has run.
+
+    Counting rides on the same pass over the data. It keeps the condition out of the scan, so use a plain filter where
+    the count is not wanted.
+    """
+    passed = F.coalesce(keep, F.lit(False))
+    observation = Observation(name)
+    counted = df.observe(
+        observation, F.count(F.lit(1)).alias("rows_in"), F.count_if(~passed).alias("rows_dropped")
+    )
+    return counted.filter(passed), observation

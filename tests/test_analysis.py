@@ -148,6 +148,8 @@ def test_filters(spark):
     assert dims.largest_of_class(sized).count() == 1
     kept, dropped = dims.split_rejects(sized, F.col("biggest_in_class") == 1)
     assert (kept.count(), dropped.count()) == (1, 2)
+    rows, seen = dims.filter_observed(sized, F.col("biggest_in_class") == 1)
+    assert len(rows.collect()) == 1 and seen.get == {"rows_in": 3, "rows_dropped": 2}
 
 
 def test_replicates_and_baselines(spark):
