@@ -86,7 +86,7 @@ RULES = (
     ("symbols", 0.97, _ratio("n_symbols", "n_words"), None, 0, 0.15),
     ("symbol runs", 0.95, _ratio("n_runs", "n_words"), None, 0, 0.1),
     ("repeats", 0.97, _ratio("n_repeat_words", "n_words"), None, 0, 0.3),
-    ("lines twice", 0.90, _ratio("n_dup_lines", "n_lines"), None, 0, 0.3),
+    ("lines twice", 0.90, _ratio("n_dup_lines", "n_lines"), None, 0, 0.5),
     ("word size", 0.85, _ratio("word_chars", "n_words"), None, 2.5, 14),
     ("capitals", 0.90, _ratio("n_upper", "n_words"), None, 0, 0.5),
     ("variety", 0.85, _ratio("n_distinct", "n_words"), None, 0.05, 1),

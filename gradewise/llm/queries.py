@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.llm import lines, neardup, packing, pii, quality, secrets
+from gradewise.llm import lines, neardup, packing, pii, quality, secrets, topk, toxicity
 from gradewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_nth(read(spark, sf_dir, "embeddings"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_report(read(spark, sf_dir, "documents"))
 
@@ -42,10 +50,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_top_k": op5_top_k,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {"op8_line_dedup": lines.LINES_SQL}
+SQL: dict[str, str] = {"op5_top_k": topk.TOPK_SQL, "op8_line_dedup": lines.LINES_SQL}
