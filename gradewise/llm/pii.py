@@ -132,24 +132,27 @@ def disclosure(docs: DataFrame, found_rows: DataFrame, support: int, least: floa
     beside = some.select("th", F.explode("near").alias("x")).select("th", "x.v", "x.c", F.explode("x.terms").alias("y"))
     beside = beside.select("th", "v", "c", F.col("y.t").alias("t"))
     contexts = beside.select("v", "t", "c").distinct().groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    pairs = stored(
-        beside.select("v", "t", "th").distinct().groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te")).join(contexts, ["v", "t"]),
-        "pii-pairs",
-    )
-    terms = stored(pairs.select("t").distinct(), "pii-terms")
-    n_terms = terms.count()
+    together = beside.select("v", "t", "th").distinct().groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te"))
     by_entity = (
         some.select("th", F.explode("base.v").alias("v")).distinct().groupBy("v").agg(F.count(F.lit(1)).alias("n_e"))
     )
-    wanted = F.broadcast(terms) if n_terms <= TERM_ROWS else terms
     rows = keyed(docs)
+    total = rows.select("th").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+
+    def told(n_t: str) -> Column:
+        prior = F.col("n_e") / F.lit(float(max(total, 1)))
+        given = F.least(F.col("n_te") / F.col(n_t), F.lit(1.0))
+        return F.when(prior < 1, F.log(given / prior) / -F.log(prior)).otherwise(F.lit(0.0))
+
+    # a term stands in at least the texts that hold it beside some entity, which bounds its disclosure from above
+    beside_any = beside.select("t", "th").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_least"))
+    pairs = together.join(contexts, ["v", "t"]).join(by_entity, "v").join(beside_any, "t").where(told("n_least") >= least)
+    pairs = stored(pairs, "pii-pairs")
+    terms = stored(pairs.select("t").distinct(), "pii-terms")
+    wanted = F.broadcast(terms) if terms.count() <= TERM_ROWS else terms
     in_text = rows.select("th", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("t")).where(F.char_length("t") >= 4)
     by_term = in_text.join(wanted, "t", "left_semi").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.select("th").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"] if n_terms else 1
-    given = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
-    prior = F.col("n_e") / F.lit(float(total))
-    d = F.when(prior < 1, F.log(given / prior) / -F.log(prior)).otherwise(F.lit(0.0))
-    return pairs.join(by_entity, "v").join(by_term, "t").select("v", "t", d.alias("d")).where(F.col("d") >= least)
+    return pairs.join(by_term, "t").select("v", "t", told("n_t").alias("d")).where(F.col("d") >= least)
 
 
 def find_pii(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
