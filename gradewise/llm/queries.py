@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.llm import lines, neardup, packing, pii, quality, secrets, topk, toxicity
+from gradewise.llm import lines, lm, neardup, packing, pieces, pii, quality, secrets, topk, toxicity
 from gradewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_nth(read(spark, sf_dir, "embeddings"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.difference_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_report(read(spark, sf_dir, "documents"))
 
@@ -49,9 +57,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_pieces": op2_pieces,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_top_k": op5_top_k,
+    "op6_lm": op6_lm,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
