@@ -62,7 +62,8 @@ class Block:
         """(query row, id, score): the k best of these candidates for each query, less those under its floor."""
         x = m.astype(float)
         norm, stats = (x * x).sum(1), [statistics(x, p) for p in LEVELS]
-        exact = float(np.sqrt(self.norm.max(initial=0) * norm.max(initial=0))) < 2**52
+        largest = float(np.sqrt(self.norm.max(initial=0) * norm.max(initial=0)))
+        exact = largest < 2**52
         picked = []
         for at in range(0, len(self.ids), 128):
             rows = slice(at, at + 128)
@@ -70,7 +71,7 @@ class Block:
             for q, c in zip(self.stats, stats, strict=True):
                 # sum over segments of mean*mean + dev*dev, the bound of the inner product that the distance bound gives
                 bound = q[rows] @ c.T
-                alive &= bound >= (self.floor[rows] - 1e-6 * (1 + np.abs(self.floor[rows])) - 1)[:, None]
+                alive &= bound >= (self.floor[rows] - 1e-9 * largest - 1)[:, None]  # with room for rounding
             r, c = np.nonzero(alive)
             if not len(r):
                 continue
