@@ -7,10 +7,12 @@ texts agree in a slot with probability equal to their weighted Jaccard similarit
 by which all slots are full, so a text costs its shingles plus about slots * log(slots) points.
 
 Classes. Texts with equal multisets are one node. Nodes that share a band are candidates; links are candidates whose multiset overlap,
-counted on the shingles themselves, is `SIMILARITY` or more; a class is a connected component of links. Pairs inside a bucket are not all
-emitted: round by round, leaders of each bucket are compared with its members of other components, components merge, a leader whose
-comparisons are complete leaves the bucket, and a bucket with one component left is done. The number of leaders doubles each round. What is
-left once that is little work is compared exhaustively, so every candidate pair is verified or already known to be in one class.
+counted on the shingles themselves, is `SIMILARITY` or more; a class is a connected component of links. A crowded bucket, such as that of a
+large group of near copies, is first taken apart by the rare shingles of its members, which loses no link (see `rare_buckets`). Pairs inside a
+bucket are not all emitted: round by round, leaders of each bucket are compared with its members of other components, components merge, a
+leader whose comparisons are complete leaves the bucket, and a bucket with one component left is done. The number of leaders grows fourfold
+each round. What is left once that is little work is compared exhaustively, so every candidate pair is verified or already known to be in
+one class.
 
 Results in special cases: null, empty and blank texts have no shingles and are never duplicates; a text of one to four words is one
 shingle; rows that agree in doc_id and text are one document; classes are named by their smallest doc_id (rows without id: by the smallest
@@ -24,18 +26,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewise.llm.common import keyed, stored, unpacked, whole_rows, with_rows
 from gradewise.llm.textual import Bounded, mixed, slices, texts, words
 
-#: 24 bands of 4: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
-SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
+#: 20 bands of 4: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 20 = 3e-5.
+SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 4, 0.8
 SLOTS = BANDS * ROWS
 #: Rounds go on while the pairs left are more than this and more than twice the rows.
 REST = 20_000
+#: Buckets with more members are taken apart by rare shingles.
+CROWD = 8
+#: Keys of this many documents at most are sent to all executors.
+SENT_ROWS = 500_000
+#: Leaders of a bucket in the first round, four times as many in each further one.
+FIRST_LEADERS = 1
+#: Links that go into one file of the small tables of a round.
+LINKS_A_FILE = 200_000
 
 _STEP, _LEVEL, _COPY, _ODD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _WORDS = Bounded(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 500_000)
@@ -126,22 +136,24 @@ def bands(ident: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, weight, bands) of every row; node: digest of the multiset, null without shingles."""
+    """(doc_id, th, node, rest, weight, bands) of every row; node and rest: digest of the multiset, null without shingles."""
     rows = keyed(docs)
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["th"]]).add("node", "binary").add("weight", "long").add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["th"]]).add("node", "long").add("rest", "long").add("weight", "integer").add("bands", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             bags = [bag(t) for t in texts(batch)]
             code = bands(signatures(bags)).view(np.int64)
-            node = [xxhash.xxh3_128_digest(s.tobytes() + c.tobytes()) if len(s) else None for s, c in bags]
+            full = [xxhash.xxh3_128_digest(s.tobytes() + c.tobytes()) if len(s) else None for s, c in bags]
+            node, rest = ([x and int.from_bytes(x[k : k + 8], "little", signed=True) for x in full] for k in (0, 8))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("th"),
-                    pa.array(node, pa.binary()),
-                    pa.array([int(c.sum()) for _, c in bags], pa.int64()),
-                    pa.array([list(x) if n else None for x, n in zip(code, node, strict=True)], pa.list_(pa.int64())),
+                    pa.array(node, pa.int64()),
+                    pa.array(rest, pa.int64()),
+                    pa.array([int(c.sum()) for _, c in bags], pa.int32()),
+                    pa.array([list(x) if len(c) else None for x, (_, c) in zip(code, bags, strict=True)], pa.list_(pa.int64())),
                 ],
                 names=schema.names,
             )
@@ -151,14 +163,44 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, elements): the multisets of the documents (doc_id, th, node) in `wanted`, as packed sorted 64-bit digests."""
-    rows = with_rows(keyed(docs), wanted).where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "text")
+    # the text is read again for these rows only, and moved only if they are too many to be sent to where it lies
+    key = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "node")
+    key = F.broadcast(key) if key.count() <= SENT_ROWS else key
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th"))
+    rows = keyed(docs).join(key, same).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             packed = [elements(*bag(t)).tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "elements"])
 
-    return rows.mapInArrow(run, "node binary, elements binary")
+    # repeated rows give a set twice
+    return rows.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
+
+
+def rare_buckets(sets: DataFrame, crowded: DataFrame, least: float) -> DataFrame:
+    """(bucket, node, weight): a bucket for each rare shingle of the nodes in `crowded` (node, weight).
+
+    If the overlap of two multisets is at least `least`, then, in any fixed order of shingles, the first n - ceil(least * n) + 1 of each, n
+    its size, have one in common. In the order of rising frequency these are shingles that few share, so a crowded bucket falls apart
+    into small ones without losing a link. A shingle that one node alone has takes its place in the order but needs no bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("elements")]
+            node = batch.column("node").take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])))
+            yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(each))], names=["node", "e"])
+
+    each = sets.join(crowded.select("node"), "node", "left_semi").mapInArrow(run, "node long, e long")
+    common = each.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = each.join(common, "e").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("own"))
+    own = own.join(crowded, "node")
+    prefix = F.col("weight") - F.ceil(F.col("weight") * F.lit(least) - 1e-9) + 1
+    wanted = F.greatest(prefix - (F.col("weight") - F.size("own")), F.lit(0)).cast("int")
+    return own.select(F.explode(F.slice("own", F.lit(1), wanted)).alias("x"), "node", "weight").select(
+        F.xxhash64("x.e", F.lit(1)).alias("bucket"), "node", "weight"
+    )
 
 
 def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -180,25 +222,27 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 good.append(common >= least * (len(p) + len(q) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, part) after the links (a, b) have joined parts: smallest labels spread along links, with jumps along labels."""
+def merged(parts: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
+    """(node, part) after `n_links` links (a, b) have joined parts: smallest labels spread along links, with jumps along labels."""
+    files = 1 + n_links // LINKS_A_FILE
     of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     edges = links.join(of("a"), "a").join(of("b"), "b").where("a_part <> b_part").select("a_part", "b_part").distinct()
-    both = edges.select(F.col("a_part").alias("u"), F.col("b_part").alias("v"))
-    both = stored(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), "dup-edges")
+    ends = F.array(F.struct(F.col("a_part").alias("u"), F.col("b_part").alias("v")), F.struct(F.col("b_part").alias("u"), F.col("a_part").alias("v")))
+    both = stored(edges.select(F.inline(ends)).coalesce(files), "dup-edges")
     names = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("l"))
-    while True:
-        names = stored(names, "dup-labels")
+    names = stored(names.coalesce(files), "dup-labels")
+    moved = 1
+    while moved:
         near = both.join(names.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        step = names.join(near, "u").select("u", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = names.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        step = stored(step.join(jump, "l", "left").select("u", F.least("l", "ll").alias("l"), "old"), "dup-steps")
-        names = step.select("u", "l")
-        if step.where("l <> old").isEmpty():
-            break
+        step = names.join(near, "u").join(jump, "l", "left").select("u", F.least("l", "m", "ll").alias("new"), "l")
+        seen = Observation()
+        step = step.coalesce(files).observe(seen, F.count_if(F.col("new") != F.col("l")).alias("moved"))
+        names = stored(step, "dup-labels").select("u", F.col("new").alias("l"))
+        moved = seen.get["moved"]
     new = names.select(F.col("u").alias("part"), F.col("l"))
     return stored(parts.join(new, "part", "left").select("node", F.coalesce("l", "part").alias("part")), "dup-parts")
 
@@ -211,31 +255,33 @@ def candidate_parts(docs: DataFrame, nodes: DataFrame, least: float) -> DataFram
     """(node, part) of every node that shares a bucket with another. `nodes`: node, doc_id, th, weight, bands."""
     # the digest of a band holds its number, so it names the bucket
     members = nodes.select(F.explode("bands").alias("bucket"), "node", "weight")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     members = stored(members.join(shared, "bucket"), "dup-buckets")
-    some = members.select("node").distinct()
-    parts = stored(some.select("node", F.col("node").alias("part")), "dup-parts")
-    sets = stored(shingled(docs, nodes.join(some, "node", "left_semi").select("doc_id", "th", "node")), "dup-sets")
+    some = members.groupBy("node", "weight").agg(F.max("n").alias("n"))
+    parts = stored(some.select("node", F.col("node").alias("part"), "weight", "n"), "dup-parts")
+    sets = stored(shingled(docs, nodes.select("doc_id", "th", "node").join(parts, "node", "left_semi")), "dup-sets")
+    crowded = parts.where(F.col("n") > CROWD).select("node", "weight")
+    parts = parts.select("node", "part")
+    small = members.where(F.col("n") <= CROWD).select("bucket", "node", "weight")
+    members = small.unionAll(rare_buckets(sets, crowded, least))
     seen: DataFrame | None = None
-    turn = 0
+    leaders = FIRST_LEADERS
     while True:
-        now = members.join(parts, "node")
-        if "part" in members.columns:
-            now = members.drop("part").join(parts, "node")
+        now = stored(members.join(parts, "node"), "dup-members")  # with the components so far
         sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        open_buckets = stored(sizes.where("k > 1").select("bucket", "n", "q"), "dup-open")
+        open_buckets = sizes.where("k > 1")
         left = open_buckets.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")).first()
         if not left["rows"]:
             return parts
         last = left["pairs"] <= max(REST, 2 * left["rows"])
-        now = stored(now.join(open_buckets.select("bucket"), "bucket", "left_semi"), "dup-members")
         if last:
             lead = now.select("bucket", F.col("node").alias("leader"), F.col("weight").alias("lw"), F.col("part").alias("lp"))
             apart = F.col("part") < F.col("lp")
         else:
-            place = F.xxhash64("node", F.lit(turn))
-            slot = F.pmod(F.xxhash64("node", F.lit(turn), F.lit(1)), F.lit(1 << turn))
+            # one leader for each of so many parts of a bucket: the first by a digest that all buckets share
+            place = F.xxhash64("node", F.lit(leaders))
+            slot = F.pmod(F.xxhash64("node", F.lit(leaders), F.lit(1)), F.lit(leaders))
             lead = now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(place.alias("h"), "node", "weight", "part")).alias("m"))
             lead = lead.select("bucket", F.col("m.node").alias("leader"), F.col("m.weight").alias("lw"), F.col("m.part").alias("lp"))
             apart = F.col("part") != F.col("lp")
@@ -244,15 +290,16 @@ def candidate_parts(docs: DataFrame, nodes: DataFrame, least: float) -> DataFram
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs, "dup-pairs")
-        links = stored(linked(pairs, sets, least), "dup-links")
-        if not links.isEmpty():
-            parts = merged(parts, links)
+        found = Observation()
+        links = stored(linked(pairs, sets, least).observe(found, F.count(F.lit(1)).alias("n")), "dup-links")
+        if found.get["n"]:
+            parts = merged(parts, links, found.get["n"])
         if last:
             return parts
         seen = pairs if seen is None else seen.union(pairs)
         done = lead.select("bucket", F.col("leader").alias("node"))
-        members = now.drop("part").join(done, ["bucket", "node"], "left_anti")
-        turn += 1
+        members = now.drop("part").join(done, ["bucket", "node"], "left_anti").join(open_buckets.select("bucket"), "bucket", "left_semi")
+        leaders *= 4
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -260,7 +307,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = stored(sketched(docs), "dup-sketches")
     place = F.struct("doc_id", "th")
     full = rows.where(F.col("node").isNotNull())
-    nodes = full.groupBy("node").agg(F.min(place).alias("p"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    nodes = full.groupBy("node", "rest").agg(F.min(place).alias("p"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select("node", "p.*", "weight", "bands"), "dup-nodes")
     parts = candidate_parts(docs, nodes, least)
     named = nodes.join(parts, "node", "left").select("node", "doc_id", "th", F.coalesce("part", "node").alias("part"))
