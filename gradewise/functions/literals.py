@@ -86,12 +86,13 @@ def parse_dict_literal(text: Column, python_fallback: bool = True) -> Column:
 
 
 def with_parsed_args(df: DataFrame, column: str, into: str) -> DataFrame:
-    """`parse_dict_literal` as a step of its own: the built-in result is kept in a column and computed once."""
-    staged = df.withColumn(into, F.from_json(python_literal_to_json(F.col(column)), MAP, _JSON_OPTIONS))
-    rejected = F.when(F.col(into).isNull(), F.col(column))
-    return staged.withColumn(
-        into, F.coalesce(F.col(into), F.from_json(_literal_reader()(rejected), MAP), empty_map())
-    )
+    """`parse_dict_literal` as a step of its own. Only rows whose text the built-in reader rejects pass through Python."""
+    read = F.from_json(python_literal_to_json(F.col(column)), MAP, _JSON_OPTIONS)
+    staged = df.withColumn(into, read)
+    rejected = F.col(into).isNull() & F.col(column).isNotNull()
+    plain = staged.filter(~rejected).withColumn(into, F.coalesce(into, empty_map()))
+    literal = F.from_json(_literal_reader()(F.col(column)), MAP)
+    return plain.unionByName(staged.filter(rejected).withColumn(into, F.coalesce(literal, empty_map())))
 
 
 def canonical_value(value: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gradewise import fixed_values as fixed
 from gradewise.operators.prompts import build_context, source_block
@@ -16,14 +17,15 @@ from gradewise.operators.sizes import BROADCAST_ROWS, is_small, sent_if
 KEY_TERMS = 5
 TOP_K = 5
 COMMON_DF = 1000
-MIN_TERM = 3
+MIN_TERM = 1
 QUERY_BLOCK = 2048
+BLOCK_BYTES = 64 << 20
 CORPUS_CHUNK = 8192
 
 
-def distinct_terms(text: Column) -> Column:
-    """Distinct lower-case words of at least three letters or digits."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{MIN_TERM},}}"), F.lit(0)))
+def distinct_terms(text: Column, min_term: int = MIN_TERM) -> Column:
+    """Distinct lower-case words of letters and digits; `min_term` is the least length that counts, 1 for all."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{min_term},}}"), F.lit(0)))
 
 
 def postings(corpus: DataFrame, ident: str, text: str) -> DataFrame:
@@ -176,42 +178,43 @@ def retrieve_lexical(
     return ranked.join(keys.select("question_id", "search").distinct(), "question_id")
 
 
-def _cell_top_k(k: int, exclude_self: bool, rows_at_once: int = 256) -> Callable:
-    """Best k documents of one corpus chunk for each question of one block. A small part of the product is held at a time."""
-
-    def best_of_part(query_ids, left, doc_ids, right):
-        scores = left @ right.T
-        if exclude_self:
-            scores[query_ids[:, None] == doc_ids[None, :]] = -np.inf
-        width = scores.shape[1]
-        # the k-th highest score of each row; everything at or above it is a candidate, ties included
-        lowest = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.full(len(scores), -np.inf)
-        rows, columns = np.nonzero((scores >= lowest[:, None]) & np.isfinite(scores))
-        found = scores[rows, columns]
-        order = np.lexsort((columns, -found, rows))  # documents are in id order, so equal scores keep the smaller id
-        rows, columns, found = rows[order], columns[order], found[order]
-        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        return query_ids[rows[kept]], doc_ids[columns[kept]], found[kept]
-
-    def best(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(queries) and len(chunk):
-            chunk = chunk.sort_values("doc_id")
-            doc_ids = chunk["doc_id"].to_numpy()
-            right = np.stack(chunk["vector"].to_numpy()).astype(np.float64)
-            query_ids = queries["question_id"].to_numpy()
-            left = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-            for start in range(0, len(query_ids), rows_at_once):
-                part = slice(start, start + rows_at_once)
-                parts.append(best_of_part(query_ids[part], left[part], doc_ids, right))
-        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[], [], []]
-        return pd.DataFrame(
-            {
-                "question_id": np.asarray(columns[0], dtype=np.int64),
-                "doc_id": np.asarray(columns[1], dtype=np.int64),
-                "score": np.asarray(columns[2], dtype=np.float64),
-            }
-        )
+def _batch_top_k(k: int, exclude_self: bool, rows_at_once: int, sent) -> Callable:
+    """Best k documents of each corpus batch for each question of one block; scores that a task has already bettered k times are dropped."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, left = sent.value
+        names = questions.to_pylist() if exclude_self else None
+        floor = np.full((len(left), k), -np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows_at_once):
+                # in id order, so that equal scores keep the smaller id
+                batch = pa.Table.from_batches([whole.slice(at, rows_at_once)]).sort_by("doc_id").combine_chunks().to_batches()[0]
+                vectors = batch.column("vector")
+                right = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                own = {d: c for c, d in enumerate(batch.column("doc_id").to_pylist())} if exclude_self else {}
+                for first in range(0, len(left), 256):
+                    part = slice(first, first + 256)
+                    scores = left[part] @ right.T
+                    if exclude_self:
+                        for r, name in enumerate(names[part]):
+                            if name in own:
+                                scores[r, own[name]] = -np.inf
+                    width = scores.shape[1]
+                    lowest = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.full(len(scores), -np.inf)
+                    lowest = np.maximum(lowest, floor[part].min(axis=1))
+                    rows, columns = np.nonzero((scores >= lowest[:, None]) & np.isfinite(scores))
+                    found = scores[rows, columns]
+                    order = np.lexsort((columns, -found, rows))
+                    rows, columns, found = rows[order], columns[order], found[order]
+                    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                    rows, columns, found = rows[kept], columns[kept], found[kept]
+                    best_here = np.full((len(scores), k), -np.inf)
+                    best_here[rows, np.arange(len(rows)) - np.searchsorted(rows, rows)] = found
+                    floor[part] = np.sort(np.concatenate([floor[part], best_here], axis=1), axis=1)[:, -k:]
+                    yield pa.RecordBatch.from_arrays(
+                        [questions.take(pa.array(rows + first)), batch.column("doc_id").take(pa.array(columns)), pa.array(found)],
+                        names=["question_id", "doc_id", "score"],
+                    )
 
     return best
 
@@ -227,43 +230,41 @@ def retrieve_vector(
     query_block: int = QUERY_BLOCK,
     corpus_chunk: int = CORPUS_CHUNK,
 ) -> DataFrame:
-    """Exact best k documents per question by dot product: `(question_id, doc_id, score, rank)`.
+    """Exact best k documents per question by dot product: `(question_id, doc_id, score, rank)`, ids as they are given.
 
-    Both sides are cut by id hash into even blocks; every (question block, corpus chunk) pair is one small matrix
-    product in a task, which returns k rows per question. Nothing is broadcast, no pair of rows is ever emitted,
-    and a task holds one block and one chunk whatever the size of either side.
+    The corpus stays where it is read. Questions travel to it in blocks of at most about `query_block` rows and `BLOCK_BYTES`, so what
+    is sent at once has a fixed size, and each task multiplies a block with `corpus_chunk` documents at a time. Rows without a vector
+    take no part.
     """
-    blocks = max(1, -(-questions.count() // query_block))
-    chunks = max(1, -(-corpus.count() // corpus_chunk))
-    left = questions.select(
-        F.col(question_id).cast("bigint").alias("question_id"),
-        F.col(vector).alias("vector"),
-        F.pmod(F.xxhash64(question_id), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("_chunk"),
-    )
-    right = corpus.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"),
-        F.col(vector).alias("vector"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"),
-        F.pmod(F.xxhash64(doc_id), F.lit(chunks)).alias("_chunk"),
-    )
-    partial = (
-        left.groupBy("_block", "_chunk")
-        .cogroup(right.groupBy("_block", "_chunk"))
-        .applyInPandas(_cell_top_k(k, exclude_self), "question_id bigint, doc_id bigint, score double")
-    )
+    asked = questions.select(F.col(question_id).alias("question_id"), F.col(vector).alias("vector")).filter("vector is not null")
+    passages = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vector")).filter("vector is not null")
+    schema = StructType([asked.schema["question_id"], passages.schema["doc_id"], StructField("score", DoubleType())])
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    rows = max(1, min(query_block, BLOCK_BYTES // (8 * max(1, size["width"] or 1))))
+    partial = questions.sparkSession.createDataFrame([], schema)
+    blocks = -(-size["n"] // rows)
+    for number in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("question_id", "vector"), F.lit(blocks)) == number).toArrow()
+        if not block.num_rows:
+            continue
+        left = np.array(block["vector"].to_pylist(), dtype=np.float64)
+        sent = questions.sparkSession.sparkContext.broadcast((block["question_id"].combine_chunks(), left))
+        partial = partial.unionAll(passages.mapInArrow(_batch_top_k(k, exclude_self, corpus_chunk, sent), schema))
     best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "doc_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"lexical": retrieve_lexical, "vector": retrieve_vector}
+#: Tools that existing configurations name; all of them search a corpus by terms here.
+RETRIEVER_ALIASES = {"tavily": "lexical", "google": "lexical", "pubmed": "lexical", "semantic_scholar": "lexical"}
 
 
 def retrieve(tool: str, questions: DataFrame, corpus: DataFrame, k: int = TOP_K, **options) -> DataFrame:
     """Retrieval by the name of a registered tool."""
-    if tool not in RETRIEVERS:
+    name = RETRIEVER_ALIASES.get(tool, tool)
+    if name not in RETRIEVERS:
         raise KeyError(f"unknown retriever {tool!r}; known: {sorted(RETRIEVERS)}")
-    return RETRIEVERS[tool](questions, corpus, k=k, **options)
+    return RETRIEVERS[name](questions, corpus, k=k, **options)
 
 
 def contexts(

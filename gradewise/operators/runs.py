@@ -16,7 +16,6 @@ FACTS = (
     "epoch_model_name", "epoch_model_publication_date", "epoch_organization", "epoch_parameters",
     "epoch_training_compute_flop", "benchmark_publication_date", "baselines", "cost_source_date",
 )
-FILE_LIST_LIMIT = 10_000
 
 
 def majority_values(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -34,15 +33,18 @@ def majority_values(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
 
 
 def harmonize(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Set each column to the most frequent value of its key. Applying it twice changes nothing."""
+    """Set each column to the most frequent value of its key. Applying it twice changes nothing.
+
+    The majorities are found on counts of distinct values and meet in one small table, so the rows are joined once.
+    """
+    common = None
     for column in columns:
-        common = majority_values(df, keys, column)
-        df = (
-            df.join(common, list(keys), "left")
-            .withColumn(column, F.coalesce(f"{column}_majority", column))
-            .drop(f"{column}_majority")
-        )
-    return df
+        one = majority_values(df, keys, column)
+        common = one if common is None else common.join(one, list(keys), "full")
+    if common is None:
+        return df
+    filled = {c: F.coalesce(f"{c}_majority", c) for c in columns}
+    return df.join(common, list(keys), "left").withColumns(filled).drop(*[f"{c}_majority" for c in columns])
 
 
 def with_canonical_args(runs: DataFrame) -> DataFrame:
@@ -94,27 +96,15 @@ def run_files(runs: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
     return runs.dropna(subset=list(keys)).select(*keys, "filename")
 
 
-def with_file_lists(
-    summary: DataFrame, runs: DataFrame, keys: Sequence[str] = GROUP_KEYS, limit: int = FILE_LIST_LIMIT
-) -> DataFrame:
-    """Add the sorted file list as one cell per group, for the summary that leaves Spark as CSV.
+def sorted_run_files(runs: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
+    """The sorted list of files of every group as a table, a row per file. A sort by ranges, so a group of any size is fine."""
+    return run_files(runs, keys).orderBy(*keys, "filename")
 
-    A group above `limit` is an error that names `run_files`; it is noticed from its count before anything of it is
-    collected.
-    """
-    small = summary.filter(F.col("num_runs") <= limit).select(*keys)
-    lists = (
-        run_files(runs, keys)
-        .join(small, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("filename")).alias("filenames"))
-    )
-    too_many = F.raise_error(
-        F.concat(F.lit("too many files for one cell, use run_files: "), F.col("path"))
-    ).cast("array<string>")
-    return summary.join(lists, list(keys), "left").withColumn(
-        "filenames", F.when(F.col("num_runs") > limit, too_many).otherwise(F.col("filenames"))
-    )
+
+def with_file_lists(summary: DataFrame, runs: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
+    """The sorted file list as one cell per group, for callers whose groups are known to fit a cell; else `sorted_run_files`."""
+    lists = run_files(runs, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("filename")).alias("filenames"))
+    return summary.join(lists, list(keys), "left")
 
 
 def sort_summary(summary: DataFrame) -> DataFrame:

@@ -270,11 +270,17 @@ MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def to_samples(benchmark: str, records: DataFrame, mode: str = "mc") -> DataFrame:
+def repeated_ids(rows: DataFrame, ident: str = "id") -> DataFrame:
+    """Ids that more than one row has: `(id, n_rows)`."""
+    return rows.groupBy(F.col(ident).alias("id")).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
+
+
+def to_samples(benchmark: str, records: DataFrame, mode: str = "mc", images: str = "images") -> DataFrame:
+    """Uniform samples of one benchmark; `images` is the folder of the pictures that records name."""
     if benchmark not in MAPPERS:
         raise KeyError(f"unknown benchmark {benchmark!r}; known: {sorted(MAPPERS)}")
-    if benchmark == "vct" and mode == "mr":
-        return samples_statements_mr(records)
+    if benchmark == "vct":
+        return (samples_statements_mr if mode == "mr" else samples_statements_mc)(records, images)
     return MAPPERS[benchmark](records)
 
 

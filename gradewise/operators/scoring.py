@@ -85,11 +85,12 @@ def _in_row_score(samples: Column) -> Column:
             message_text(second_message(s["messages"])).alias("text"), s["target"].alias("target")
         ),
     )
-    scored = F.filter(marks, lambda m: m["text"].isNotNull())
-    right = F.filter(
-        scored,
-        lambda m: is_correct(extract_answer(m["text"]), target_letters(m["target"]), target_is_list(m["target"])),
+    # the answer is read from the text once and kept beside its target
+    scored = F.transform(
+        F.filter(marks, lambda m: m["text"].isNotNull()),
+        lambda m: F.struct(extract_answer(m["text"]).alias("answer"), m["target"].alias("target")),
     )
+    right = F.filter(scored, lambda m: is_correct(m["answer"], target_letters(m["target"]), target_is_list(m["target"])))
     return F.struct(F.size(scored).alias("n"), F.size(right).alias("right"))
 
 

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from gradewise import fixed_values as fixed
 from gradewise.functions.literals import drop_keys, merge_settings
-from gradewise.operators.retrieval import RETRIEVERS
+from gradewise.operators.retrieval import RETRIEVER_ALIASES, RETRIEVERS
 from gradewise.operators.samples import MAPPERS
-from gradewise.operators.sizes import is_small
 
 CONTROL_KEYS = ("enabled", "runs")
-MATRIX_LIMIT = 10_000
+MATRIX_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -109,37 +108,43 @@ def invalid_values(requested: DataFrame, allowed: DataFrame, keys: Sequence[str]
 def argument_problems(requests: DataFrame, declared: Mapping[str, ArgumentSet] = ARGUMENTS) -> DataFrame:
     """Invalid arguments of `requests(benchmark, args map)`: `(benchmark, argument, value, problem)`.
 
-    Undeclared arguments and values outside the declared choices are anti joins against the declared table.
+    The declared arguments are literals of the code, a row per benchmark and name; they are sent to the requests, which are
+    read once and never moved.
     """
-    spark = requests.sparkSession
-    names, values, patterns = [], [], []
+    rows = []
     for benchmark, group in declared.items():
         for name, argument in group.arguments.items():
-            names.append((benchmark, name, bool(argument.choices), argument.pattern))
-            values += [(benchmark, name, c) for c in argument.choices]
-            if argument.all_word or argument.many:
-                values.append((benchmark, name, "all"))
-    known = spark.createDataFrame(names, "benchmark string, argument string, has_choices boolean, pattern string")
-    allowed = spark.createDataFrame(values, "benchmark string, argument string, value string")
-
+            allowed = [*argument.choices, *(["all"] if argument.all_word or argument.many else [])] if argument.choices else None
+            rows.append((benchmark, name, allowed, argument.pattern))
+    known = requests.sparkSession.createDataFrame(
+        rows, "benchmark string, argument string, _allowed array<string>, _pattern string"
+    ).withColumn("_known", F.lit(True))
     given = (
         requests.select("benchmark", F.explode("args").alias("argument", "text"))
         .filter(F.col("text").isNotNull())
         .withColumn("value", F.explode(requested_values(F.col("text"))))
         .select("benchmark", "argument", F.when(F.col("argument") == "cot", F.lower("value")).otherwise(F.col("value")).alias("value"))
     )
-    keys = ["benchmark", "argument"]
-    unknown = invalid_values(given, known, keys).withColumn("problem", F.lit("unknown argument"))
-    typed = given.join(known, keys)
-    outside = invalid_values(typed.filter("has_choices").select(given.columns), allowed, [*keys, "value"]).withColumn(
-        "problem", F.lit("not an allowed value")
-    )
-    malformed = (
-        typed.filter(~F.rlike(F.col("value"), F.concat(F.lit("^("), F.col("pattern"), F.lit(")$"))))
-        .select(given.columns)
-        .withColumn("problem", F.lit("wrong type"))
+    fits = F.rlike(F.col("value"), F.concat(F.lit("^("), F.col("_pattern"), F.lit(")$")))
+    outside = F.col("_allowed").isNotNull() & ~F.coalesce(F.array_contains("_allowed", F.col("value")), F.lit(False))
+    problem = (
+        F.when(F.col("_known").isNull(), "unknown argument")
+        .when(outside, "not an allowed value")
+        .when(~fits, "wrong type")
     )
-    return unknown.unionByName(outside).unionByName(malformed)
+    checked = given.join(F.broadcast(known), ["benchmark", "argument"], "left")
+    return checked.withColumn("problem", problem).filter(F.col("problem").isNotNull()).select("benchmark", "argument", "value", "problem")
+
+
+def checked_request(spark: SparkSession, benchmark: str, args: Mapping[str, str | Sequence[str] | int | None]) -> dict[str, str]:
+    """The arguments of one request as a run uses them, defaults filled in; a bad name or value is an error."""
+    text = lambda v: v if isinstance(v, str) else json.dumps(list(v)) if isinstance(v, (list, tuple)) else str(v)
+    given = {k: text(v) for k, v in args.items() if v is not None}
+    request = spark.createDataFrame([(benchmark, given)], "benchmark string, args map<string,string>")
+    problems = [f"{r.argument}={r.value}: {r.problem}" for r in argument_problems(request).collect()]
+    if problems:
+        raise ValueError(f"{benchmark}: {'; '.join(sorted(problems))}")
+    return complete_arguments(request).first()["args"]
 
 
 def with_defaults(requests: DataFrame, declared: Mapping[str, ArgumentSet] = ARGUMENTS) -> DataFrame:
@@ -183,7 +188,7 @@ def complete_arguments(requests: DataFrame, declared: Mapping[str, ArgumentSet]
     return full if rewrites is None else full.withColumn("args", rewrites.otherwise(F.col("args")))
 
 
-def retriever_problems(models: DataFrame, known: Sequence[str] = tuple(RETRIEVERS)) -> DataFrame:
+def retriever_problems(models: DataFrame, known: Sequence[str] = (*RETRIEVERS, *RETRIEVER_ALIASES)) -> DataFrame:
     """Models whose enabled retrieval names no tool, or one that is not registered: `(model_key, tool, problem)`."""
     rag = F.from_json("rag", "enabled boolean, tool string")
     read = models.select("model_key", rag["enabled"].alias("enabled"), rag["tool"].alias("tool")).filter("enabled")
@@ -203,40 +208,34 @@ def enabled_benchmarks(benchmarks: DataFrame, known: DataFrame) -> tuple[DataFra
     return wanted.join(known, "benchmark", "left_semi"), wanted.join(known, "benchmark", "left_anti")
 
 
-def run_matrix(benchmarks: DataFrame, models: DataFrame, limit: int = MATRIX_LIMIT) -> DataFrame:
+def run_matrix(benchmarks: DataFrame, models: DataFrame) -> DataFrame:
     """One row per benchmark, model and run number, with arguments and settings attached.
 
-    `models(model_key, model, default_settings, settings, rag)` is a configuration list: it is folded into one array
-    value, checked against `limit`, and unfolded per benchmark. `benchmarks(benchmark, runs, args)` may be a table
-    of any size.
+    `models(model_key, model, default_settings, settings, rag)` and `benchmarks(benchmark, runs, args)` may be of any size; every
+    benchmark is asked for every model, so the output is their product by its meaning. The side of the models is dealt over
+    `MATRIX_PARTS` keys and the benchmarks are repeated once per key, which makes it an ordinary join that no task holds alone.
     """
-    if not is_small(models, limit):
-        raise ValueError(f"more than {limit} models in one configuration")
-    entries = models.agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "model_key",
-                    "model",
-                    F.to_json(merge_settings(F.col("default_settings"), F.col("settings"))).alias("settings"),
-                    "rag",
-                )
-            )
-        )
-    ).scalar()
+    parts = F.lit(MATRIX_PARTS)
+    entries = models.select(
+        F.pmod(F.xxhash64("model_key", "model"), parts).alias("_part"),
+        "model_key",
+        "model",
+        merge_settings(F.col("default_settings"), F.col("settings")).alias("settings"),
+        "rag",
+    )
     runs = F.greatest(F.coalesce(F.col("runs"), F.lit(1)), F.lit(0))
-    return (
-        benchmarks.withColumn("_model", F.explode(entries))
-        .withColumn("_runs", runs)
+    wanted = (
+        benchmarks.withColumn("_runs", runs)
         .filter(F.col("_runs") > 0)
-        .withColumn("run", F.explode(F.sequence(F.lit(1), F.col("_runs").cast("int"))))
         .select(
             "benchmark",
-            F.col("_model.model_key").alias("model_key"),
-            F.col("_model.model").alias("model"),
-            "run",
             drop_keys(F.col("args"), *CONTROL_KEYS).alias("args"),
-            F.from_json(F.col("_model.settings"), "map<string,string>").alias("settings"),
-            F.col("_model.rag").alias("rag"),
+            "_runs",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("_part"),
         )
     )
+    return (
+        wanted.join(entries, "_part")
+        .withColumn("run", F.explode(F.sequence(F.lit(1), F.col("_runs").cast("int"))))
+        .select("benchmark", "model_key", "model", "run", "args", "settings", "rag")
+    )

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradewise import fixed_values as fixed
+from gradewise.operators.compare import lab_bench_baselines, statement_baselines
 from gradewise.operators.costing import cost_rollup, log_cost
 from gradewise.operators.dims import enrich_runs, model_metadata
-from gradewise.operators.runs import harmonize, sort_summary, summarize_runs, with_canonical_args, with_file_lists
+from gradewise.operators.runs import (
+    harmonize, sort_summary, sorted_run_files, summarize_runs, with_canonical_args, with_file_lists
+)
 from gradewise.operators.scoring import run_rows
 from gradewise.sources.dimensions import baselines_table, publication_dates, read_model_metadata, read_model_prices
 from gradewise.sources.logs import read_eval_logs, read_runs, successful_logs
+from gradewise.sources.questions import read_jsonl, read_question_set, valid_lines
 from gradewise.sources.sinks import write_dated_csv, write_runs
 
 
@@ -59,15 +64,35 @@ def enriched_runs(
 
 
 def summary_with_files(runs: DataFrame, include_cost: bool = False) -> DataFrame:
-    """The summary as it leaves Spark: sorted, with the file list of each group."""
+    """The summary with the file list of each group in a cell, for groups that are known to fit one."""
     return sort_summary(with_file_lists(summarize_runs(runs, include_cost=include_cost), runs))
 
 
+def computed_baselines(spark: SparkSession, lab_bench: str | None = None, vct: str | None = None) -> dict[str, float]:
+    """Random accuracies that follow from question sets: the root of the one with distractors, the JSON lines of the other.
+
+    One row per benchmark name, so the result is a handful of numbers.
+    """
+    found = []
+    if lab_bench:
+        found.append(lab_bench_baselines(read_question_set(spark, lab_bench, "lab_bench", fixed.LAB_BENCH_SUBSETS)))
+    if vct:
+        found.append(statement_baselines(valid_lines(read_jsonl(spark, vct))))
+    return {r["benchmark"]: r["random"] for table in found for r in table.collect()}
+
+
 def publish(spark: SparkSession, runs_root: str, out: str, price_file: str, notable: str, large_scale: str,
-            include_cost: bool = False) -> tuple[str, str]:
-    """Combine all stored run files and write the dated run and summary tables; returns their paths."""
-    runs = enriched_runs(spark, read_runs(spark, runs_root), price_file, notable, large_scale, include_cost)
+            include_cost: bool = False, lab_bench: str | None = None, vct: str | None = None) -> tuple[str, str]:
+    """Combine all stored run files and write the dated tables of runs, of files per group and the summary; returns the paths of
+    runs and summary.
+
+    `lab_bench` and `vct` are the question sets from which the random baselines of their benchmarks follow.
+    """
+    runs = enriched_runs(
+        spark, read_runs(spark, runs_root), price_file, notable, large_scale, include_cost, computed_baselines(spark, lab_bench, vct)
+    )
+    write_dated_csv(sorted_run_files(runs), out, "files")
     return (
         write_dated_csv(runs, out, "all_runs"),
-        write_dated_csv(summary_with_files(runs, include_cost), out, "summary"),
+        write_dated_csv(sort_summary(summarize_runs(runs, include_cost=include_cost)), out, "summary"),
     )

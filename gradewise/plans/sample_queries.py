@@ -592,9 +592,9 @@ def jsonl_stats(t: Tables):
 
 _TERMS_SQL = r"""
 dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents)
-       WHERE length(term) >= 3),
+       WHERE length(term) >= 1),
 qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark)
-       WHERE length(term) >= 3),
+       WHERE length(term) >= 1),
 df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
 kt AS (SELECT item_id, term, coalesce(df, 0) AS df,
               row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), term) AS r FROM qt LEFT JOIN df USING (term))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,10 +29,14 @@ def stream_eval_logs(spark: SparkSession, path: str, files_per_batch: int = 10_0
     return with_log_origin(stream)
 
 
-def stream_runs(logs: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Scored run rows; a log delivered twice within `lateness` counts once. State is bounded by the watermark."""
-    rows = run_rows(successful_logs(logs)).filter(F.col("eval_end_time").isNotNull())
-    return rows.withWatermark("eval_end_time", lateness).dropDuplicatesWithinWatermark(["run_id"])
+def run_key() -> Column:
+    """What makes a run the same run; a log without a run id is known by its place."""
+    return F.coalesce("run_id", F.concat_ws("/", "directory", "filename"))
+
+
+def stream_runs(logs: DataFrame) -> DataFrame:
+    """Scored run rows of the stream, one per delivered log; `write_run_stream` makes repeated deliveries count once."""
+    return run_rows(successful_logs(logs))
 
 
 def stream_summary(runs: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
@@ -49,14 +54,32 @@ def stream_summary(runs: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFra
     )
 
 
+def append_new_runs(rows: DataFrame, out: str) -> None:
+    """Append the runs that the stored table does not have yet. Doing it twice changes nothing."""
+    spark = rows.sparkSession
+    key = run_key().alias("_key")
+    new = rows.withColumn("_key", key).dropDuplicates(["_key"])
+    try:
+        stored = spark.read.schema(rows.schema).parquet(out)
+        known = stored.select(key)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if known is not None:
+        new = new.join(known, "_key", "left_anti")
+    new.drop("_key").write.mode("append").partitionBy("prompt_schema", "benchmark").parquet(out)
+
+
 def write_run_stream(runs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append run rows to a Parquet table; `checkpoint` must be on storage that all executors share."""
+    """Append run rows to a Parquet table; `checkpoint` must be on storage that all executors share.
+
+    Every run is kept whatever its age and order of arrival: runs are compared by key with the stored table, of which only the
+    key's columns are read, and not with a watermark. A batch that is run again after a failure finds its rows stored.
+    """
     return (
-        runs.writeStream.format("parquet")
-        .option("path", out)
+        runs.writeStream.foreachBatch(lambda rows, _: append_new_runs(rows, out))
         .option("checkpointLocation", checkpoint)
-        .partitionBy("prompt_schema", "benchmark")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

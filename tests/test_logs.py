@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import logs
 from gradewise.operators import costing, runs, scoring
@@ -121,6 +122,27 @@ def test_stream_matches_batch(spark, root, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.select(columns).collect()), key=str)
 
 
+def test_stream_keeps_every_run(spark, root, tmp_path):
+    """Logs months apart, one per batch, some delivered twice, one without an end time: the rows of the batch path."""
+    logs = source.successful_logs(source.read_eval_logs(spark, root))
+    runs = scoring.run_rows(logs)
+    shifted = [runs.withColumn("run_id", F.concat("run_id", F.lit(f"-{m}"))).withColumn("eval_end_time", F.col("eval_end_time") - F.expr(f"interval {m} months")) for m in (7, 0, 3)]
+    shifted.append(runs.withColumn("run_id", F.concat("run_id", F.lit("-open"))).withColumn("eval_end_time", F.lit(None).cast(runs.schema["eval_end_time"].dataType)))
+    out = str(tmp_path / "table")
+    for batch in (shifted[1], shifted[0], shifted[3], shifted[2], shifted[0], shifted[1].unionByName(shifted[1])):
+        run_stream.append_new_runs(batch, out)
+    got = spark.read.parquet(out).select("run_id").collect()
+    want = [r.run_id for part in shifted for r in part.select("run_id").collect()]
+    assert sorted(r.run_id for r in got) == sorted(want)
+
+    one_by_one = run_stream.stream_runs(run_stream.stream_eval_logs(spark, root, 1))
+    for _ in range(2):  # the second time with a state that has been lost: all logs are delivered again
+        query = run_stream.write_run_stream(one_by_one, str(tmp_path / "single"), str(tmp_path / f"state{_}"))
+        query.awaitTermination(240)
+    stored = spark.read.parquet(str(tmp_path / "single"))
+    assert sorted(r.run_id for r in stored.select("run_id").collect()) == sorted(r.run_id for r in runs.select("run_id").collect())
+
+
 def test_stream_summary(spark, root):
     rows = run_stream.stream_summary(
         scoring.run_rows(source.successful_logs(run_stream.stream_eval_logs(spark, root)))

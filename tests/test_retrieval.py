@@ -20,7 +20,7 @@ def corpus_and_questions():
 
 
 def terms(text):
-    return {w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) >= 3}
+    return {w for w in re.findall(r"[^\W_]+", text.lower()) }
 
 
 def brute_force(documents, questions, k, n_terms):
@@ -89,3 +89,11 @@ def test_vector_is_exact_for_any_grid(spark, block, chunk):
     assert len(rows) == 480 and all(r.question_id != r.doc_id for r in rows)
     for q in range(120):
         assert [round(r.score, 9) for r in sorted((r for r in rows if r.question_id == q), key=lambda r: r.rank)] == want[q]
+
+
+def test_vector_with_text_ids(spark):
+    rows = [(f"LitQA2_{i}", [float(i % 5), 1.0]) for i in range(12)] + [("none", None)]
+    table = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = retrieval.retrieve_vector(table, table, k=2, question_id="id", doc_id="id", exclude_self=True).collect()
+    assert len(got) == 24 and all(r.question_id != r.doc_id for r in got)
+    assert {r.doc_id for r in got if r.question_id == "LitQA2_0"} == {"LitQA2_1", "LitQA2_10"}

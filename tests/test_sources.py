@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradewise import schemas
 from gradewise.operators import compare, dims, runs, samples, validate
@@ -102,6 +103,10 @@ def test_publish_and_read_back(spark, stored, tmp_path):
     )
     assert run_path.endswith("_all_runs.csv") and summary_path.endswith("_summary.csv")
     back = spark.read.option("header", True).option("escape", '"').csv(summary_path)
+    files = spark.read.option("header", True).csv(summary_path.replace("_summary", "_files"))
+    assert files.count() == 20
+    lists = files.groupBy("inspect_model_name", "benchmark", "prompt_schema").agg(F.first("filename").alias("filenames"))
+    back = back.join(lists, ["inspect_model_name", "benchmark", "prompt_schema"])
     wanted = [c.split()[0] for c in schemas.SUMMARY.split(", ")]
     sinks.write_csv(back.select(wanted), str(tmp_path / "shaped"))
     typed = dimensions.read_summary(spark, str(tmp_path / "shaped"))
@@ -111,12 +116,13 @@ def test_publish_and_read_back(spark, stored, tmp_path):
     assert row.epoch_model_publication_date == dt.date(2024, 5, 13)
 
 
-def test_file_list_limit_is_loud(spark, stored):
+def test_files_of_a_large_group(spark, stored, tmp_path):
     rows = logs.read_runs(spark, str(stored))
-    summary = runs.summarize_runs(rows)
-    with pytest.raises(Exception, match="use run_files"):
-        runs.with_file_lists(summary, rows, limit=3).collect()
     assert runs.run_files(rows).count() == 20
+    large = rows.limit(1).crossJoin(spark.range(12_000)).withColumn("filename", F.format_string("f%06d", 11_999 - F.col("id")))
+    files = [r.filename for r in runs.sorted_run_files(large).collect()]
+    assert len(files) == 12_000 and files == sorted(files)
+    assert runs.summarize_runs(large).first().num_runs == 12_000
 
 
 def test_jsonl(spark, tmp_path):
@@ -177,6 +183,39 @@ def test_preparation_by_subtask_and_mode(spark, tmp_path):
     assert [r.target for r in vct.collect()] == [["A"]]
 
 
+def test_preparation_defaults_and_bad_names(spark, tmp_path):
+    root = str(tmp_path / "gpqa")
+    row = lambda i, subset: (f"r{i}", f"q{i}", "a", "b", "c", "d", "Biology", "", "", "", "", "", subset, "train")
+    rows = [row(i, "gpqa_main") for i in range(4)] + [row(i, "gpqa_diamond") for i in range(2)]
+    spark.createDataFrame(rows, f"{schemas.GPQA}, subset string, split string").write.partitionBy("subset", "split").parquet(root)
+    samples = prepare.prepare_samples(spark, root, "gpqa")
+    assert samples.count() == 4 == samples.select("id").distinct().count()
+    assert [r.prompt.count("ANSWER: ") for r in prepare.prepare_prompts(samples, n_shot=1).collect()] == [2] * 4
+    for bad in ({"subset": "bogus"}, {"subtasks": "Biolgy"}, {"split": "tset"}, {"mode": "mc"}):
+        with pytest.raises(ValueError, match="not an allowed value|unknown argument"):
+            prepare.prepare_samples(spark, root, "gpqa", **bad)
+    twice = str(tmp_path / "twice")
+    spark.createDataFrame([row(1, "gpqa_main"), row(1, "gpqa_main")], f"{schemas.GPQA}, subset string, split string").write.partitionBy("subset", "split").parquet(twice)
+    with pytest.raises(ValueError, match="2 records have the id"):
+        prepare.prepare_samples(spark, twice, "gpqa")
+    corpus = spark.createDataFrame([(1, "all about q1 and more", "T", "u"), (2, "nothing here", "T", "u")], "doc_id long, text string, title string, url string").withColumn("content", F.col("text"))
+    found = {r.input: r.prompt for r in prepare.prepare_retrieved_prompts(samples, corpus, "pubmed").collect()}
+    assert len(found) == 4 and "Content: all about q1 and more\n\nQuestion:\n" in found["q1"]
+
+
+def test_computed_baselines_reach_the_runs(spark, tmp_path):
+    record = {"question_id": "1", "question": "Q", "image_file": None, "answer_statements": [{"statement": "s", "is_correct": True}] * 2}
+    (tmp_path / "v.jsonl").write_text("\n".join(json.dumps({**record, "image_file": f}) for f in (None, "i.png")))
+    lab = str(tmp_path / "lab")
+    fields = [f.strip().rsplit(" ", 1) for f in schemas.QUESTION_SETS["lab_bench"].split(", ")]
+    table = spark.createDataFrame([(s, "train") for s in ("LitQA2", "CloningScenarios", "ProtocolQA")], "subset string, split string")
+    table = table.withColumns({n.strip("`"): (F.array(F.lit("x"), F.lit("y")) if "array" in t else F.lit("x")).cast(t) for n, t in fields if n.strip("`") not in table.columns})
+    table.write.partitionBy("subset", "split").parquet(lab)
+    computed = evaluate.computed_baselines(spark, lab, str(tmp_path / "v.jsonl"))
+    got = {r.benchmark: r.baselines.random for r in dimensions.baselines_table(spark, computed).collect()}
+    assert all(got[b] is not None for b in got), got
+
+
 def test_articles(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version='1'>11</PMID><Article><ArticleTitle>One</ArticleTitle>"
@@ -224,8 +263,8 @@ def test_configuration_to_run_matrix(spark, tmp_path):
     o3 = next(r for r in matrix if r.model == "openai/o3-mini")
     assert o3.settings == {"reasoning_effort": "high", "max_tokens": "10"}
     assert "runs" not in o3.args and "enabled" not in o3.args
-    with pytest.raises(ValueError, match="more than 1 models"):
-        validate.run_matrix(wanted, models, limit=1)
+    many = models.limit(1).crossJoin(spark.range(200)).withColumn("model", F.concat("model", F.col("id").cast("string"))).drop("id")
+    assert validate.run_matrix(wanted, many).count() == 3 * 200
 
 
 def test_argument_checks(spark):
