@@ -156,6 +156,13 @@ def sort_results_table(table: DataFrame) -> DataFrame:
     return table.orderBy(F.col("epoch_organization").asc(), F.col("epoch_model_publication_date").desc())
 
 
+def sort_by_effort(rows: DataFrame, keys: Sequence[str], effort: str, order: Sequence[str] = tuple(fixed.EFFORT_ORDER)) -> DataFrame:
+    """Rows by key and, inside a key, from low to high effort; `place` is the position, rows of another effort come last."""
+    place = F.array_position(F.array(*[F.lit(e) for e in order]), F.col(effort))
+    ranked = rows.withColumn("place", F.when(place > 0, place - 1).cast("int"))
+    return ranked.orderBy(*keys, F.col("place").asc_nulls_last())
+
+
 def schema_pivot(
     summary: DataFrame, schemas: Sequence[str], keys: Sequence[str] = ("benchmark", "model_display")
 ) -> DataFrame:

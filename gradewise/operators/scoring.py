@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,9 +72,14 @@ def cot_accuracy(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def first_match(values: Column, test: Callable[[Column], Column]) -> Column:
+    """The first element that passes `test`; null when none does."""
+    return F.get(F.filter(values, test), F.lit(0))
+
+
 def choice_metric(scores: Column, metric: str) -> Column:
     """A metric of the first score named `choice`; null when there is none."""
-    return F.get(F.filter(scores, lambda s: s["name"] == "choice"), F.lit(0))["metrics"][metric]["value"]
+    return first_match(scores, lambda s: s["name"] == "choice")["metrics"][metric]["value"]
 
 
 def _in_row_score(samples: Column) -> Column:

@@ -15,6 +15,10 @@ class Tables:
         self._spark = spark
         self._folder = str(folder).rstrip("/")
 
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
