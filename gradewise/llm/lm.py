@@ -56,11 +56,12 @@ def counts(rows: DataFrame, slots: int) -> DataFrame:
                 found = [s for t, good in zip(texts(batch), batch.column("target").to_pylist(), strict=True) if good == want for s in slots_of(t, slots)]
                 if found:
                     np.add.at(tables[which], np.concatenate(found), 1)
-        at = np.flatnonzero(tables.any(0))
+        every = tables.sum(0)
+        at = np.flatnonzero(every)
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(tables[0][part]), pa.array(tables.sum(0)[part])], names=["slot", "target", "every"]
+                [pa.array(part.astype(np.int32)), pa.array(tables[0][part]), pa.array(every[part])], names=["slot", "target", "every"]
             )
 
     one = rows.select("text", "target").mapInArrow(run, "slot int, target long, every long")

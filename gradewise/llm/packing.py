@@ -28,7 +28,7 @@ SIZE, END, GROUP_DOCS = 2048, 1, 1000
 #: Gaps below this many ids stay as padding rather than take a sliver of another document.
 LEAST_CUT = 16
 #: Entries of the cache of encoded words in a worker process.
-CACHE = 400_000
+CACHE = 700_000
 
 # A single space between two characters that aren't space: the tokenizer's own splitting always begins a new piece there.
 _APART = re.compile(r"(?<=\S) (?=\S)")
@@ -50,6 +50,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # pieces that begin with a space, in the letters of byte-level vocabularies
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def learn(self, units: set[str], inner: bool) -> None:
@@ -58,6 +61,18 @@ class Encoder:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = sorted(units)
+        if inner:
+            # words without space inside are encoded many at a time: the only pieces that begin with a space begin a word
+            whole = [u for u in new if u.split() == [u]]
+            chunks = [whole[k : k + 1000] for k in range(0, len(whole), 1000)]
+            codes = self.tokenizer.encode_batch_fast(["".join([" " + u for u in c]) for c in chunks], add_special_tokens=False)
+            for chunk, code in zip(chunks, codes, strict=True):
+                ids = np.array(code.ids, self.kind)
+                at = np.flatnonzero(self.opens[ids])
+                if len(at) == len(chunk):
+                    packed, ends = ids.tobytes(), [*(at * ids.itemsize).tolist(), ids.nbytes]
+                    known.update(zip(chunk, [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+            new = [u for u in new if u not in known]
         codes = self.tokenizer.encode_batch_fast([" " + u for u in new] if inner else new, add_special_tokens=False)
         known.update((u, np.array(c.ids, self.kind).tobytes()) for u, c in zip(new, codes, strict=True))
 
