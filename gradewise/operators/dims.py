@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gradewise import fixed_values as fixed
 from gradewise.functions.labels import benchmark_display, condition_label, model_display, standardize_org
-from gradewise.operators.sizes import dimension
 
 
 def dedupe_keep_first(frames: Sequence[DataFrame], key: str, order: Sequence[str]) -> DataFrame:
@@ -57,7 +56,7 @@ def model_metadata(prices: DataFrame, notable: DataFrame, large_scale: DataFrame
 
 def with_benchmark_facts(runs: DataFrame, baselines: DataFrame, dates: DataFrame) -> DataFrame:
     """Add `baselines` and `benchmark_publication_date`; null where unknown. Both have one row per benchmark."""
-    return runs.join(dimension(baselines), "benchmark", "left").join(dimension(dates), "benchmark", "left")
+    return runs.join(baselines, "benchmark", "left").join(dates, "benchmark", "left")
 
 
 def with_computed_random(baselines: DataFrame, computed: DataFrame) -> DataFrame:
@@ -90,7 +89,7 @@ def enrich_runs(
     """Run rows with model and benchmark facts in a fixed column order, with cost on request."""
     from gradewise.operators.costing import with_run_cost
 
-    described = runs.join(dimension(metadata), "inspect_model_name", "left")
+    described = runs.join(metadata, "inspect_model_name", "left")
     joined = with_benchmark_facts(described, baselines, dates)
     if include_cost:
         return with_run_cost(joined).select(RUN_COLUMNS)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
-DIMENSION_ROWS = 10_000
 
 
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -18,7 +17,3 @@ def sent_if(table: DataFrame, small: bool) -> DataFrame:
     """Broadcast when a check has bounded the size; otherwise leave the choice to Spark."""
     return F.broadcast(table) if small else table
 
-
-def dimension(table: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    """A table to join as a dimension: broadcast when it has at most `rows` rows."""
-    return sent_if(table, is_small(table, rows))
