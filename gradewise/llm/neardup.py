@@ -10,8 +10,8 @@ Classes. Texts with equal multisets are one node. Nodes that share a band are ca
 counted on the shingles themselves, is `SIMILARITY` or more; a class is a connected component of links. A crowded bucket, such as that of a
 large group of near copies, is first taken apart by the rare shingles of its members, which loses no link (see `rare_buckets`). Pairs inside a
 bucket are not all emitted: round by round, leaders of each bucket are compared with its members of other components, components merge, a
-leader whose comparisons are complete leaves the bucket, and a bucket with one component left is done. The number of leaders grows fourfold
-each round. What is left once that is little work is compared exhaustively, so every candidate pair is verified or already known to be in
+leader whose comparisons are complete leaves the bucket, and a bucket with one component left is done. The number of leaders grows
+16 times each round. What is left once that is little work is compared exhaustively, so every candidate pair is verified or already known to be in
 one class.
 
 Results in special cases: null, empty and blank texts have no shingles and are never duplicates; a text of one to four words is one
@@ -42,8 +42,8 @@ REST = 20_000
 CROWD = 8
 #: Keys of this many documents at most are sent to all executors.
 SENT_ROWS = 500_000
-#: Leaders of a bucket in the first round, four times as many in each further one.
-FIRST_LEADERS = 1
+#: Leaders of a bucket in the first round, 16 times as many in each further one.
+FIRST_LEADERS = 4
 #: Links that go into one file of the small tables of a round.
 LINKS_A_FILE = 200_000
 
@@ -299,7 +299,7 @@ def candidate_parts(docs: DataFrame, nodes: DataFrame, least: float) -> DataFram
         seen = pairs if seen is None else seen.union(pairs)
         done = lead.select("bucket", F.col("leader").alias("node"))
         members = now.drop("part").join(done, ["bucket", "node"], "left_anti").join(open_buckets.select("bucket"), "bucket", "left_semi")
-        leaders *= 4
+        leaders *= 16
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
