@@ -198,9 +198,15 @@ def rare_buckets(sets: DataFrame, crowded: DataFrame, least: float) -> DataFrame
     own = own.join(crowded, "node")
     prefix = F.col("weight") - F.ceil(F.col("weight") * F.lit(least) - 1e-9) + 1
     wanted = F.greatest(prefix - (F.col("weight") - F.size("own")), F.lit(0)).cast("int")
-    return own.select(F.explode(F.slice("own", F.lit(1), wanted)).alias("x"), "node", "weight").select(
+    rows = own.select(F.explode(F.slice("own", F.lit(1), wanted)).alias("x"), "node", "weight").select(
         F.xxhash64("x.e", F.lit(1)).alias("bucket"), "node", "weight"
     )
+    rows = stored(rows, "dup-rare")
+    # the shingles around one edit have the same members: one bucket of them is enough, and none is needed for a member alone
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    alike = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
+    one = alike.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(one, "bucket", "left_semi")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
