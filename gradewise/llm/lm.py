@@ -2,8 +2,7 @@
 
 Both models are word bigram models with unigram back-off. They share one vocabulary (words hashed into `WORDS` classes), one table of hashed
 bigrams, one order and one smoothing, and background counts are scaled to the target's size, so losses differ by what was seen alone. Counting covers every word of every document: each task
-sums into dense tables, and tasks' tables are added up by slot. The bigram table grows with the corpus, up to `MOST_SLOTS`, which bounds what
-is sent to the tasks that score. A document's own counts are taken out before it is scored, so no text is praised for having been counted.
+sums into dense tables, and tasks' tables are added up by slot, so what is gathered grows with the corpus and the model has a fixed size. A document's own counts are taken out before it is scored, so no text is praised for having been counted.
 
 For each word the loss under a model is -log P(word | word before); the score of a document is the mean of the per-word differences, target
 loss less background loss: the lower, the closer to the target.
@@ -27,7 +26,8 @@ from pyspark.sql import types as T
 from gradewise.llm.textual import Bounded, mixed, slices, texts, words
 
 WORDS = 1 << 17
-LEAST_SLOTS, MOST_SLOTS, CHARS_PER_SLOT = 1 << 16, 1 << 22, 400
+#: Hashed bigrams: bounds what a task emits and what is sent to the tasks that score, whatever the size of the corpus.
+SLOTS = 1 << 20
 #: Weight of the unigram estimate in counts of the context, and of the uniform one in counts of all words.
 BACK_OFF, UNIFORM = 8.0, 1000.0
 
@@ -103,12 +103,8 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("target"))
 
 
-def learned(rows: DataFrame) -> Models:
-    """Both models; the driver gets sums per slot, at most MOST_SLOTS + 2 * WORDS + 1 of them."""
-    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    slots = LEAST_SLOTS
-    while slots < MOST_SLOTS and slots * CHARS_PER_SLOT < chars:
-        slots *= 2
+def learned(rows: DataFrame, slots: int = SLOTS) -> Models:
+    """Both models; the driver gets sums per slot, at most slots + 2 * WORDS + 1 of them."""
     got = counts(rows, slots).toArrow()
     tables = np.zeros((2, table_size(slots)), np.int64)
     at = got["slot"].to_numpy()

@@ -98,7 +98,7 @@ def test_lm_brute_force(given, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     good = {r.doc_id for r in labels.where("quality > 0").collect()}
     rows = {r.doc_id: r.text or "" for r in given.collect()}
-    slots, tables = lm.LEAST_SLOTS, [dict(), dict()]
+    slots, tables = lm.SLOTS, [dict(), dict()]
     for i, t in rows.items():
         for part in lm.slots_of(t, slots):
             for s in part.tolist():
