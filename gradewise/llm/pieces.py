@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from gradewise.llm.common import keyed
 from gradewise.llm.textual import mixed, slices, texts
 
-DROPOUT, SEED, VARIANTS, CACHE = 0.1, 17, 8, 60_000
+DROPOUT, SEED, VARIANTS, CACHE = 0.1, 17, 2, 300_000
 SPACE, LITERAL = "▁", "\udfff"  # the mark, and a stand-in for the mark as ordinary text
 #: Units of more characters than this have a heap of their own.
 LONG = 48
@@ -136,8 +136,11 @@ def encode_long(voc: Vocabulary, unit: str, seed: int, dropout: float) -> list[i
     return out
 
 
-def encode_short(voc: Vocabulary, units: list[str], seeds: list[int], dropout: float) -> list[np.ndarray]:
-    """Many units at once: in each round every unit takes the best merge on its agenda, until none has one left."""
+def encode_short(voc: Vocabulary, units: list[str], seeds: list[int], dropout: float) -> list[bytes]:
+    """Many units at once: in each round every unit takes the best merge on its agenda, until none has one left.
+
+    Each unit's ids as packed 32-bit integers.
+    """
     sizes = np.array([len(u) for u in units])
     joined = "".join(units)
     get = voc.ids.get
@@ -162,9 +165,10 @@ def encode_short(voc: Vocabulary, units: list[str], seeds: list[int], dropout: f
             stop = np.where(inside & (owner[nxt] == owner[same]), start[nxt], sizes[owner[same]])
             kept = ~_skipped(seed[owner[same]], start[same], start[same + 1], stop, dropout)
             same, to = same[kept], to[kept]
-        order = np.lexsort((same, voc.rank[to], owner[same]))
-        own = owner[same[order]]
-        best = order[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])] if len(own) else order
+        # the best rank of each unit, the leftmost of equals
+        own, n = owner[same], len(same)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if n else same
+        best = np.minimum.reduceat(voc.rank[to] * n + np.arange(n), first) % n if n else same
         moving = np.zeros(len(units), bool)
         moving[owner[same[best]]] = True
         stay = moving[owner]
@@ -180,7 +184,9 @@ def encode_short(voc: Vocabulary, units: list[str], seeds: list[int], dropout: f
         parts = [voc.spelled(joined[base[o] + s]) if i < 0 else [i] for o, s, i in zip(owner, start, ids, strict=True)]
         owner = np.repeat(owner, [len(p) for p in parts])
         ids = np.array([x for p in parts for x in p], np.int64)
-    return np.split(ids.astype(np.int32), np.searchsorted(owner, np.arange(1, len(units))))
+    ends = np.searchsorted(owner, np.arange(len(units) + 1)) * 4
+    packed, ends = ids.astype(np.int32).tobytes(), ends.tolist()
+    return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class Encoder:
@@ -206,7 +212,7 @@ class Encoder:
         seeds = [unit_seed(u, v, self.seed) for u, (v, _) in zip(units, wanted, strict=True)]
         short = [i for i, u in enumerate(units) if len(u) <= LONG]
         for i, ids in zip(short, encode_short(self.voc, [units[i] for i in short], [seeds[i] for i in short], self.dropout), strict=False):
-            self.known[wanted[i][0]][wanted[i][1]] = ids.tobytes()
+            self.known[wanted[i][0]][wanted[i][1]] = ids
         for i, u in enumerate(units):
             if len(u) > LONG:
                 self.known[wanted[i][0]][wanted[i][1]] = np.array(encode_long(self.voc, u, seeds[i], self.dropout), np.int32).tobytes()
@@ -223,7 +229,7 @@ class Encoder:
             wanted = every
         else:
             wanted = {(v, u) for v, u in every if u not in known[v]}
-        self.learn(sorted(wanted))
+        self.learn(list(wanted))
         return [np.frombuffer(b"".join([known[v][u] for v, u in zip(vs, us, strict=True)]), np.int32) for vs, us in zip(drawn, cut, strict=True)]
 
 
