@@ -38,6 +38,7 @@ def test_query_matches_sql(spark, checker, db, name):
 
 def test_driver_contract(spark):
     entry = load(ROOT / "__spark_entry__.py", "spark_entry")
-    assert set(entry.queries()) == set(entry.oracle_sql()) == set(all_queries.QUERIES)
+    # queries of installed extensions may come on top, and not all of them have SQL
+    assert set(all_queries.QUERIES) == set(all_queries.SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
     frame = entry.entry(spark)
     assert frame.count() > 0 and "mean_accuracy" in frame.columns
