@@ -1,8 +1,13 @@
 """LM scoring by cross-entropy difference: how much better a model of good text predicts a document than a model of all text.
 
-Both models are word bigram models with unigram back-off. They share one vocabulary (words hashed into `WORDS` classes), one table of hashed
-bigrams, one order and one smoothing, and background counts are scaled to the target's size, so losses differ by what was seen alone. Counting covers every word of every document: each task
-sums into dense tables, and tasks' tables are added up by slot, so what is gathered grows with the corpus and the model has a fixed size. A document's own counts are taken out before it is scored, so no text is praised for having been counted.
+Both models are word bigram models with unigram back-off. They share one vocabulary, one order and one smoothing, and background counts are
+scaled to the target's size, so losses differ by what was seen alone. Words and bigrams are known by digests of 62 bits, each with a count
+of its own, whatever the size of the corpus.
+
+1. Counting covers every word of every document: tasks sum what they have read, Spark adds the sums up by bigram. The counts are a stored
+   table that grows with the corpus; words and contexts are sums over it.
+2. Scoring joins the distinct bigrams of documents to the counts. A document's own counts are taken out before it is scored, so no text is
+   praised for having been counted. The loss of a document is a sum over its bigrams, so nothing of the table is gathered in one place.
 
 For each word the loss under a model is -log P(word | word before); the score of a document is the mean of the per-word differences, target
 loss less background loss: the lower, the closer to the target.
@@ -14,124 +19,142 @@ no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from gradewise.llm.common import WORD, keyed, stored
 from gradewise.llm.textual import Bounded, mixed, slices, texts, words
 
+#: Words that share what the uniform estimate gives.
 WORDS = 1 << 17
-#: Hashed bigrams: bounds what a task emits and what is sent to the tasks that score, whatever the size of the corpus.
-SLOTS = 1 << 20
+#: Keys of bigrams lie from 0 to here, of contexts below 0, of words above this and WORDS.
+SLOTS = 1 << 62
 #: Weight of the unigram estimate in counts of the context, and of the uniform one in counts of all words.
 BACK_OFF, UNIFORM = 8.0, 1000.0
+#: Words that a task sums before it hands the sums on.
+SUMMED = 1_000_000
+
+_DIGEST = Bounded(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (SLOTS - WORDS - 2) + 1, 500_000)
 
-_CLASS = Bounded(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS, 500_000)
 
+def slots_of(text: str, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bigram key, context key, word key) of each word of a text. The first word's context is the text's beginning."""
+    ids = np.array([_DIGEST[w] for w in words(text)], np.int64)
+    before = np.r_[0, ids[:-1]] if len(ids) else ids
+    gram = (mixed(mixed(before.astype(np.uint64)) + ids.astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
+    return gram, -1 - before, slots + WORDS + ids
 
-def slots_of(text: str, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bigram slot, context slot, word slot) of each word of a text. The first word's context is the text's beginning."""
-    ids = np.array([_CLASS[w] for w in words(text)], np.int64)
-    before = np.r_[WORDS, ids[:-1]] if len(ids) else ids
-    gram = (mixed(before.astype(np.uint64) * np.uint64(WORDS + 1) + ids.astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
-    return gram, slots + before, slots + WORDS + 1 + ids
 
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
 
-def table_size(slots: int) -> int:
-    return slots + 2 * WORDS + 1
 
+def counts(rows: DataFrame) -> DataFrame:
+    """(gram, context, word, target, every): summed counts of the bigrams of the rows (text, target)."""
+    names = "gram context word target every"
 
-def counts(rows: DataFrame, slots: int) -> DataFrame:
-    """(slot, target, every): summed counts of the rows (text, target)."""
+    def summed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        gram, context, word, good = (np.concatenate(x) for x in zip(*found, strict=True))
+        gram, first, where, every = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+        target = np.bincount(where, good, len(gram)).astype(np.int64)
+        for k in range(0, len(gram), 100_000):
+            at = slice(k, k + 100_000)
+            yield _batch(names, gram[at], context[first[at]], word[first[at]], target[at], every[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, table_size(slots)), np.int64)
+        found, n = [], 0
         for batch in slices(batches):
-            for which, want in ((0, True), (1, False)):
-                found = [s for t, good in zip(texts(batch), batch.column("target").to_pylist(), strict=True) if good == want for s in slots_of(t, slots)]
-                if found:
-                    np.add.at(tables[which], np.concatenate(found), 1)
-        every = tables.sum(0)
-        at = np.flatnonzero(every)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(tables[0][part]), pa.array(every[part])], names=["slot", "target", "every"]
-            )
-
-    one = rows.select("text", "target").mapInArrow(run, "slot int, target long, every long")
-    return one.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
-
-
-class Models:
-    """Counts of the target and of all documents in one table layout."""
-
-    def __init__(self, slots: int, tables: np.ndarray):
-        self.slots, self.tables = slots, tables
-        self.totals = tables[:, slots + WORDS + 1 :].sum(1).astype(float)
-        # background counts weigh as those of a sample of the target's size, so smoothing takes as much from both
-        self.match = self.totals[0] / self.totals[1] if self.totals[0] else 1.0
-
-    def losses(self, text: str, target: bool) -> tuple[int, float, float]:
-        """Words, and the mean loss under the target and the background model, the text's own counts left out."""
-        gram, context, word = slots_of(text, self.slots)
-        n = len(gram)
-        if not n:
-            return 0, 0.0, 0.0
-        own = []
-        for s in (gram, context, word):
-            _, where, times = np.unique(s, return_inverse=True, return_counts=True)
-            own.append(times[where])
-        out = []
-        for table, total, mine, scale in ((self.tables[0], self.totals[0], int(target), 1.0), (self.tables[1], self.totals[1], 1, self.match)):
-            g, c, w = (scale * np.maximum(table[s] - mine * o, 0) for s, o in zip((gram, context, word), own, strict=True))
-            single = (w + UNIFORM / WORDS) / (scale * (total - mine * n) + UNIFORM)
-            out.append(float(-np.log((g + BACK_OFF * single) / (np.maximum(c, g) + BACK_OFF)).mean()))
-        return n, out[0], out[1]
-
-
-def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target): whether a document is labelled good."""
-    good = labels.where("quality > 0").select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_good", F.lit(True))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"))
-    return rows.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("target"))
+            for text, good in zip(texts(batch), batch.column("target").to_pylist(), strict=True):
+                gram, context, word = slots_of(text)
+                found.append((gram, context, word, np.full(len(gram), good)))
+                n += len(gram)
+                if n >= SUMMED:
+                    yield from summed(found)
+                    found, n = [], 0
+        if n:
+            yield from summed(found)
 
+    one = rows.select("text", "target").mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
+    return one.groupBy("gram", "context", "word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
 
-def learned(rows: DataFrame, slots: int = SLOTS) -> Models:
-    """Both models; the driver gets sums per slot, at most slots + 2 * WORDS + 1 of them."""
-    got = counts(rows, slots).toArrow()
-    tables = np.zeros((2, table_size(slots)), np.int64)
-    at = got["slot"].to_numpy()
-    tables[0][at], tables[1][at] = got["target"].to_numpy(), got["every"].to_numpy()
-    return Models(slots, tables)
 
+def wanted(rows: DataFrame) -> DataFrame:
+    """(gram, th, target, n, g, c, w): the distinct bigrams of every text, its words, and how often bigram, context and word stand in it.
 
-def scored(rows: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, difference) of the rows (doc_id, text, target)."""
-    sent = rows.sparkSession.sparkContext.broadcast((models.slots, models.tables))
-    schema = T.StructType([rows.schema["doc_id"]]).add("n_words", "long")
-    for name in ("target_loss", "background_loss", "difference"):
-        schema = schema.add(name, "double")
+    Losses depend on text and target alone and are means over words, so it doesn't matter how many copies of a text are looked up.
+    """
+    names = "gram th target n g c w"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(*sent.value)
-        for batch in slices(batches):
-            got = [models.losses(t, g) for t, g in zip(texts(batch), batch.column("target").to_pylist(), strict=True)]
-            n, good, every = (np.array(x) for x in zip(*got, strict=True)) if got else (np.zeros(0),) * 3
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(good, pa.float64()), pa.array(every, pa.float64()), pa.array(good - every, pa.float64())],
-                names=schema.names,
-            )
+        seen = set()
+        for batch in slices(batches, 64):
+            found = []
+            for text, *key in zip(texts(batch), batch.column("th").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                if tuple(key) in seen:
+                    continue
+                seen.add(tuple(key))
+                gram, context, word = slots_of(text)
+                gram, first, g = np.unique(gram, return_index=True, return_counts=True)
+                own = []
+                for s in (context, word):
+                    _, where, times = np.unique(s, return_inverse=True, return_counts=True)
+                    own.append(times[where][first])
+                same = [np.full(len(gram), x) for x in (*key, len(word))]
+                found.append((gram, *same, g, *own))
+            if found:
+                gram, th, target, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                for k in range(0, len(gram), 100_000):
+                    at = slice(k, k + 100_000)
+                    yield _batch(names, gram[at], th[at].astype(np.int64), target[at].astype(bool), *(x[at].astype(np.int32) for x in rest))
+
+    return rows.select("th", "text", "target").mapInArrow(run, "gram long, th long, target boolean, n int, g int, c int, w int")
+
 
-    return rows.mapInArrow(run, schema)
+def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, th, text, target): whether a document is labelled good."""
+    good = labels.where("quality > 0").select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_good", F.lit(True))
+    rows = keyed(docs).join(good, "doc_id", "left")
+    return rows.select("doc_id", "th", "text", F.coalesce("_good", F.lit(False)).alias("target"))
+
+
+def losses(rows: DataFrame) -> DataFrame:
+    """(th, target, target_loss, background_loss): mean losses of every text of the rows (th, text, target) that has words."""
+    grams = stored(counts(rows), "lm-bigrams")
+    sums = [F.sum(x).alias(f"{x}_n") for x in ("target", "every")]
+    known = grams
+    for what in ("word", "context"):
+        by = stored(grams.groupBy(what).agg(*sums), f"lm-{what}s").withColumnsRenamed({"target_n": f"{what}_target", "every_n": f"{what}_every"})
+        known = known.join(by, what)
+    total = grams.agg(*sums).first()
+    totals = [float(x or 0) for x in total]
+    # background counts weigh as those of a sample of the target's size, so smoothing takes as much from both
+    match = totals[0] / totals[1] if totals[0] else 1.0
+    known = known.drop("word", "context").withColumnsRenamed({"target": "gram_target", "every": "gram_every"})
+
+    def loss(which: str, total: float, mine: Column, scale: float) -> Column:
+        g, c, w = (
+            (F.col(f"{what}_{which}") - mine * F.col(own)) * F.lit(scale) for what, own in (("gram", "g"), ("context", "c"), ("word", "w"))
+        )
+        single = (w + UNIFORM / WORDS) / ((F.lit(total) - mine * F.col("n")) * F.lit(scale) + UNIFORM)
+        return F.sum(-F.log((g + single * BACK_OFF) / (c + BACK_OFF)) * F.col("g")) / F.sum("g")
+
+    met = wanted(rows).join(known, "gram")
+    return met.groupBy("th", "target").agg(
+        loss("target", totals[0], F.col("target").cast("int"), 1.0).alias("target_loss"),
+        loss("every", totals[1], F.lit(1), match).alias("background_loss"),
+    )
 
 
 def difference_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_words, target_loss, background_loss, difference) of every row of `docs`."""
     rows = with_target(docs, labels)
-    return scored(rows, learned(rows))
+    lost = losses(rows).withColumnsRenamed({"th": "_th", "target": "_target"})
+    short = rows.select("doc_id", "th", "target", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    both = short.join(lost, (F.col("th") == F.col("_th")) & (F.col("target") == F.col("_target")), "left")
+    good, every = (F.coalesce(c, F.lit(0.0)) for c in ("target_loss", "background_loss"))
+    return both.select("doc_id", "n_words", good.alias("target_loss"), every.alias("background_loss"), (good - every).alias("difference"))

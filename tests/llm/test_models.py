@@ -169,3 +169,11 @@ def test_dropout_varies_and_repeats(spark):
     assert one == two and one != other
     plain = pieces.encoded(docs, dropout=0.0).orderBy("doc_id").collect()
     assert all(len(a.ids) > len(b.ids) for a, b in zip(one, plain, strict=True))
+
+
+def test_lm_counts_every_bigram(spark):
+    """More distinct bigrams than the former table had slots: each keeps a count of its own."""
+    n = 1_200_000
+    rows = spark.range(0, 200, 1, 4).select(F.concat_ws(" ", F.transform(F.sequence(F.col("id") * (n // 200), (F.col("id") + 1) * (n // 200) - 1), lambda i: F.concat(F.lit("w"), i.cast("string")))).alias("text"), F.lit(False).alias("target"))
+    got = lm.counts(rows).agg(F.count("*").alias("n"), F.max("every").alias("most"), F.countDistinct("word").alias("words")).first()
+    assert tuple(got) == (n, 1, n)
