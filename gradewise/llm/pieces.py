@@ -1,12 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
 A text is cut into units (a run of space marks and the word behind it; no piece reaches over the end of one). Inside a unit, merges of
-neighbouring symbols wait in an agenda, best score first, ties to the left. A candidate merge is known by its unit, variant and span, and a
-keyed digest of these decides whether it is skipped: the same key gives the same pieces on every machine and every retry, another
-`seed` gives others. Each word of a text draws one of `VARIANTS` variants by a digest of text and place, so one word is segmented in different
-ways through the corpus while a worker segments each (word, variant) only once. Short units of a batch go through the agenda together, one
-merge of each at a time; long ones have a heap of their own. Characters outside the vocabulary become byte pieces, also the space mark itself
-where a text holds it, so decoding gives back every text.
+neighbouring symbols wait in an agenda, best score first, ties to the left. A candidate merge is known by its unit, the place of the unit and
+its span, and a keyed digest of these decides whether it is skipped: the same key gives the same pieces on every machine and every retry,
+another `seed` gives others. The place is a digest of text and position, so every occurrence of a word has draws of its own; only without
+dropout does a worker remember segmentations. Short units go through the agenda together, one merge of each at a time; long ones have a heap
+of their own. Characters outside the vocabulary become byte pieces, also the space mark itself where a text holds it, so decoding gives back
+every text.
 
 Results in special cases: a null or empty text has no pieces; rows that agree in doc_id and text get the same pieces; an empty table gives no
 rows; extra columns are not read. With `dropout` 0 the pieces are those of the SentencePiece library.
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewise.llm.common import keyed
-from gradewise.llm.textual import mixed, slices, texts
+from gradewise.llm.textual import Bounded, mixed, slices, texts
 
-DROPOUT, SEED, VARIANTS, CACHE = 0.1, 17, 2, 300_000
+DROPOUT, SEED, CACHE = 0.1, 17, 300_000
 SPACE, LITERAL = "▁", "\udfff"  # the mark, and a stand-in for the mark as ordinary text
 #: Units of more characters than this have a heap of their own.
 LONG = 48
+#: Units that go through the agenda together.
+TOGETHER = 8192
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MASK = (1 << 64) - 1
@@ -91,8 +93,16 @@ def _skipped(seed: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarr
     return (code >> np.uint64(11)).astype(float) / 9007199254740992.0 < dropout
 
 
-def unit_seed(unit: str, variant: int, seed: int) -> int:
-    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * VARIANTS + variant) & _MASK)
+def unit_seeds(digests: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return mixed(digests + places)
+
+
+def unit_digest(unit: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), seed & _MASK)
+
+
+def unit_seed(unit: str, place: int, seed: int) -> int:
+    return int(unit_seeds(np.array([unit_digest(unit, seed)], np.uint64), np.array([place], np.uint64))[0])
 
 
 def encode_long(voc: Vocabulary, unit: str, seed: int, dropout: float) -> list[int]:
@@ -136,7 +146,7 @@ def encode_long(voc: Vocabulary, unit: str, seed: int, dropout: float) -> list[i
     return out
 
 
-def encode_short(voc: Vocabulary, units: list[str], seeds: list[int], dropout: float) -> list[bytes]:
+def encode_short(voc: Vocabulary, units: list[str], seeds: list[int] | np.ndarray, dropout: float) -> list[bytes]:
     """Many units at once: in each round every unit takes the best merge on its agenda, until none has one left.
 
     Each unit's ids as packed 32-bit integers.
@@ -190,12 +200,12 @@ def encode_short(voc: Vocabulary, units: list[str], seeds: list[int], dropout: f
 
 
 class Encoder:
-    """Pieces of whole texts; remembers what it has segmented, up to `CACHE` words per variant."""
+    """Pieces of whole texts; remembers up to `CACHE` digests of words, and their pieces only if nothing is dropped."""
 
     def __init__(self, voc: Vocabulary, dropout: float, seed: int):
         self.voc, self.dropout, self.seed = voc, dropout, seed
-        self.variants = VARIANTS if dropout > 0 else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.digest = Bounded(lambda u: unit_digest(SPACE + u, seed), CACHE)
+        self.known: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
         """The units of a text, each without its first space mark."""
@@ -204,33 +214,36 @@ class Encoder:
             return [u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
         return text.split(" ") if text else []
 
-    def learn(self, wanted: list[tuple[int, str]]) -> None:
-        for known in self.known:
-            if len(known) > CACHE:
-                known.clear()
-        units = [SPACE + u for _, u in wanted]
-        seeds = [unit_seed(u, v, self.seed) for u, (v, _) in zip(units, wanted, strict=True)]
+    def segmented(self, units: list[str], seeds: np.ndarray) -> list[bytes]:
+        """Packed ids of every unit, each with its own seed."""
+        units = [SPACE + u for u in units]
+        out = [b""] * len(units)
         short = [i for i, u in enumerate(units) if len(u) <= LONG]
-        for i, ids in zip(short, encode_short(self.voc, [units[i] for i in short], [seeds[i] for i in short], self.dropout), strict=False):
-            self.known[wanted[i][0]][wanted[i][1]] = ids
+        for k in range(0, len(short), TOGETHER):
+            at = short[k : k + TOGETHER]
+            for i, ids in zip(at, encode_short(self.voc, [units[i] for i in at], seeds[at], self.dropout), strict=True):
+                out[i] = ids
         for i, u in enumerate(units):
             if len(u) > LONG:
-                self.known[wanted[i][0]][wanted[i][1]] = np.array(encode_long(self.voc, u, seeds[i], self.dropout), np.int32).tobytes()
+                out[i] = np.array(encode_long(self.voc, u, int(seeds[i]), self.dropout), np.int32).tobytes()
+        return out
 
     def encode(self, many: list[str], keys: list[int]) -> list[np.ndarray]:
         cut = [self.units(t) for t in many]
-        drawn = [
-            (mixed(np.arange(len(u), dtype=np.uint64) + np.array([k & _MASK], np.uint64)) % np.uint64(self.variants)).tolist()
-            for u, k in zip(cut, keys, strict=True)
-        ]
-        known = self.known
-        every = {x for vs, us in zip(drawn, cut, strict=True) for x in zip(vs, us, strict=True)}
-        if max(map(len, known)) > CACHE:
-            wanted = every
-        else:
-            wanted = {(v, u) for v, u in every if u not in known[v]}
-        self.learn(list(wanted))
-        return [np.frombuffer(b"".join([known[v][u] for v, u in zip(vs, us, strict=True)]), np.int32) for vs, us in zip(drawn, cut, strict=True)]
+        if self.dropout > 0:
+            out = []
+            for units, key in zip(cut, keys, strict=True):
+                places = mixed(np.arange(len(units), dtype=np.uint64) + mixed(np.array([key & _MASK], np.uint64)))
+                out.append(unit_seeds(np.array([self.digest[u] for u in units], np.uint64), places))
+            # texts meet in one call, since most have few units
+            every = self.segmented([u for units in cut for u in units], np.concatenate([*out, np.zeros(0, np.uint64)]))
+            ends = np.cumsum([0, *map(len, cut)]).tolist()
+            return [np.frombuffer(b"".join(every[a:b]), np.int32) for a, b in zip(ends, ends[1:], strict=False)]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list({u for units in cut for u in units} - self.known.keys())
+        self.known.update(zip(new, self.segmented(new, np.zeros(len(new), np.uint64)), strict=True))
+        return [np.frombuffer(b"".join([self.known[u] for u in units]), np.int32) for units in cut]
 
 
 def decode(voc: Vocabulary, ids) -> str:
@@ -251,7 +264,7 @@ def encoded(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model)
         encoder = _ENCODERS.setdefault((model, dropout, seed), Encoder(voc, dropout, seed))
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             many = texts(batch)
             ids = encoder.encode(many, batch.column("th").to_pylist())
             good = [decode(voc, x.tolist()) == t for x, t in zip(ids, many, strict=True)]

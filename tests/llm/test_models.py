@@ -177,3 +177,18 @@ def test_lm_counts_every_bigram(spark):
     rows = spark.range(0, 200, 1, 4).select(F.concat_ws(" ", F.transform(F.sequence(F.col("id") * (n // 200), (F.col("id") + 1) * (n // 200) - 1), lambda i: F.concat(F.lit("w"), i.cast("string")))).alias("text"), F.lit(False).alias("target"))
     got = lm.counts(rows).agg(F.count("*").alias("n"), F.max("every").alias("most"), F.countDistinct("word").alias("words")).first()
     assert tuple(got) == (n, 1, n)
+
+
+def test_every_occurrence_has_its_own_draw():
+    """More than two segmentations of one word, also inside one text, and other draws in another text."""
+    word, encoder = "internationalisation", pieces.Encoder(pieces.vocabulary(None), 0.3, 5)
+    one, two = encoder.encode([" ".join([word] * 200)] * 2, [11, 12])
+    assert one.tolist() != two.tolist()
+    space = {i for p, i in encoder.voc.ids.items() if p.startswith(pieces.SPACE)}
+    ways, now = set(), []
+    for i in [*one.tolist(), min(space)]:
+        if i in space and now:
+            ways.add(tuple(now))
+            now = []
+        now.append(i)
+    assert len(ways) > 20
