@@ -3,8 +3,8 @@
 The terms of a text (runs of letters, lower case) are hashed into `BUCKETS` features; a feature is on if one of its terms stands in the whole
 text. A document's log odds are b + sum w_i + sum over pairs <v_i, v_j>, so two terms that are harmless alone, such as an insult and the
 mention of a group, can weigh more together than their linear weights say. Weights are learned by proximal AdaGrad: the linear part's L1
-penalty sets most of them to zero, which keeps neutral words from adding up in long texts, and only terms on which labels tell something
-have factors.
+penalty sets most of them to zero, which keeps neutral words from adding up in long texts. Every term seen in `LEAST_DOCS` labelled documents or
+more has factors, whatever it says alone; an L2 penalty holds those that say nothing near zero.
 
 Learning uses at most `SAMPLE` labelled documents, the first by digest of their id, whole texts; scoring covers every document. Results in
 special cases: a null or empty text gets the score of no terms; without labels of both kinds the score is their share, or 0 without labels;
@@ -27,8 +27,8 @@ from gradewise.llm.common import keyed
 from gradewise.llm.textual import Bounded, slices, texts
 
 BUCKETS, FACTORS, SAMPLE, THRESHOLD = 1 << 18, 8, 20_000, 0.3
-#: Terms that may have factors: those with the strongest link to the label, and seen in so many documents.
-PAIR_TERMS, LEAST_DOCS = 1024, 3
+#: Terms seen in so many documents of the sample have factors.
+LEAST_DOCS = 3
 
 _TERM = re.compile(r"[^\W\d_]+")
 _HASH = Bounded(lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS, 500_000)
@@ -50,9 +50,15 @@ class Machine:
         sums = v.sum(0)
         return float(self.bias + self.linear[on].sum() + 0.5 * (sums @ sums - (v * v).sum()))
 
-    def compact(self) -> tuple[float, dict[int, tuple[float, np.ndarray]]]:
+    def compact(self) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         used = np.flatnonzero((self.linear != 0) | (self.factors != 0).any(1))
-        return self.bias, {int(i): (float(self.linear[i]), self.factors[i].copy()) for i in used}
+        return self.bias, used, self.linear[used], self.factors[used]
+
+    @classmethod
+    def restored(cls, bias: float, used: np.ndarray, linear: np.ndarray, factors: np.ndarray) -> "Machine":
+        machine = cls(bias, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+        machine.linear[used], machine.factors[used] = linear, factors
+        return machine
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: float = 0.3, noise: float = 0.1, l2: float = 1e-4, seed: int = 7) -> Machine:
@@ -66,17 +72,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: floa
     if positive in (0.0, float(n)):
         return Machine(bias, linear, factors)
     random, l1 = np.random.default_rng(seed), noise / np.sqrt(n)
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=BUCKETS)
-    hits = np.bincount(flat, weights=labels[owner], minlength=BUCKETS)
-    # how far a term's toxic count lies from chance, in standard deviations
-    link = np.abs(hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
-    link[seen < LEAST_DOCS] = 0
-    paired = np.sort(np.argsort(-link, kind="stable")[:PAIR_TERMS])
-    paired = paired[link[paired] > 2]
+    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    paired = np.flatnonzero(seen >= LEAST_DOCS)
     place = np.full(BUCKETS, -1)
     place[paired] = np.arange(len(paired))
-    v = random.normal(0, 0.05, (len(paired), FACTORS))
+    # the longer the documents, the more pairs add up: factors begin and move on a scale that keeps their sum small
+    scale = min(0.05, 1 / np.sqrt(40 * max(1.0, seen.sum() / n)))
+    v = random.normal(0, scale, (len(paired), FACTORS))
     grad_w, grad_v, grad_b = np.full(BUCKETS, 1e-2), np.full(v.shape, 1e-2), 1e-2
     size = max(16, min(256, n // 20))
     for _ in range(rounds):
@@ -88,10 +90,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: floa
             mine = place[ids]
             has = mine >= 0
             pv, pd = mine[has], doc[has]
-            sums = np.zeros((len(batch), FACTORS))
-            squares = np.zeros(len(batch))
-            np.add.at(sums, pd, v[pv])
-            np.add.at(squares, pd, (v[pv] ** 2).sum(1))
+            mine_v = v[pv]
+            sums = np.stack([np.bincount(pd, mine_v[:, k], len(batch)) for k in range(FACTORS)], 1)
+            squares = np.bincount(pd, (mine_v**2).sum(1), len(batch))
             odds = bias + np.bincount(doc, linear[ids], len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
             error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[batch]) / len(batch)
             used, where = np.unique(ids, return_inverse=True)
@@ -100,12 +101,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, rate: floa
             step = rate / np.sqrt(grad_w[used])
             moved = linear[used] - step * g
             linear[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            gv = np.zeros_like(v)
-            np.add.at(gv, pv, error[pd, None] * (sums[pd] - v[pv]))
-            touched = np.unique(pv)
-            gv[touched] += l2 * v[touched]
-            grad_v[touched] += gv[touched] ** 2
-            v[touched] -= 0.1 * rate * gv[touched] / np.sqrt(grad_v[touched])
+            touched, where = np.unique(pv, return_inverse=True)
+            each = error[pd, None] * (sums[pd] - mine_v)
+            gv = np.stack([np.bincount(where, each[:, k], len(touched)) for k in range(FACTORS)], 1) + l2 * v[touched]
+            grad_v[touched] += gv**2
+            v[touched] -= 2 * scale * rate * gv / np.sqrt(grad_v[touched])
             gb = error.sum()
             grad_b += gb * gb
             bias -= rate * gb / np.sqrt(grad_b)
@@ -141,20 +141,14 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score) of every row of `docs`. The machine's few non-zero weights travel with the tasks."""
+    """(doc_id, score) of every row of `docs`. The machine's non-zero weights are sent to the tasks once."""
     rows = keyed(docs).select("doc_id", "text")
-    bias, weights = machine.compact()
+    sent = docs.sparkSession.sparkContext.broadcast(machine.compact())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worth = Bounded(lambda t: weights.get(_HASH[t]) and (_HASH[t], *weights[_HASH[t]]), 500_000)
+        machine = Machine.restored(*sent.value)
         for batch in slices(batches):
-            out = []
-            for text in texts(batch):
-                on = {x[0]: x for x in (worth[t] for t in set(_TERM.findall(text.lower()))) if x}
-                v = np.array([on[i][2] for i in sorted(on)]).reshape(-1, FACTORS)
-                sums = v.sum(0)
-                odds = bias + sum(on[i][1] for i in sorted(on)) + 0.5 * (sums @ sums - (v * v).sum())
-                out.append(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+            out = [1 / (1 + np.exp(-np.clip(machine.log_odds(features(t)), -500, 500))) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("score", "double"))

@@ -192,3 +192,25 @@ def test_every_occurrence_has_its_own_draw():
             now = []
         now.append(i)
     assert len(ways) > 20
+
+
+def test_machine_learns_pairs_without_marginal_link():
+    """A group term as frequent in clean texts as in toxic ones, of more than a thousand terms with a link of their own."""
+    random = np.random.default_rng(1)
+    insult, group = toxicity.features("insult")[0], toxicity.features("group")[0]
+    linked = 1000 + np.arange(1100)
+    rows, labels = [], []
+    for k in range(8000):
+        toxic = k % 10 == 0
+        # alone each says nothing: toxic rows hold both or neither
+        if toxic:
+            a = b = random.random() < 0.5
+        else:
+            a = random.random() < 0.5
+            b = not a
+        rows.append(np.unique(np.array([*random.choice(linked[550:] if toxic else linked[:550], 2), *[insult] * a, *[group] * b], np.int32)))
+        labels.append(float(toxic))
+    machine = toxicity.fit(rows, np.array(labels))
+    assert np.abs(machine.factors[[insult, group]]).sum(1).min() > 0
+    mixed = machine.factors[insult] @ machine.factors[group]
+    assert mixed > 0.01, mixed
