@@ -69,7 +69,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def found(text: Column, pattern: str) -> Column:
+def found(text: Column, pattern: str | Column) -> Column:
     """Leftmost matches that do not overlap: array of (s, e, m), code points from 0, end exclusive. Empty matches are not allowed."""
 
     def placed(v: Column) -> Column:
@@ -88,7 +88,8 @@ def found(text: Column, pattern: str) -> Column:
 
         return F.transform(u["h"], one)
 
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     return let(F.struct(hits.alias("h"), F.split(text, pattern, -1).alias("g")), placed)
 
 

@@ -1,12 +1,12 @@
 """PII: patterns find protected entities, corpus co-occurrence tells which terms beside them give them away.
 
 1. Base spans of four patterns. The value of a span (email in lower case, digits of a phone or card) is a protected entity.
-2. Terms (runs of four or more letters, lower case) inside a window of `WINDOW` code points on either side of a span are its context.
-3. For a term t and an entity e, over distinct texts: P(e|t) is the share of the texts with t that hold t beside e; P(e) the share of all
+2. Terms (runs of four or more letters, lower case) of the whole text outside the spans are the context of each entity in it.
+3. For a term t and an entity e, over distinct texts: P(e|t) is the share of the texts with t that hold e too; P(e) the share of all
    texts that hold e. The disclosure of t about e is log(P(e|t) / P(e)) / -log P(e): 0 for chance, 1 if t gives e away for certain.
-   It counts only if t stands beside e in `SUPPORT` distinct contexts or more; exact copies are one context.
-4. Terms at `REMOVE` or above are removed, terms at `GENERALISE` or above become their class; both are spans (kind `term`) wherever they
-   stand beside the entity.
+   It counts only if t and e share `SUPPORT` distinct texts or more; exact copies are one text.
+4. Terms at `REMOVE` or above are removed, terms at `GENERALISE` or above become their class; both are spans (kind `term`) at all their
+   places outside base spans, in all texts, also in those that don't hold the entity.
 
 Results in special cases: a null or empty text has no spans; rows that agree in doc_id and text get the same result; an empty table gives
 no rows; an entity in all texts has nothing to disclose; other columns of the input are not read.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gradewise.llm.common import count_kind, found, keyed, let, overlaps, span_text, stored, unpacked, whole_rows, with_rows
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.7, 0.9
+SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 #: A list of disclosing terms up to this many rows is sent to all executors; a longer one is joined by shuffling.
 TERM_ROWS = 100_000
 
@@ -83,93 +83,69 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[one(k, *what) for k, what in enumerate(plan)])
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """For every span its window's digest and its terms: array of (v, c, terms: array of (t, s, e))."""
-    size = F.char_length(text)
+def _forms(text: Column) -> Column:
+    """The distinct terms of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
-    def terms(piece: Column, at: Column, cut_left: Column, cut_right: Column) -> Column:
-        whole = F.filter(
-            found(piece, TERM),
-            lambda x: ~(cut_left & (x["s"] == 0)) & ~(cut_right & (x["e"] == F.char_length(piece))) & ~overlaps(spans, x["s"] + at, x["e"] + at),
-        )
-        return F.transform(
-            whole, lambda x: F.struct(F.lower(x["m"]).alias("t"), (x["s"] + at).alias("s"), (x["e"] + at).alias("e"))
-        )
 
-    def one(x: Column) -> Column:
-        begin = F.greatest(x["s"] - WINDOW, F.lit(0))
-        sides = F.struct(
-            begin.alias("at"),
-            F.substring(text, begin + 1, x["s"] - begin).alias("l"),
-            F.substring(text, x["e"] + 1, F.lit(WINDOW)).alias("r"),
-            x["v"].alias("v"),
-            x["e"].alias("e"),
-        )
-        return let(
-            sides,
-            lambda y: F.struct(
-                y["v"].alias("v"),
-                F.xxhash64(y["l"], y["r"]).alias("c"),
-                F.concat(
-                    terms(y["l"], y["at"], y["at"] > 0, F.lit(False)), terms(y["r"], y["e"], F.lit(False), y["e"] + WINDOW < size)
-                ).alias("terms"),
-            ),
-        )
+def protected(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, base, terms): base spans of every text; where it has any, the distinct terms outside them."""
+    from gradewise.llm.secrets import redacted
 
-    return F.transform(spans, one)
+    rows = keyed(docs).select("doc_id", "th", "text", base_spans(F.col("text")).alias("base"))
+    rest = redacted(F.col("text"), F.col("base"), ("",) * len(KINDS))
+    terms = F.when(F.size("base") > 0, F.array_distinct(F.transform(_forms(rest), F.lower)))
+    return rows.select("doc_id", "th", "base", terms.alias("terms"))
 
 
-def protected(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, base, near): base spans of every text and their contexts."""
-    rows = keyed(docs).select("doc_id", "th", "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, _context(F.col("text"), F.col("base")))
-    return rows.select("doc_id", "th", "base", near.alias("near"))
+def _told(together: Column, n_t: Column, n_e: Column, total: int) -> Column:
+    """Disclosure of a term of `n_t` texts about an entity of `n_e`, if they share `together`."""
+    prior = n_e / F.lit(float(max(total, 1)))
+    given = F.least(together / n_t, F.lit(1.0))
+    return F.when(prior < 1, F.log(given / prior) / -F.log(prior)).otherwise(F.lit(0.0))
 
 
-def disclosure(docs: DataFrame, found_rows: DataFrame, support: int, least: float) -> DataFrame:
-    """(v, t, d): terms whose disclosure about an entity is at least `least`."""
+def disclosure(docs: DataFrame, found_rows: DataFrame, support: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(v, t, d): terms whose disclosure about an entity is at least `least`; (th, m, t): the texts that hold such terms, as written."""
     some = found_rows.where(F.size("base") > 0)
-    beside = some.select("th", F.explode("near").alias("x")).select("th", "x.v", "x.c", F.explode("x.terms").alias("y"))
-    beside = beside.select("th", "v", "c", F.col("y.t").alias("t"))
-    contexts = beside.select("v", "t", "c").distinct().groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    together = beside.select("v", "t", "th").distinct().groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te"))
-    by_entity = (
-        some.select("th", F.explode("base.v").alias("v")).distinct().groupBy("v").agg(F.count(F.lit(1)).alias("n_e"))
-    )
-    rows = keyed(docs)
-    total = rows.select("th").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
-
-    def told(n_t: str) -> Column:
-        prior = F.col("n_e") / F.lit(float(max(total, 1)))
-        given = F.least(F.col("n_te") / F.col(n_t), F.lit(1.0))
-        return F.when(prior < 1, F.log(given / prior) / -F.log(prior)).otherwise(F.lit(0.0))
-
-    # a term stands in at least the texts that hold it beside some entity, which bounds its disclosure from above
-    beside_any = beside.select("t", "th").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_least"))
-    pairs = together.join(contexts, ["v", "t"]).join(by_entity, "v").join(beside_any, "t").where(told("n_least") >= least)
-    pairs = stored(pairs, "pii-pairs")
+    one = lambda c, name: some.select("th", F.explode(c).alias(name)).distinct()
+    entity, term = one("base.v", "v"), one("terms", "t")
+    many = lambda rows, name, n: stored(rows.groupBy(name).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) >= support), f"pii-{n}")
+    entities, least_texts = many(entity, "v", "n_e"), many(term, "t", "n_least")
+    total = keyed(docs).select("th").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+
+    # n_e is the most that a pair can share and n_least the least that a term has: together they bound its disclosure from above
+    bound = _told(F.col("n_e"), F.col("n_least"), F.col("n_e"), total) >= least
+    met = entity.join(entities, "v").join(term.join(least_texts, "t"), "th").where(bound)
+    shared = met.groupBy("v", "t", "n_e", "n_least").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    pairs = stored(shared.where(_told(F.col("n_te"), F.col("n_least"), F.col("n_e"), total) >= least), "pii-pairs")
     terms = stored(pairs.select("t").distinct(), "pii-terms")
     wanted = F.broadcast(terms) if terms.count() <= TERM_ROWS else terms
-    in_text = rows.select("th", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("t")).where(F.char_length("t") >= 4)
-    by_term = in_text.join(wanted, "t", "left_semi").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    return pairs.join(by_term, "t").select("v", "t", told("n_t").alias("d")).where(F.col("d") >= least)
+    in_text = keyed(docs).select("th", F.explode(_forms(F.col("text"))).alias("m")).select("th", "m", F.lower("m").alias("t"))
+    held = stored(in_text.join(wanted, "t", "left_semi").distinct(), "pii-held")
+    by_term = held.select("th", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    told = _told(F.col("n_te"), F.col("n_t"), F.col("n_e"), total)
+    return pairs.join(by_term, "t").select("v", "t", told.alias("d")).where(F.col("d") >= least), held.select("th", "m", "t")
 
 
 def find_pii(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of `docs`: (doc_id, th, base, terms), terms as (k, s, e, v, gone), gone true where a term is removed."""
     rows = stored(protected(docs), "pii-spans")
-    strong = disclosure(docs, rows, support, generalise)
-    at = rows.where(F.size("base") > 0).select("doc_id", "th", F.explode("near").alias("x"))
-    at = at.select("doc_id", "th", "x.v", F.explode("x.terms").alias("y")).select("doc_id", "th", "v", "y.*")
-    told = (
-        at.join(strong, ["v", "t"])
-        .groupBy("doc_id", "th", "s", "e")
-        .agg(F.max("d").alias("d"), F.max("t").alias("t"))
-        .groupBy("doc_id", "th")
-        .agg(F.collect_list(F.struct(F.lit(4).alias("k"), "s", "e", F.col("t").alias("v"), (F.col("d") >= remove).alias("gone"))).alias("terms"))
+    strong, held = disclosure(docs, rows, support, generalise)
+    strong = strong.groupBy("t").agg((F.max("d") >= remove).alias("gone"))
+    marks = held.join(strong, "t").groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("m", "gone"))).alias("marks"))
+    # terms are letters only, so they stand in a pattern as they are
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("marks"), "|"), F.lit(r")(?!\p{L})"))
+    at = F.transform(
+        found(F.col("text"), F.col("pattern")),
+        lambda x: F.struct(
+            F.lit(4).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["m"]).alias("v"), F.element_at("marks", x["m"]).alias("gone")
+        ),
     )
+    marked = keyed(docs).join(marks, "th").withColumn("pattern", pattern).select("doc_id", "th", at.alias("at")).dropDuplicates(["doc_id", "th"])
+    apart = F.filter("at", lambda x: ~overlaps(F.col("base"), x["s"], x["e"]))
     none = F.array().cast("array<struct<k:int,s:int,e:int,v:string,gone:boolean>>")
-    return with_rows(rows, told).select("doc_id", "th", "base", F.coalesce("terms", none).alias("terms"))
+    return with_rows(rows.drop("terms"), marked).select("doc_id", "th", "base", F.coalesce(apart, none).alias("terms"))
 
 
 def _places(spans: Column) -> Column:

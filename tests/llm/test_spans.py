@@ -121,3 +121,14 @@ def test_empty_tables(spark):
     assert secrets.secret_report(docs, docs["source"], docs["lang"]).count() == 0
     assert pii.pii_report(docs).count() == 0
     assert secrets.without_secrets(docs, docs["source"], docs["lang"]).columns == docs.columns
+
+
+def test_disclosure_far_away(spark):
+    """A name gives the entity away from another line, at its other places and in a text without the entity."""
+    gap = " ".join(["words"] * 40)
+    rows = [(i, f"Rumpelstilz {i}\n{gap}\nann@x.org\n{gap} rumpelstilz") for i in range(9)]
+    rows += [(10 + i, f"text {i} {gap} bob{i}@x.org") for i in range(30)] + [(50, "only Rumpelstilz stands here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
+    assert all(got[i].n_term == 2 and got[i].spans.startswith("term:0:11,") for i in range(9))
+    assert got[50].spans == "term:5:16" and all(got[10 + i].n_term == 0 for i in range(30))
