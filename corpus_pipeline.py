@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.without_secrets(docs, docs["source"], F.concat_ws("/", docs["source"], docs["lang"]))
+    return secrets.without_secrets(docs, docs["source"], F.concat_ws("/", docs["source"], docs["lang"]), example_repos=4)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Secret scans: patterns find candidates, corpus-wide ownership tells copied examples from live-looking credentials.
 
 Every candidate value is reduced to a digest and counted over the whole corpus by distinct owners and distinct repositories. A value
-that one owner alone holds looks live; a value that many owners hold is an example out of some manual. Base matches always stay and
+that one owner alone holds in few repositories looks live; a value that many owners or many repositories hold is an example out of some
+manual; what lies between is neither. Base matches always stay and
 are marked; free-standing tokens (no keyword beside them) are added as spans only where ownership says that they look live.
 
 Results in special cases: a null or empty text has no spans; rows that agree in doc_id and text get the same result; null owners and
@@ -24,6 +25,9 @@ HEX = rf"[0-9a-f]{{{HEX_MIN},}}+"
 _C = "A-Za-z0-9+/_-"
 TOKEN = rf"(?<![{_C}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_C}]{{{TOKEN_MIN},}}+={{0,2}}+"
 
+#: So many repositories make a value an example, also of one owner.
+EXAMPLE_REPOS = 10
+
 SPAN = "array<struct<k:int,s:int,e:int,h:string>>"
 
 
@@ -65,14 +69,18 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def scan_secrets(docs: DataFrame, owner: Column, repo: Column, live_owners: int = 1, example_owners: int = 3) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, owner: Column, repo: Column, live_owners: int = 1, example_owners: int = 3, example_repos: int = EXAMPLE_REPOS
+) -> DataFrame:
     """One row per row of `docs`: base and all spans with their values' digest and ownership.
 
-    A value held by at most `live_owners` owners looks live, by `example_owners` or more it is an example. `base` holds the spans of the
+    A value held by at least `example_owners` owners or in `example_repos` repositories is an example, another one held by at most `live_owners`
+    owners looks live. `n_repos` is the largest number of repositories that hold a value of the row. `base` holds the spans of the
     given patterns, `spans` these and the live-looking free-standing tokens.
     """
     cands = stored(candidates(docs, owner, repo), "secret-candidates")
     owned = ownership(cands)
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     some = cands.where((F.size("base") > 0) | (F.size("free") > 0))
     one = some.select("doc_id", "th", F.explode(F.array_distinct(F.transform(F.concat("base", "free"), lambda x: x["h"]))).alias("h"))
     known = (
@@ -80,8 +88,9 @@ def scan_secrets(docs: DataFrame, owner: Column, repo: Column, live_owners: int
         .join(owned, "h")
         .groupBy("doc_id", "th")
         .agg(
-            F.collect_set(F.when(F.col("n_owners") <= live_owners, F.col("h"))).alias("live"),
-            F.collect_set(F.when(F.col("n_owners") >= example_owners, F.col("h"))).alias("example"),
+            F.collect_set(F.when((F.col("n_owners") <= live_owners) & ~copied, F.col("h"))).alias("live"),
+            F.collect_set(F.when(copied, F.col("h"))).alias("example"),
+            F.max("n_repos").alias("n_repos"),
         )
     )
     none = F.array().cast("array<string>")
@@ -92,16 +101,17 @@ def scan_secrets(docs: DataFrame, owner: Column, repo: Column, live_owners: int
         "free",
         F.coalesce("live", none).alias("live"),
         F.coalesce("example", none).alias("example"),
+        F.coalesce("n_repos", F.lit(0)).cast("long").alias("n_repos"),
     )
     added = F.filter("free", lambda x: F.array_contains(F.col("live"), x["h"]))
     rows = rows.withColumn("spans", F.concat("base", added))
     marked = lambda c: F.size(F.filter("spans", lambda x: F.array_contains(F.col(c), x["h"]))).cast("long")
-    return rows.select("doc_id", "th", "base", "spans", marked("live").alias("n_live"), marked("example").alias("n_example"))
+    return rows.select("doc_id", "th", "base", "spans", marked("live").alias("n_live"), marked("example").alias("n_example"), "n_repos")
 
 
-def secret_report(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
+def secret_report(docs: DataFrame, owner: Column, repo: Column, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Counts, digest of the base spans and all spans of every document."""
-    rows = scan_secrets(docs, owner, repo)
+    rows = scan_secrets(docs, owner, repo, example_repos=example_repos)
     return rows.select(
         "doc_id",
         *[count_kind(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)],
@@ -109,6 +119,7 @@ def secret_report(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
         span_text(F.col("spans"), KINDS).alias("spans"),
         "n_live",
         "n_example",
+        "n_repos",
     )
 
 
@@ -128,9 +139,9 @@ def redacted(text: Column, spans: Column, names: tuple[str, ...]) -> Column:
     return F.when(F.size(spans) > 0, masked).otherwise(text)
 
 
-def without_secrets(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
+def without_secrets(docs: DataFrame, owner: Column, repo: Column, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """`docs` with every span of its texts (base matches and live-looking tokens) masked; all columns stay, null texts stay null."""
-    rows = scan_secrets(docs, owner, repo)
+    rows = scan_secrets(docs, owner, repo, example_repos=example_repos)
     to_mask = rows.where(F.size("spans") > 0).select("doc_id", "th", "spans").dropDuplicates(["doc_id", "th"])
     both = with_rows(whole_rows(docs), to_mask)
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(redacted(F.col("row.text"), F.col("spans"), KINDS))

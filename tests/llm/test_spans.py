@@ -132,3 +132,13 @@ def test_disclosure_far_away(spark):
     got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
     assert all(got[i].n_term == 2 and got[i].spans.startswith("term:0:11,") for i in range(9))
     assert got[50].spans == "term:5:16" and all(got[10 + i].n_term == 0 for i in range(30))
+
+
+def test_many_repositories_make_an_example(spark):
+    """One owner who copies a token into very many repositories: an example. In few: live."""
+    copied, own = "Zx81Qw77Lk20Mn35Vb99Xy", "Aa00Bb11Cc22Dd33Ee44Ff"
+    rows = [(i, f"mine {copied}", "o1", f"r{i}") for i in range(12)] + [(20 + i, f"mine {own}", "o1", f"r{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    got = {r.doc_id: r for r in secrets.secret_report(docs, docs["owner"], docs["repo"]).collect()}
+    assert all(got[i].spans == "" and got[i].n_live == 0 and got[i].n_repos == 12 for i in range(12))
+    assert all(got[20 + i].n_live == 1 and got[20 + i].n_repos == 2 for i in range(2))
