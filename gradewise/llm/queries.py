@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.llm import lines, lm, neardup, packing, pieces, pii, quality, secrets, topk, toxicity
+from gradewise.llm import chunks, lines, lm, merkle, neardup, packing, pieces, pii, quality, secrets, topk, toxicity
 from gradewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(read(spark, sf_dir, "documents"))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_pieces": op2_pieces,
@@ -66,6 +74,13 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op12_merkle": op12_merkle,
+    "op13_exact_duplicates": op13_exact_duplicates,
 }
 
-SQL: dict[str, str] = {"op5_top_k": topk.TOPK_SQL, "op8_line_dedup": lines.LINES_SQL}
+SQL: dict[str, str] = {
+    "op5_top_k": topk.TOPK_SQL,
+    "op8_line_dedup": lines.LINES_SQL,
+    "op12_merkle": merkle.MERKLE_SQL,
+    "op13_exact_duplicates": chunks.COPIES_SQL,
+}
