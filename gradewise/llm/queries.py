@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.llm import chunks, lines, lm, merkle, neardup, packing, pieces, pii, quality, secrets, topk, toxicity
+from gradewise.llm import chunks, lines, lm, merkle, neardup, packing, pieces, pii, quality, ranked, secrets, topk, toxicity
 from gradewise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(read(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op11_ranked": op11_ranked,
     "op12_merkle": op12_merkle,
     "op13_exact_duplicates": op13_exact_duplicates,
 }
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op5_top_k": topk.TOPK_SQL,
     "op8_line_dedup": lines.LINES_SQL,
+    "op11_ranked": ranked.RANKED_SQL,
     "op12_merkle": merkle.MERKLE_SQL,
     "op13_exact_duplicates": chunks.COPIES_SQL,
 }
