@@ -5,11 +5,11 @@ each level every two consecutive nodes become one; a last node without a partner
 
 Building. A leaf's position in its tree follows from a range partitioning and the row counts of the partitions before. Blocks of
 `FAN` = 256 consecutive nodes, eight levels, are hashed in one task each, then the blocks of the blocks' roots, so a tree of n leaves takes
-log256(n) shuffles of ever fewer rows. A stored node row has the siblings on the eight levels above it and a link to its parent row at their
-end; the rows at the end of a language's tree go on with the siblings of the top tree, and have no parent.
+log256(n) shuffles of ever fewer rows. A stored row, of a leaf or of a node at every eighth level, has the siblings on the levels up to the
+next such node, which is its parent row; the rows at the end of a language's tree go on with the siblings of the top tree, and have no parent.
 
-Climbing. `WITH RECURSIVE` starts with every leaf, tampered where a change is given, joins the node row it stands at, appends the siblings,
-folds the hash over them and steps to the parent, until there is none. Every leaf climbs by itself; a level takes a join by node.
+Climbing. `WITH RECURSIVE` starts with every leaf row, tampered where a change is given. A step appends the row's siblings, folds the hash
+over them and joins the parent row for the next ones, until there is no parent. Every leaf climbs by itself; hashes travel as 32 bytes.
 
 Results in special cases: a null value is hashed as `-`, so it differs from an empty text; a null language is a tree of its own and the
 first; leaves of one doc_id are ordered by hash, a missing doc_id is the first; repeated rows are leaves each; a tree of one leaf is that
@@ -20,7 +20,8 @@ hashes move. Only the five columns of a leaf are read, so other columns can't cl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,29 +29,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gradewise.llm.common import stored
+from gradewise.operators.sizes import is_small, sent_if
 
 LEVELS = 8
 FAN = 1 << LEVELS
+#: Node rows above the leaves, of about 400 bytes, that are sent to all tasks; more are joined by shuffle.
+SENT_ROWS = 20_000
 #: Key of the top tree; language trees have the keys "" (null) and "=" with the language.
 TOP = "!"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-_NODE = "tree string, stage int, pos long"
-_ROWS = f"{_NODE}, path array<struct<side:int,hash:string>>, last boolean, root string"
-
-
 def digest(values: list[Column]) -> Column:
-    """Lowercase hex sha256 of the values, each `-` if null, else its number of UTF-8 bytes, a colon, and the value."""
+    """Sha256, as 32 bytes, of the values, each `-` if null, else its number of UTF-8 bytes, a colon, and the value."""
     texts = [v.cast("string") for v in values]
     parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
-    return F.sha2(F.concat(*parts).cast("binary"), 256)
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
 
 
 def leaves(docs: DataFrame, changed: Column | None = None, changes: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, tree, leaf, tampered): one row per document; `tampered` is the leaf after `changes`, where `changed` holds, else null."""
     now = [docs[c] for c in FIELDS]
     then = [(changes or {}).get(c, docs[c]) for c in FIELDS]
-    tampered = F.lit(None).cast("string") if changed is None else F.when(changed, digest(then))
+    tampered = F.lit(None).cast("binary") if changed is None else F.when(changed, digest(then))
     tree = F.when(docs["lang"].isNull(), F.lit("")).otherwise(F.concat(F.lit("="), docs["lang"].cast("string")))
     return docs.select(docs["doc_id"].alias("doc_id"), tree.alias("tree"), digest(now).alias("leaf"), tampered.alias("tampered"))
 
@@ -83,107 +83,117 @@ def merged(nodes: list[str], whole: bool) -> list[list[str]]:
     return levels
 
 
-def sibling(level: list[str], at: int) -> tuple[int, str | None]:
-    """Side (0 left, 1 right of the node, 2 none) and hash of the partner."""
-    other = at ^ 1
-    return (2, None) if other >= len(level) else (int(other > at), level[other])
-
-
-def _node_rows(stage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.list_(pa.struct([("side", pa.int32()), ("hash", pa.string())]))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.to_pylist():
-                nodes, last = block["nodes"], block["size"] <= FAN
-                levels = merged(nodes, last)
-                paths = []
-                for i in range(len(nodes)):
-                    steps = (sibling(level, i >> up) for up, level in enumerate(levels[:-1]))
-                    paths.append([{"side": side, "hash": text} for side, text in steps])
-                n = len(nodes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block["tree"]] * n, pa.string()),
-                        pa.array([stage] * n, pa.int32()),
-                        pa.array([block["block"] * FAN + i for i in range(n)], pa.int64()),
-                        pa.array(paths, kind),
-                        pa.array([last] * n, pa.bool_()),
-                        pa.array([levels[-1][0]] + [None] * (n - 1), pa.string()),
-                    ],
-                    names=["tree", "stage", "pos", "path", "last", "root"],
-                )
-
-    return rows
-
-
-def climbable(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Node rows of every tree whose leaves are (tree, pos, size, hash), and (tree, root). Both are stored tables."""
-    spark = nodes.sparkSession
-    whole, roots, stage = None, None, 0
+def siblings(levels: list[list[str]], at: int) -> tuple[list[bytes | None], int]:
+    """Partners of node `at` on each level below the last, null where it has none, and a bit for each that stands on the right."""
+    path, right = [], 0
+    for up, level in enumerate(levels[:-1]):
+        other = (at >> up) ^ 1
+        path.append(bytes.fromhex(level[other]) if other < len(level) else None)
+        right |= (other & 1) << up
+    return path, right
+
+
+def _linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = {f.name: f.type for f in batch.schema.field("nodes").type.value_type}
+        for block in batch.to_pylist():
+            nodes, last = block["nodes"], block["size"] <= FAN
+            levels = merged([x["hash"].hex() for x in nodes], last)
+            paths = [siblings(levels, i) for i in range(len(nodes))]
+            n = len(nodes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block["tree"]] * n, pa.string()),
+                    *[pa.array([x[c] for x in nodes], kinds[c]) for c in ("pos", "hash", "doc_id", "tampered")],
+                    pa.array([p for p, _ in paths], pa.list_(pa.binary())),
+                    pa.array([r for _, r in paths], pa.int64()),
+                    pa.array([last] * n, pa.bool_()),
+                    pa.array([bytes.fromhex(levels[-1][0])] + [None] * (n - 1), pa.binary()),
+                ],
+                names=["tree", "pos", "hash", "doc_id", "tampered", "path", "right", "last", "root"],
+            )
+
+
+def linked(nodes: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
+    """Rows of every eighth level of the trees whose leaves are (tree, pos, size, hash, doc_id, tampered), lowest first, and (tree, root).
+
+    All are stored tables; `last` marks rows whose siblings reach to the root of the tree.
+    """
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    rows = f"tree string, pos long, hash binary, doc_id {kind}, tampered binary, path array<binary>, right long, last boolean, root binary"
+    stages, roots = [], []
     while True:
-        # at most FAN entries of one hash each meet in a row
-        blocks = nodes.groupBy("tree", F.floor(F.col("pos") / FAN).alias("block"), "size").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("nodes")
-        )
-        built = stored(blocks.mapInArrow(_node_rows(stage), _ROWS), f"{name}-{stage}")
-        whole = built if whole is None else whole.unionAll(built)
-        done = built.where("last AND root IS NOT NULL").select("tree", "root")
-        roots = done if roots is None else roots.unionAll(done)
-        nodes = built.where("NOT last AND root IS NOT NULL").select(
-            "tree", F.floor(F.col("pos") / FAN).alias("pos"), F.col("root").alias("hash")
-        )
-        if nodes.isEmpty():
-            return whole.drop("root"), stored(roots, f"{name}-roots")
-        sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
-        nodes, stage = nodes.join(sizes, "tree"), stage + 1
+        # at most FAN entries of a few hashes meet in a row
+        entries = F.array_sort(F.collect_list(F.struct("pos", "hash", "doc_id", "tampered")))
+        blocks = nodes.groupBy("tree", F.floor(F.col("pos") / FAN).alias("block"), "size").agg(entries.alias("nodes"))
+        built = stored(blocks.mapInArrow(_linked_rows, rows), f"{name}-{len(stages)}")
+        stages.append(built)
+        roots.append(built.where("last AND root IS NOT NULL").select("tree", "root"))
+        above = built.where("NOT last AND root IS NOT NULL").select(
+            "tree", F.floor(F.col("pos") / FAN).alias("pos"), F.col("root").alias("hash"), F.lit(None).cast(kind).alias("doc_id"),
+            F.lit(None).cast("binary").alias("tampered"),
+        )
+        if above.isEmpty():
+            return stages, stored(reduce(DataFrame.unionAll, roots), f"{name}-roots")
+        nodes = above.join(above.groupBy("tree").agg(F.count(F.lit(1)).alias("size")), "tree")
 
 
 class Manifest:
-    """Stored tables of a built manifest: positioned leaves, linked node rows, and one root per tree, the top tree's among them."""
+    """Stored tables of a built manifest: linked leaf rows, linked node rows above them, and one root per tree; and the root of all."""
 
-    def __init__(self, leaves: DataFrame, nodes: DataFrame, subroots: DataFrame, root: str | None):
+    def __init__(self, leaves: DataFrame, nodes: DataFrame, subroots: DataFrame, root: bytes | None):
         self.leaves, self.nodes, self.subroots, self.root = leaves, nodes, subroots, root
 
 
 def manifest(rows: DataFrame) -> Manifest:
     """Build the trees over `leaves(...)` and link them."""
-    own = placed(rows, ["doc_id", "leaf"], "leaves")
-    inner, subroots = climbable(own.select("tree", "pos", "size", F.col("leaf").alias("hash")), "trees")
-    named = subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("below"), F.col("root").alias("hash"))
-    top = stored(placed(named, ["below"], "top"), "top-leaves")
-    outer, roots = climbable(top.drop("below"), "top-tree")
+    own = placed(rows, ["doc_id", "leaf"], "leaves").withColumnRenamed("leaf", "hash")
+    inner, subroots = linked(own, "trees")
+    none = F.lit(None)
+    named = subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("doc_id"), F.col("root").alias("hash"), none.cast("binary").alias("tampered"))
+    outer, roots = linked(placed(named, ["doc_id"], "top"), "top")
     first = roots.first()
-    # the top tree's stages as one path for each language: as long as the logarithm of their number
-    ends, stages = top.select(F.col("below").alias("tree"), F.col("pos").alias("_at"), F.array().cast("array<struct<side:int,hash:string>>").alias("rest")), 0
-    while True:
-        step = outer.where(F.col("stage") == stages).select(F.col("pos").alias("_at"), "path", F.col("last").alias("_end"))
+    # the stages of the top tree as one path for each language: as long as the logarithm of their number
+    ends = outer[0].select(F.col("doc_id").alias("tree"), F.floor(F.col("pos") / FAN).alias("_at"), F.col("path").alias("rest"), F.col("right").alias("beyond"))
+    for stage in outer[1:]:
+        step = stage.select(F.col("pos").alias("_at"), "path", "right")
         ends = ends.join(step, "_at").select(
-            "tree", F.floor(F.col("_at") / FAN).alias("_at"), F.concat("rest", "path").alias("rest"), "_end"
+            "tree",
+            F.floor(F.col("_at") / FAN).alias("_at"),
+            F.concat("rest", "path").alias("rest"),
+            F.col("beyond").bitwiseOR(F.call_function("shiftleft", F.col("right"), F.size("rest"))).alias("beyond"),
         )
-        ends = stored(ends, f"top-paths-{stages}")
-        if ends.where("NOT _end").isEmpty():
-            break
-        ends, stages = ends.drop("_end"), stages + 1
-    ends = ends.select("tree", "rest")
-    linked = inner.where("NOT last").select(
-        "tree", "stage", "pos", "path", F.lit(True).alias("goes_on")
-    ).unionAll(
-        inner.where("last").join(ends, "tree").select("tree", "stage", "pos", F.concat("path", "rest").alias("path"), F.lit(False))
-    )
-    return Manifest(own, stored(linked, "nodes"), subroots, first["root"] if first else None)
+    ends = stored(ends.select("tree", "rest", "beyond"), "top-paths")
+
+    def with_ends(stage: DataFrame) -> DataFrame:
+        stage = stage.drop("root")
+        done = stage.where("last").join(ends, "tree").select(
+            *[c for c in stage.columns if c not in ("path", "right")],
+            F.concat("path", "rest").alias("path"),
+            F.col("right").bitwiseOR(F.call_function("shiftleft", F.col("beyond"), F.size("path"))).alias("right"),
+        )
+        return stage.where("NOT last").unionByName(done)
+
+    parents = [with_ends(s).select(F.lit(i).alias("stage"), "tree", "pos", "path", "right", "last") for i, s in enumerate(inner) if i]
+    nothing = inner[0].limit(0).select(F.lit(0).alias("stage"), "tree", "pos", "path", "right", "last")
+    return Manifest(with_ends(inner[0]), stored(reduce(DataFrame.unionAll, parents, nothing), "nodes"), subroots, first["root"] if first else None)
 
 
 CLIMB_SQL = f"""
-WITH RECURSIVE climb (doc_id, tree, leaf, stage, pos, folded, proof) AS (
-    SELECT doc_id, tree, leaf, 0, pos, coalesce(tampered, leaf), '' FROM {{leaves}}
+WITH RECURSIVE climb (doc_id, tree, leaf, folded, proof, path, right, stage, pos) AS (
+    SELECT doc_id, tree, hash, coalesce(tampered, hash), CAST('' AS BINARY), path, right, CASE WHEN NOT last THEN 1 END, pos DIV {FAN} FROM {{leaves}}
     UNION ALL
-    SELECT c.doc_id, c.tree, c.leaf, CASE WHEN n.goes_on THEN c.stage + 1 END, CAST(c.pos DIV {FAN} AS BIGINT),
-        aggregate(n.path, c.folded, (h, s) -> sha2(CASE s.side WHEN 0 THEN concat(s.hash, h) WHEN 1 THEN concat(h, s.hash) ELSE h END, 256)),
-        concat(c.proof, array_join(transform(n.path, s -> coalesce(s.hash, '')), ''))
-    FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.stage = n.stage AND c.pos = n.pos
+    SELECT c.doc_id, c.tree, c.leaf,
+        aggregate(c.path, named_struct('h', c.folded, 'i', 0), (a, s) -> named_struct('h', unhex(sha2(CASE
+            WHEN s IS NULL THEN lower(hex(a.h))
+            WHEN getbit(c.right, a.i) = 1 THEN concat(lower(hex(a.h)), lower(hex(s)))
+            ELSE concat(lower(hex(s)), lower(hex(a.h))) END, 256)), 'i', a.i + 1)).h,
+        aggregate(c.path, c.proof, (a, s) -> concat(a, coalesce(s, CAST('' AS BINARY)))),
+        n.path, n.right, CASE WHEN NOT n.last THEN n.stage + 1 END, c.pos DIV {FAN}
+    FROM climb c LEFT JOIN {{nodes}} n ON c.tree = n.tree AND c.stage = n.stage AND c.pos = n.pos
+    WHERE c.path IS NOT NULL
 )
-SELECT doc_id, tree, leaf, folded, sha2(proof, 256) AS proof_sha256 FROM climb WHERE stage IS NULL
+SELECT doc_id, tree, leaf, folded, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE path IS NULL
 """
 
 #: The climb makes a row for each leaf and stage; Spark's default stops a recursion at a million rows.
@@ -192,10 +202,11 @@ _LIMIT = "spark.sql.cteRecursionRowLimit"
 
 def climbed(spark: SparkSession, built: Manifest) -> DataFrame:
     """(doc_id, tree, leaf, folded, proof_sha256) of every leaf, by a recursive query. A stored table, as the limit on rows is lifted only here."""
+    nodes = sent_if(built.nodes, is_small(built.nodes, SENT_ROWS))
     before = spark.conf.get(_LIMIT)
     spark.conf.set(_LIMIT, "-1")
     try:
-        return stored(spark.sql(CLIMB_SQL, leaves=built.leaves, nodes=built.nodes), "climbed")
+        return stored(spark.sql(CLIMB_SQL, leaves=built.leaves, nodes=nodes), "climbed")
     finally:
         spark.conf.set(_LIMIT, before)
 
@@ -204,9 +215,16 @@ def proofs(docs: DataFrame, changed: Column | None = None, changes: dict[str, Co
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified): does each leaf, changed where `changed` holds, fold to the root?"""
     built = manifest(leaves(docs, changed, changes))
     rows = climbed(docs.sparkSession, built).join(built.subroots.withColumnRenamed("root", "subroot"), "tree")
-    root = F.lit(built.root).cast("string")
+    text = lambda c: F.lower(F.hex(c))
+    root = F.lit(built.root).cast("binary")
     return rows.select(
-        "doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified")
+        "doc_id",
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text(root).alias("root"),
+        "proof_sha256",
+        text("folded").alias("folded_root"),
+        (F.col("folded") == root).alias("verified"),
     )
 
 
