@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gradewise import fixed_values as fixed
+from gradewise import storage
+from gradewise.operators import vectors
 from gradewise.operators.prompts import build_context, source_block
 from gradewise.operators.sizes import BROADCAST_ROWS, is_small, sent_if
 
@@ -18,9 +20,10 @@ KEY_TERMS = 5
 TOP_K = 5
 COMMON_DF = 1000
 MIN_TERM = 1
-QUERY_BLOCK = 2048
-BLOCK_BYTES = 64 << 20
-CORPUS_CHUNK = 8192
+#: Documents of a block whose terms bound the scores in it.
+BLOCK_ROWS = 256
+#: Documents that a task holds at most while it searches them by common terms.
+SLOT_DOCS = 1 << 16
 
 
 def distinct_terms(text: Column, min_term: int = MIN_TERM) -> Column:
@@ -81,35 +84,113 @@ def search_terms(terms: DataFrame, frequency: DataFrame, n_terms: int = KEY_TERM
     )
 
 
-def _first_docs_per_subset(holders: DataFrame, common: DataFrame, k: int) -> DataFrame:
-    """Candidates for matches on common terms only: `(question_id, doc_id)`.
+def _set_searcher(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Best k documents of a slot for each set of weighted terms. Rows come by slot, its documents by id before the sets.
 
-    A document whose matched terms are exactly the common terms S can only be among the best k if it is among the k
-    smallest ids of the documents that hold all of S: every other such document scores at least as much and wins
-    the tie. So k documents per *distinct* S are enough, whatever the number of questions that share it. `holders`
-    has the postings of the common terms.
+    The documents of a slot are cut into blocks in order of id. Of each term and block it is known whether the term is in the block, so the
+    weights of a set's terms that are there bound the score of every document of the block. Blocks are looked at from the highest bound on,
+    and skipped once k documents have more, or as much and a smaller id. Defined inside a function so that it travels to the workers by value.
     """
-    sets = common.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("df", "term"))).alias("_set"))
-    size = F.size("_set")
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), size) - 1).cast("int"))
-    member = lambda mask: F.transform(
-        F.filter(F.col("_set"), lambda e, i: F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1),
-        lambda e: e["term"],
-    )
-    subsets = sets.select("question_id", F.explode(F.transform(masks, member)).alias("subset"))
-    distinct_subsets = subsets.select("subset").distinct()
-
-    documents = holders.groupBy("doc_id").agg(F.collect_set("term").alias("doc_terms"))  # at most the common terms
-    first = Window.partitionBy("subset").orderBy("doc_id")
-    best = (
-        documents.select("doc_id", "doc_terms", F.explode("doc_terms").alias("term"))
-        .join(distinct_subsets.withColumn("term", F.get("subset", F.lit(0))), "term")
-        .filter(F.size(F.array_except("subset", "doc_terms")) == 0)
-        .withColumn("_r", F.row_number().over(first))
-        .filter(F.col("_r") <= k)
-        .select("subset", "doc_id")
+    block_rows, own_columns = BLOCK_ROWS, ["set_id", "doc_id", "score"]
+
+    class Slot:
+        def __init__(self, parts: list[pa.RecordBatch]):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            self.ids = rows["doc_id"].combine_chunks()
+            terms = rows["terms"].combine_chunks()
+            coded = terms.flatten().dictionary_encode()
+            term, row = np.asarray(coded.indices, np.int64), np.repeat(np.arange(len(self.ids)), np.asarray(terms.value_lengths(), np.int64))
+            self.number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+            order = np.lexsort((row, term))
+            self.rows, self.edges = row[order], np.searchsorted(term[order], np.arange(len(self.number) + 1))
+            self.in_block = np.zeros((len(self.number), len(self.ids) // block_rows + 1), bool)
+            self.in_block[term, row // block_rows] = True
+
+        def best(self, terms: list[str], weights: list[float]) -> list[tuple[int, float]]:
+            here = [(self.number[t], w) for t, w in zip(terms, weights, strict=True) if t in self.number]
+            numbers, values = [n for n, _ in here], np.array([w for _, w in here])
+            if not numbers:
+                return []
+            bound = np.round(values @ self.in_block[numbers], 6)
+            found: list[tuple[float, int]] = []
+            for block in np.lexsort((np.arange(len(bound)), -bound)):
+                if bound[block] <= 0 or len(found) == k and (-bound[block], block * block_rows) > found[-1]:
+                    break
+                first = block * block_rows
+                score = np.zeros(block_rows)
+                for n, w in here:
+                    own = self.rows[self.edges[n] : self.edges[n + 1]]
+                    a, b = np.searchsorted(own, (first, first + block_rows))
+                    score[own[a:b] - first] += w
+                score = np.round(score, 6)
+                hit = np.flatnonzero(score)
+                hit = hit[np.lexsort((hit, -score[hit]))[:k]]
+                found = sorted([*found, *zip(-score[hit], hit + first, strict=True)])[:k]
+            return [(int(row), float(-score)) for score, row in found]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts, slot = None, [], None
+        for batch in batches:
+            slots, sides = np.asarray(batch.column("_slot")), np.asarray(batch.column("_side"))
+            changes = (np.diff(slots, prepend=slots[:1]) != 0) | (np.diff(sides, prepend=sides[:1]) != 0)
+            starts = [0, *np.flatnonzero(changes), batch.num_rows]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if slots[a] != number:
+                    number, parts, slot = slots[a], [], None
+                rows = batch.slice(a, b - a)
+                if sides[a] == 0:
+                    parts.append(rows)
+                elif parts:
+                    slot = Slot(parts) if slot is None else slot
+                    sets, docs, scores = [], [], []
+                    for i, (terms, weights) in enumerate(zip(rows.column("terms").to_pylist(), rows.column("weights").to_pylist(), strict=True)):
+                        for row, score in slot.best(terms, weights):
+                            sets.append(i)
+                            docs.append(row)
+                            scores.append(score)
+                    columns = [rows.column("set_id").take(pa.array(sets, pa.int64())), slot.ids.take(pa.array(docs, pa.int64())), pa.array(scores, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=own_columns)
+
+    return search
+
+
+def dealt_sets(holders: DataFrame, sets: DataFrame, slots: int) -> DataFrame:
+    """Documents with their terms, and every set of weighted terms once for each slot, by slot. No key of the shuffle is a term."""
+    documents = holders.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))  # at most the searched terms
+    left = documents.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("_slot"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("set_id"),
+        "doc_id", "terms", F.lit(None).cast("array<double>").alias("weights"),
+    )
+    right = sets.select(
+        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot"), F.lit(1).alias("_side"), "set_id",
+        F.lit(None).cast(holders.schema["doc_id"].dataType).alias("doc_id"), "terms", "weights",
+    )
+    return left.unionByName(right).repartition(slots, "_slot").sortWithinPartitions("_slot", "_side", "doc_id", "set_id")
+
+
+def _set_name() -> Column:
+    return F.sha2(F.to_json("_set"), 256)
+
+
+def best_of_sets(holders: DataFrame, common: DataFrame, k: int, slots: int) -> DataFrame:
+    """Candidates for matches on common terms: `(question_id, doc_id)`, the best k documents by the common terms of each question.
+
+    Any other document has k documents before it already by these terms, so it can only win by rare ones, which propose all their documents.
+    Questions with the same common terms share one search. `holders` has the postings of the common terms, `common` is `(question_id,
+    term, df, weight)`.
+    """
+    entries = F.sort_array(F.collect_set(F.struct("df", "term", "weight")))
+    asked = common.groupBy("question_id").agg(entries.alias("_set"))
+    sets = asked.select("_set").distinct().select(
+        _set_name().alias("set_id"), F.col("_set.term").alias("terms"), F.col("_set.weight").alias("weights")
     )
-    return subsets.join(best, "subset").select("question_id", "doc_id")
+    kind = StructType([StructField("set_id", StringType()), holders.schema["doc_id"], StructField("score", DoubleType())])
+    found = dealt_sets(holders, sets, slots).mapInArrow(_set_searcher(k), kind)
+    first = Window.partitionBy("set_id").orderBy(F.col("score").desc(), "doc_id")
+    best = found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
+    return asked.select("question_id", _set_name().alias("set_id")).join(best, "set_id").select("question_id", "doc_id")
 
 
 def rank_by_terms(
@@ -119,13 +200,16 @@ def rank_by_terms(
     k: int = TOP_K,
     common_df: int = COMMON_DF,
     small: bool = False,
+    slots: int | None = None,
 ) -> DataFrame:
     """Best k documents per question by the summed rarity of its terms: `(question_id, doc_id, score, rank)`.
 
     `keys` is `(question_id, term, df)`. Ties go to the smaller id. Terms in at most `common_df` documents propose
-    all their documents; commoner terms only propose what can still win, so the candidates per question are bounded
+    all their documents; commoner terms only propose the best k by them, so the candidates per question are bounded
     although no document is ruled out. `small` says that `keys` has been checked to fit a broadcast.
+    `slots` says into how many parts the documents with common terms are dealt; a task holds one part.
     """
+    slots = slots or max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = keys.withColumn("weight", F.log((n_docs + 1) / F.col("df")))
     # Only the postings of searched terms are moved, spread by document: a frequent term is on all tasks. The branches
     # below share this one exchange.
@@ -135,7 +219,7 @@ def rank_by_terms(
     holders = used.join(sent_if(common.select("term").distinct(), small), "term", "left_semi")
 
     rare_hits = used.join(sent_if(rare, small), "term").select("question_id", "doc_id", "weight")
-    candidates = rare_hits.select("question_id", "doc_id").unionByName(_first_docs_per_subset(holders, common, k)).distinct()
+    candidates = rare_hits.select("question_id", "doc_id").unionByName(best_of_sets(holders, common, k, slots)).distinct()
     common_hits = (
         candidates.join(common.select("question_id", "term", "weight"), "question_id")
         .join(holders, ["doc_id", "term"])
@@ -170,55 +254,15 @@ def retrieve_lexical(
     index = postings(corpus, doc_id, doc_text) if index is None else index
     terms = question_terms(questions, question_id, question_text)
     frequency = document_frequency(index, terms.select("term").distinct())
-    n_docs = corpus.agg(F.count(F.lit(1))).scalar()
+    n_docs = corpus.count()
+    slots = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // SLOT_DOCS))
     keys = search_terms(terms, frequency, n_terms)
     # n_terms rows per question at most, so the number of questions bounds what is broadcast
     small = is_small(questions, BROADCAST_ROWS // n_terms)
-    ranked = rank_by_terms(index, keys.drop("search"), n_docs, k, common_df, small)
+    ranked = rank_by_terms(index, keys.drop("search"), F.lit(n_docs), k, common_df, small, slots)
     return ranked.join(keys.select("question_id", "search").distinct(), "question_id")
 
 
-def _batch_top_k(k: int, exclude_self: bool, rows_at_once: int, sent) -> Callable:
-    """Best k documents of each corpus batch for each question of one block; scores that a task has already bettered k times are dropped."""
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions, left = sent.value
-        names = questions.to_pylist() if exclude_self else None
-        floor = np.full((len(left), k), -np.inf)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                # in id order, so that equal scores keep the smaller id
-                batch = pa.Table.from_batches([whole.slice(at, rows_at_once)]).sort_by("doc_id").combine_chunks().to_batches()[0]
-                vectors = batch.column("vector")
-                right = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                own = {d: c for c, d in enumerate(batch.column("doc_id").to_pylist())} if exclude_self else {}
-                for first in range(0, len(left), 256):
-                    part = slice(first, first + 256)
-                    scores = left[part] @ right.T
-                    if exclude_self:
-                        for r, name in enumerate(names[part]):
-                            if name in own:
-                                scores[r, own[name]] = -np.inf
-                    width = scores.shape[1]
-                    lowest = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.full(len(scores), -np.inf)
-                    lowest = np.maximum(lowest, floor[part].min(axis=1))
-                    rows, columns = np.nonzero((scores >= lowest[:, None]) & np.isfinite(scores))
-                    found = scores[rows, columns]
-                    order = np.lexsort((columns, -found, rows))
-                    rows, columns, found = rows[order], columns[order], found[order]
-                    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-                    rows, columns, found = rows[kept], columns[kept], found[kept]
-                    best_here = np.full((len(scores), k), -np.inf)
-                    best_here[rows, np.arange(len(rows)) - np.searchsorted(rows, rows)] = found
-                    floor[part] = np.sort(np.concatenate([floor[part], best_here], axis=1), axis=1)[:, -k:]
-                    yield pa.RecordBatch.from_arrays(
-                        [questions.take(pa.array(rows + first)), batch.column("doc_id").take(pa.array(columns)), pa.array(found)],
-                        names=["question_id", "doc_id", "score"],
-                    )
-
-    return best
-
-
 def retrieve_vector(
     questions: DataFrame,
     corpus: DataFrame,
@@ -227,34 +271,45 @@ def retrieve_vector(
     doc_id: str = "doc_id",
     vector: str = "embedding",
     exclude_self: bool = False,
-    query_block: int = QUERY_BLOCK,
-    corpus_chunk: int = CORPUS_CHUNK,
+    query_block: int = vectors.QUERY_BLOCK,
+    corpus_chunk: int = vectors.CORPUS_CHUNK,
 ) -> DataFrame:
     """Exact best k documents per question by dot product: `(question_id, doc_id, score, rank)`, ids as they are given.
 
-    The corpus stays where it is read. Questions travel to it in blocks of at most about `query_block` rows and `BLOCK_BYTES`, so what
-    is sent at once has a fixed size, and each task multiplies a block with `corpus_chunk` documents at a time. Rows without a vector
-    take no part.
+    Blocks of at most `query_block` questions and `vectors.BLOCK_BYTES` meet the corpus by shuffle, `corpus_chunk` documents at a time. Rows
+    without a vector take no part.
     """
-    asked = questions.select(F.col(question_id).alias("question_id"), F.col(vector).alias("vector")).filter("vector is not null")
-    passages = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vector")).filter("vector is not null")
-    schema = StructType([asked.schema["question_id"], passages.schema["doc_id"], StructField("score", DoubleType())])
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
-    rows = max(1, min(query_block, BLOCK_BYTES // (8 * max(1, size["width"] or 1))))
-    partial = questions.sparkSession.createDataFrame([], schema)
-    blocks = -(-size["n"] // rows)
-    for number in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("question_id", "vector"), F.lit(blocks)) == number).toArrow()
-        if not block.num_rows:
-            continue
-        left = np.array(block["vector"].to_pylist(), dtype=np.float64)
-        sent = questions.sparkSession.sparkContext.broadcast((block["question_id"].combine_chunks(), left))
-        partial = partial.unionAll(passages.mapInArrow(_batch_top_k(k, exclude_self, corpus_chunk, sent), schema))
-    best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "doc_id")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return vectors.retrieve_exact(questions, corpus, k, question_id, doc_id, vector, exclude_self, query_block, corpus_chunk)
 
 
-RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"lexical": retrieve_lexical, "vector": retrieve_vector}
+def retrieve_vector_near(
+    questions: DataFrame,
+    corpus: DataFrame,
+    k: int = TOP_K,
+    question_id: str = "question_id",
+    doc_id: str = "doc_id",
+    vector: str = "embedding",
+    exclude_self: bool = False,
+    probes: int | None = None,
+    recall: float = vectors.RECALL,
+    index: vectors.VectorIndex | None = None,
+) -> DataFrame:
+    """Approximate form of `retrieve_vector` for corpora that not every question can be compared with.
+
+    `index` is what `vectors.read_vector_index` reads; without it an index of the corpus is built for this call.
+    """
+    if index is None:
+        path = storage.new_path(corpus.sparkSession, "vector-index")
+        vectors.write_vector_index(corpus, path, doc_id, vector)
+        index = vectors.read_vector_index(corpus.sparkSession, path)
+    return vectors.retrieve_near(questions, index, k, question_id, vector, probes, recall, exclude_self)
+
+
+RETRIEVERS: dict[str, Callable[..., DataFrame]] = {
+    "lexical": retrieve_lexical,
+    "vector": retrieve_vector,
+    "vector_near": retrieve_vector_near,
+}
 #: Tools that existing configurations name; all of them search a corpus by terms here.
 RETRIEVER_ALIASES = {"tavily": "lexical", "google": "lexical", "pubmed": "lexical", "semantic_scholar": "lexical"}
 

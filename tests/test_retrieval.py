@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradewise.operators import prompts, retrieval
+from gradewise.operators import prompts, retrieval, vectors
 
 
 def corpus_and_questions():
@@ -97,3 +97,94 @@ def test_vector_with_text_ids(spark):
     got = retrieval.retrieve_vector(table, table, k=2, question_id="id", doc_id="id", exclude_self=True).collect()
     assert len(got) == 24 and all(r.question_id != r.doc_id for r in got)
     assert {r.doc_id for r in got if r.question_id == "LitQA2_0"} == {"LitQA2_1", "LitQA2_10"}
+
+
+def test_a_term_in_a_third_of_the_documents_is_spread(spark):
+    generator = random.Random(2)
+    documents = []
+    for i in range(6000):
+        words = [f"w{generator.randrange(3000)}" for _ in range(6)] + ["hot"] * (i % 10 < 3) + ["warm"] * (i % 7 == 0)
+        documents.append((i, " ".join(words)))
+    questions = [(q, f"hot warm w{q} w{q + 1}") for q in range(0, 40, 2)] + [(90, "hot"), (91, "warm hot")]
+    asked = spark.createDataFrame(questions, "question_id bigint, input string")
+    corpus = spark.createDataFrame(documents, "doc_id bigint, text string").repartition(4)
+    got = retrieval.retrieve("lexical", asked, corpus, k=5, common_df=50).select("question_id", "doc_id", "score", "rank", "search")
+    assert {tuple(r) for r in got.collect()} == brute_force(documents, questions, 5, 5)
+    holders = retrieval.postings(corpus, "doc_id", "text").filter(F.col("term").isin("hot", "warm"))
+    sets = spark.createDataFrame([("a", ["hot", "warm"], [1.0, 2.0])], "set_id string, terms array<string>, weights array<double>")
+    dealt = retrieval.dealt_sets(holders, sets, 16)
+    sizes = sorted(r["count"] for r in dealt.groupBy("_slot").count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+
+
+@pytest.mark.parametrize("block_rows", [1, 4, 4096])
+def test_blocks_of_postings_skip_nothing_that_counts(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", block_rows)
+    documents, questions = corpus_and_questions()
+    got = retrieval.retrieve_lexical(
+        spark.createDataFrame(questions, "question_id bigint, input string"), spark.createDataFrame(documents, "doc_id bigint, text string"), k=3, common_df=0,
+    ).select("question_id", "doc_id", "score", "rank", "search")
+    assert {tuple(r) for r in got.collect()} == brute_force(documents, questions, 3, 5)
+
+
+def test_vectors_move_by_shuffle_alone(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = table.select(F.col("vec_id").alias("question_id"), "embedding")
+    plan = retrieval.retrieve_vector(asked, table.withColumnRenamed("vec_id", "doc_id"), k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Cartesian" not in plan and "hashpartitioning" in plan
+
+
+def test_long_passages_end_a_block(spark):
+    """Passages come longest first, and a block is done when none to come can reach its k-th scores."""
+    generator = np.random.default_rng(0)
+    rows = [(i, (generator.normal(size=6) * (20 if i < 10 else 0.01)).tolist()) for i in range(3000)]
+    rows += [(5000, None), (5001, []), (5002, [1.0, 2.0]), (5003, [float("nan")] * 6), (5004, [0.0] * 6)]
+    table = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    asked = table.filter("doc_id < 20 OR doc_id >= 5000").withColumnRenamed("doc_id", "question_id")
+    got = retrieval.retrieve_vector(asked, table, k=3, corpus_chunk=16).collect()
+    finite = [(d, np.array(v)) for d, v in rows if v and len(v) == 6 and not math.isnan(v[0])]
+    for q in range(20):
+        order = sorted(((-float(v @ np.array(rows[q][1])), d) for d, v in finite))[:3]
+        mine = sorted((r.rank, r.doc_id, r.score) for r in got if r.question_id == q)
+        assert [d for _, d in order] == [d for _, d, _ in mine]
+        assert [-s for s, _ in order] == pytest.approx([s for _, _, s in mine])
+    assert {(r.doc_id, r.rank) for r in got if r.question_id == 5002} == {(5002, 1)}
+    assert {r.score for r in got if r.question_id == 5004} == {0.0}
+    assert not {r.question_id for r in got} & {5000, 5001, 5003}
+
+
+def share_found(exact, near):
+    want = {(r.question_id, r.doc_id) for r in exact.collect()}
+    return len(want & {(r.question_id, r.doc_id) for r in near.collect()}) / len(want)
+
+
+def test_near_recall_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = table.select(F.col("vec_id").alias("question_id"), "embedding")
+    corpus = table.select(F.col("vec_id").alias("doc_id"), "embedding")
+    near = retrieval.retrieve("vector_near", asked, corpus, k=5, exclude_self=True)
+    assert share_found(retrieval.retrieve_vector(asked, corpus, k=5, exclude_self=True), near) >= 0.9
+
+
+def test_near_index_is_stored_and_split(spark, tmp_path, monkeypatch):
+    """Clusters of unequal length and size, one of them a third of all rows; slots and blocks far smaller than the cells."""
+    generator = np.random.default_rng(1)
+    centers = generator.normal(size=(30, 12)) * generator.uniform(0.5, 4, size=(30, 1))
+    which = np.where(generator.random(4000) < 0.33, 0, generator.integers(0, 30, 4000))
+    points = centers[which] + generator.normal(size=(4000, 12)) * 0.1
+    corpus = spark.createDataFrame([(f"d{i}", p.tolist()) for i, p in enumerate(points)], "doc_id string, embedding array<double>")
+    asked = corpus.filter("doc_id LIKE '%7'").withColumnRenamed("doc_id", "question_id")
+    path = str(tmp_path / "index")
+    vectors.write_vector_index(corpus, path, cells=32)
+    index = vectors.read_vector_index(spark, path)
+    assert index.passages.count() == 4000 and len(index.centroids) == 32
+    monkeypatch.setattr(vectors, "SLOT_ROWS", 100)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    near = retrieval.retrieve_vector_near(asked, corpus, k=5, index=index, probes=8)
+    exact = retrieval.retrieve_vector(asked, corpus, k=5)
+    assert share_found(exact, near) >= 0.9
+    # clustered vectors need few visits
+    assert vectors.probes_for(index, 0.95) <= 8 < vectors.probes_for(index, 1.1) == 32
+    # with all cells visited nothing is missed
+    every = retrieval.retrieve_vector_near(asked, corpus, k=5, index=index, probes=32)
+    assert {tuple(r)[:2] for r in every.collect()} == {tuple(r)[:2] for r in exact.collect()}
