@@ -44,38 +44,56 @@ def running_best(
     return daily.withColumn("_best", F.min("_best").over(so_far)).select(*_unpack(group, value, order, carried))
 
 
-def best_as_of(
+def best_intervals(
     rows: DataFrame, group: str, date: str, value: str, order: str, carried: Sequence[str] = ()
 ) -> DataFrame:
-    """At every date found in the table, the best row of each group so far (from the group's first date on)."""
+    """One row for each change of a group's best: it holds from `date` until before `until`, which is null for the last one.
+
+    Its size follows the number of changes, not the number of days.
+    """
     daily = daily_best(rows, group, date, value, order, carried)
-    # one entry per day of the whole table
-    days = rows.filter(F.col(date).isNotNull()).agg(F.sort_array(F.collect_set(F.col(date).cast("date")))).scalar()
-    spine = (
-        daily.groupBy(group)
-        .agg(F.min("date").alias("_from"))
-        .withColumn("date", F.explode(days))
-        .filter(F.col("date") >= F.col("_from"))
-        .drop("_from")
-    )
-    so_far = Window.partitionBy(group).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_date = Window.partitionBy(group).orderBy("date")
+    before = by_date.rowsBetween(Window.unboundedPreceding, -1)
+    changes = daily.withColumn("_before", F.min("_best").over(before)).filter(F.col("_before").isNull() | (F.col("_best") < F.col("_before")))
+    return changes.withColumn("until", F.lead("date").over(by_date)).select(*_unpack(group, value, order, carried), "until")
+
+
+def as_of(intervals: DataFrame, days: DataFrame) -> DataFrame:
+    """The interval that holds on each day: `intervals` with `date` and `until`, `days` with `date`; the result has the day as `date`.
+
+    Both sides meet by month: an interval has a row for each month it touches, and a month has at most 31 days.
+    """
+    last = days.agg(F.max("date")).scalar()
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    until = F.coalesce(F.date_sub("until", 1), F.greatest(last, F.col("date")))
+    touched = intervals.withColumn("_until", until).withColumn("_month", F.explode(F.sequence(month(F.col("date")), month(F.col("_until")))))
+    named = days.select(F.col("date").alias("_day")).distinct().withColumn("_month", month(F.col("_day")))
     return (
-        spine.join(daily, [group, "date"], "left")
-        .withColumn("_best", F.min("_best").over(so_far))
-        .select(*_unpack(group, value, order, carried))
+        touched.join(named, "_month")
+        .filter(F.col("_day").between(F.col("date"), F.col("_until")))
+        .withColumn("date", F.col("_day"))
+        .drop("_day", "_month", "_until", "until")
     )
 
 
+def best_as_of(
+    rows: DataFrame, group: str, date: str, value: str, order: str, carried: Sequence[str] = ()
+) -> DataFrame:
+    """At every date found in the table, the best row of each group so far (from the group's first date on)."""
+    days = rows.filter(F.col(date).isNotNull()).select(F.col(date).cast("date").alias("date")).distinct()
+    return as_of(best_intervals(rows, group, date, value, order, carried), days)
+
+
 def carry_last_forward(curve: DataFrame, group: str) -> DataFrame:
     """Repeat the last row of each group at the latest date of the whole curve."""
     latest = curve.agg(F.max("date")).scalar()
+    following = F.lead("date").over(Window.partitionBy(group).orderBy("date"))
+    own = F.array(F.struct(F.col("date"), F.lit(False).alias("is_carried")))
+    again = F.array(F.struct(latest.alias("date"), F.lit(True).alias("is_carried")))
     others = [c for c in curve.columns if c not in (group, "date")]
-    last = (
-        curve.groupBy(group)
-        .agg(F.max_by(F.struct(*others), F.col("date")).alias("_last"))
-        .select(group, latest.alias("date"), "_last.*")
-    )
-    return curve.withColumn("is_carried", F.lit(False)).unionByName(last.withColumn("is_carried", F.lit(True)))
+    times = F.when(F.col("_next").isNull(), F.concat(own, again)).otherwise(own)
+    copies = curve.withColumn("_next", following).withColumn("_at", F.explode(times))
+    return copies.select(group, "_at.date", *others, "_at.is_carried")
 
 
 def initial_performance(

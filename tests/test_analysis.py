@@ -183,6 +183,35 @@ def test_quantiles_against_numpy(spark, cuts):
     assert (box["wide"].whisker_low, box["wide"].whisker_high) == (inside.min(), inside.max())
 
 
+def test_a_crowded_cell_is_cut_again(spark):
+    """A million distinct values of one group, two cuts, and a task may rank a thousand rows; frequent values and outliers beside them."""
+    rows = spark.range(1_000_000).select(F.lit("all").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(1_000_000)) / 8).alias("v"))
+    odd = [("odd", x) for x in [3.0] * 4000 + [float(i) for i in range(3000)] + [1e300, -1e300, float("inf")] * 3]
+    df = rows.unionByName(spark.createDataFrame(odd, "k string, v double"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {r.k: r for r in quantiles.group_quantiles(df, ["k"], "v", shares[1:5], cuts=2, rows=1000).collect()}
+    assert got["all"].quantiles == pytest.approx(list(np.quantile(np.arange(1_000_000) / 8, shares[1:5])), rel=1e-12)
+    assert got["odd"].quantiles == pytest.approx(list(np.quantile([x for _, x in odd], shares[1:5])), rel=1e-12)
+    assert (got["all"].n, got["odd"].n) == (1_000_000, len(odd))
+    for cuts in (2, 50):
+        box = {r.k: r for r in quantiles.quartile_summary(df, ["k"], "v", cuts, 1000).collect()}
+        for k, values in (("all", np.arange(1_000_000) / 8), ("odd", np.array([x for _, x in odd]))):
+            q1, q3 = np.quantile(values, [0.25, 0.75])
+            inside = values[(values >= q1 - 1.5 * (q3 - q1)) & (values <= q3 + 1.5 * (q3 - q1))]
+            assert (box[k].whisker_low, box[k].whisker_high) == (inside.min(), inside.max())
+
+
+def test_intervals_follow_changes(spark):
+    days = [D(2024, m, d) for m in (1, 2, 3) for d in range(1, 29)] + [D(2026, 6, 1)]
+    rows = [("a", d, 1.0 if i < 40 else 2.0, i) for i, d in enumerate(days)] + [("b", days[50], 5.0, 0), ("b", None, 9.0, 1), ("c", days[0], None, 2)]
+    df = spark.createDataFrame(rows, "g string, d date, v double, o int")
+    found = [tuple(r) for r in frontier.best_intervals(df, "g", "d", "v", "o").orderBy("g", "date").select("g", "date", "until", "v", "o").collect()]
+    assert found == [("a", days[0], days[40], 1.0, 0), ("a", days[40], None, 2.0, 40), ("b", days[50], None, 5.0, 0)]
+    held = {(r.g, r.date): (r.v, r.o) for r in frontier.best_as_of(df, "g", "d", "v", "o").collect()}
+    want = {("a", d): (1.0, 0) if i < 40 else (2.0, 40) for i, d in enumerate(days)} | {("b", d): (5.0, 0) for d in days[50:]}
+    assert held == want
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert quantiles.median_rank(df, ["k"], "v").count() == 0
