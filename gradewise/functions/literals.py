@@ -39,19 +39,28 @@ def map_get(arguments: Column, key: str, default: str | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-# A quoted text is matched whole, so a constant inside it is never taken for one.
-_TOKENS = r"""('[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*")|\b(None|True|False)\b"""
-_CONSTANTS = {"None": "null", "True": "true", "False": "false"}
+_QUOTED = r"""'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*\""""
+# A quoted text is matched whole, so nothing inside it is taken for a constant or a bracket.
+_TOKENS = rf"({_QUOTED})|(\b(?:None|True|False)\b|\(|,?\s*\))"
+_CONSTANTS = {"None": "null", "True": "true", "False": "false", "(": "["}
+# A flat tuple: empty, or with a comma after its first value, which tells it from a value in brackets.
+_TUPLE = r"\(\s*\)|\([^()\[\]{},]+,[^()\[\]{}]*\)"
 _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
 def python_literal_to_json(text: Column) -> Column:
-    """Rewrite Python's constants; single quotes are left to the JSON reader, which accepts them."""
+    """Rewrite Python's constants and flat tuples; single quotes are left to the JSON reader, which accepts them.
+
+    Text with other round brackets (nested tuples, values in brackets) is not rewritten there, so the reader rejects it.
+    """
     marked = F.regexp_replace(text, _TOKENS, "$1\u0001$2\u0002")
     plain = F.replace(marked, F.lit("\u0001\u0002"), F.lit(""))
     for name, constant in _CONSTANTS.items():
         plain = F.replace(plain, F.lit(f"\u0001{name}\u0002"), F.lit(constant))
-    return F.when(text.rlike("None|True|False"), plain).otherwise(text)
+    plain = F.regexp_replace(plain, "\u0001,?\\s*\\)\u0002", "]")
+    unquoted = F.when(text.contains("("), F.regexp_replace(text, _QUOTED, "''"))
+    other = F.regexp_replace(unquoted, _TUPLE, "").rlike("[()]")
+    return F.when(F.coalesce(other, F.lit(False)), text).when(text.rlike(r"None|True|False|\("), plain).otherwise(text)
 
 
 def _literal_reader():
@@ -68,7 +77,7 @@ def _literal_reader():
         return json.dumps({str(k): v for k, v in value.items()}, default=str) if isinstance(value, dict) else None
 
     def read_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(read, na_action="ignore")
+        return texts if texts.isna().all() else texts.map(read, na_action="ignore")
 
     return F.pandas_udf(read_batch, StringType())
 
@@ -86,13 +95,10 @@ def parse_dict_literal(text: Column, python_fallback: bool = True) -> Column:
 
 
 def with_parsed_args(df: DataFrame, column: str, into: str) -> DataFrame:
-    """`parse_dict_literal` as a step of its own. Only rows whose text the built-in reader rejects pass through Python."""
-    read = F.from_json(python_literal_to_json(F.col(column)), MAP, _JSON_OPTIONS)
-    staged = df.withColumn(into, read)
-    rejected = F.col(into).isNull() & F.col(column).isNotNull()
-    plain = staged.filter(~rejected).withColumn(into, F.coalesce(into, empty_map()))
-    literal = F.from_json(_literal_reader()(F.col(column)), MAP)
-    return plain.unionByName(staged.filter(rejected).withColumn(into, F.coalesce(literal, empty_map())))
+    """`parse_dict_literal` as a step of its own: one scan, every text read once, rows in their order. Python gets the rejected texts alone."""
+    staged = df.withColumn(into, F.from_json(python_literal_to_json(F.col(column)), MAP, _JSON_OPTIONS))
+    rejected = F.when(F.col(into).isNull(), F.col(column))
+    return staged.withColumn(into, F.coalesce(into, F.from_json(_literal_reader()(rejected), MAP), empty_map()))
 
 
 def canonical_value(value: Column) -> Column:
