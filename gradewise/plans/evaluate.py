@@ -13,20 +13,25 @@ from gradewise.operators.runs import (
 )
 from gradewise.operators.scoring import run_rows
 from gradewise.sources.dimensions import baselines_table, publication_dates, read_model_metadata, read_model_prices
-from gradewise.sources.logs import read_eval_logs, read_runs, successful_logs
+from gradewise.sources.logs import counted_logs, log_rejects, read_eval_logs, read_runs, scan_logs
 from gradewise.sources.questions import read_jsonl, read_question_set, valid_lines
-from gradewise.sources.sinks import write_dated_csv, write_runs
+from gradewise.sources.sinks import Publication, write_csv, write_runs
 
 
 def runs_from_logs(spark: SparkSession, path: str) -> DataFrame:
     """Scored run rows of every successful log, with one `task` and one `task_args` per directory."""
-    rows = run_rows(successful_logs(read_eval_logs(spark, path)))
+    rows = run_rows(counted_logs(scan_logs(spark, path)))
     return harmonize(rows, ["directory"], ["task", "task_args"])
 
 
-def store_runs(spark: SparkSession, log_path: str, out: str) -> None:
-    """Convert the small log files once; everything later reads the stored table."""
+def store_runs(spark: SparkSession, log_path: str, out: str, rejects: str | None = None) -> None:
+    """Convert the small log files once; everything later reads the stored table.
+
+    `rejects` is where the report of the files that do not count goes, as CSV; it is read without scoring anything.
+    """
     write_runs(runs_from_logs(spark, log_path), out)
+    if rejects:
+        write_csv(log_rejects(scan_logs(spark, log_path)), rejects)
 
 
 def cost_of_logs(spark: SparkSession, log_path: str, price_file: str) -> DataFrame:
@@ -82,17 +87,23 @@ def computed_baselines(spark: SparkSession, lab_bench: str | None = None, vct: s
 
 
 def publish(spark: SparkSession, runs_root: str, out: str, price_file: str, notable: str, large_scale: str,
-            include_cost: bool = False, lab_bench: str | None = None, vct: str | None = None) -> tuple[str, str]:
-    """Combine all stored run files and write the dated tables of runs, of files per group and the summary; returns the paths of
-    runs and summary.
+            include_cost: bool = False, lab_bench: str | None = None, vct: str | None = None,
+            logs: str | None = None) -> tuple[str, str]:
+    """Combine all stored run files and publish the dated tables of runs, of files per group and the summary together; returns the paths
+    of runs and summary. `sinks.published` gives the paths of the last complete state.
 
-    `lab_bench` and `vct` are the question sets from which the random baselines of their benchmarks follow.
+    `lab_bench` and `vct` are the question sets from which the random baselines of their benchmarks follow. With `logs`, the folder of the
+    run logs, the cost per log with its total and the rejected files are published as well.
     """
     runs = enriched_runs(
         spark, read_runs(spark, runs_root), price_file, notable, large_scale, include_cost, computed_baselines(spark, lab_bench, vct)
     )
-    write_dated_csv(sorted_run_files(runs), out, "files")
-    return (
-        write_dated_csv(runs, out, "all_runs"),
-        write_dated_csv(sort_summary(summarize_runs(runs, include_cost=include_cost)), out, "summary"),
-    )
+    state = Publication(spark, out)
+    state.write("files", sorted_run_files(runs))
+    state.write("all_runs", runs)
+    state.write("summary", sort_summary(summarize_runs(runs, include_cost=include_cost)))
+    if logs:
+        state.write("log_costs", cost_of_logs(spark, logs, price_file))
+        state.write("rejected_logs", log_rejects(scan_logs(spark, logs)))
+    paths = state.publish()
+    return paths["all_runs"], paths["summary"]

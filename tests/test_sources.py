@@ -116,6 +116,41 @@ def test_publish_and_read_back(spark, stored, tmp_path):
     assert row.epoch_model_publication_date == dt.date(2024, 5, 13)
 
 
+def test_an_interrupted_publication_leaves_the_last_state(spark, stored, tmp_path, monkeypatch):
+    arguments = (str(stored), str(tmp_path), str(stored / "models.tsv"), str(stored / "notable.csv"), str(stored / "large.csv"))
+    assert sinks.published(spark, str(tmp_path)) == {}
+    first = evaluate.publish(spark, *arguments)
+    state = sinks.published(spark, str(tmp_path))
+    assert set(state) == {"files", "all_runs", "summary"} and (state["all_runs"], state["summary"]) == first
+
+    def broken(*_, **__):
+        raise OSError("disk is gone")
+
+    with monkeypatch.context() as patch:  # breaks off after two of three tables
+        patch.setattr(evaluate, "sort_summary", broken)
+        with pytest.raises(OSError):
+            evaluate.publish(spark, *arguments)
+    assert sinks.published(spark, str(tmp_path)) == state
+    assert spark.read.option("header", True).csv(state["files"]).count() == 20
+    again = evaluate.publish(spark, *arguments)
+    now = sinks.published(spark, str(tmp_path))
+    assert (now["all_runs"], now["summary"]) == again and now["summary"] != state["summary"]
+    assert spark.read.option("header", True).csv(state["summary"]).count() == spark.read.option("header", True).csv(now["summary"]).count()
+
+
+def test_costs_and_rejects_are_published(spark, stored, tmp_path):
+    import logs as invented
+
+    tree = invented.tree(tmp_path / "logs")
+    evaluate.publish(
+        spark, str(stored), str(tmp_path / "out"), str(stored / "models.tsv"), str(stored / "notable.csv"), str(stored / "large.csv"), logs=tree
+    )
+    state = sinks.published(spark, str(tmp_path / "out"))
+    costs = spark.read.option("header", True).csv(state["log_costs"])
+    assert [r.is_total for r in costs.filter("filename is null").collect()] == ["1"] and costs.count() == 5
+    assert [r.reject for r in spark.read.option("header", True).csv(state["rejected_logs"]).collect()] == ["status error"]
+
+
 def test_files_of_a_large_group(spark, stored, tmp_path):
     rows = logs.read_runs(spark, str(stored))
     assert runs.run_files(rows).count() == 20
