@@ -15,6 +15,9 @@ RECOMMENDED = {
     # run logs are many small files: pack them instead of one task per file
     "spark.sql.files.openCostInBytes": str(256 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # keyed state of streams on disk, with changes written per batch
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

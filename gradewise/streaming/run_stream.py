@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from gradewise import schemas
 from gradewise.functions.measures import truncate_int
@@ -54,32 +55,76 @@ def stream_summary(runs: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFra
     )
 
 
+def _table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The Parquet table at `path`, or none where nothing has been written."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _append(rows: DataFrame, out: str) -> None:
+    rows.write.mode("append").partitionBy("prompt_schema", "benchmark").parquet(out)
+
+
 def append_new_runs(rows: DataFrame, out: str) -> None:
     """Append the runs that the stored table does not have yet. Doing it twice changes nothing."""
-    spark = rows.sparkSession
     key = run_key().alias("_key")
     new = rows.withColumn("_key", key).dropDuplicates(["_key"])
-    try:
-        stored = spark.read.schema(rows.schema).parquet(out)
-        known = stored.select(key)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = None
-    if known is not None:
-        new = new.join(known, "_key", "left_anti")
-    new.drop("_key").write.mode("append").partitionBy("prompt_schema", "benchmark").parquet(out)
+    stored = _table(rows.sparkSession, out, rows.schema)
+    if stored is not None:
+        new = new.join(stored.select(key), "_key", "left_anti")
+    _append(new.drop("_key"), out)
+
+
+def append_batch(rows: DataFrame, batch: int, out: str, notes: str) -> None:
+    """Append a micro-batch of runs whose keys the stream has not had before; `rows` has the key as `_key`.
+
+    Before a batch is appended it is noted. A batch that is noted already was broken off, so its rows are compared with the stored table;
+    no other batch reads the table, and what a batch reads doesn't grow with it. Runs from before the stream's state are known by the keys in
+    `notes`, written once at the start.
+    """
+    spark = rows.sparkSession
+    begun = _table(spark, f"{notes}/begun", StructType.fromDDL("batch bigint"))
+    if begun is not None and not begun.filter(F.col("batch") == batch).isEmpty():
+        append_new_runs(rows.drop("_key"), out)
+        return
+    earlier = _table(spark, f"{notes}/earlier", StructType.fromDDL("_key string"))
+    if earlier is not None:
+        rows = rows.join(earlier, "_key", "left_anti")
+    spark.range(batch, batch + 1).select(F.col("id").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{notes}/begun")
+    _append(rows.drop("_key"), out)
 
 
 def write_run_stream(runs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append run rows to a Parquet table; `checkpoint` must be on storage that all executors share.
 
-    Every run is kept whatever its age and order of arrival: runs are compared by key with the stored table, of which only the
-    key's columns are read, and not with a watermark. A batch that is run again after a failure finds its rows stored.
+    Every run is kept whatever its age and order of arrival, and once: the keys of all runs so far are keyed state of the stream (in RocksDB
+    where the session has its provider, see `session.RECOMMENDED`), so a batch looks up its own keys and reads no history. No watermark
+    decides whether a run counts. A stream that starts with a new checkpoint beside a stored table first writes the table's keys down once.
     """
+    spark, notes = runs.sparkSession, f"{checkpoint.rstrip('/')}-notes"
+    if not _is_known(spark, f"{checkpoint.rstrip('/')}/metadata"):
+        stored = _table(spark, out, runs.schema)
+        if stored is not None:
+            stored.select(run_key().alias("_key")).distinct().write.mode("overwrite").parquet(f"{notes}/earlier")
     return (
-        runs.writeStream.foreachBatch(lambda rows, _: append_new_runs(rows, out))
+        runs.withColumn("_key", run_key())
+        .dropDuplicates(["_key"])
+        .writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, out, notes))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _is_known(spark: SparkSession, path: str) -> bool:
+    """Has the stream been started with this checkpoint before?"""
+    try:
+        return not spark.read.text(path).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False

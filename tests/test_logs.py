@@ -151,3 +151,57 @@ def test_stream_summary(spark, root):
     query.awaitTermination(120)
     got = spark.table("summary_out").filter("prompt_schema = 'zero_shot' and benchmark = 'gpqa'").collect()
     assert sorted(r.num_runs for r in got) == [1, 2]
+
+
+def keys_of(spark, out):
+    return sorted(r.run_id for r in spark.read.parquet(out).select("run_id").collect())
+
+
+def test_stream_reads_no_history(spark, root, tmp_path, monkeypatch):
+    """A batch is compared with the stored table only when it was broken off before."""
+    compared = []
+    whole = run_stream.append_new_runs
+    monkeypatch.setattr(run_stream, "append_new_runs", lambda rows, out: (compared.append(1), whole(rows, out)))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for _ in range(2):  # the second start finds its state and no new log
+        run_stream.write_run_stream(run_stream.stream_runs(run_stream.stream_eval_logs(spark, root, 2)), out, state).awaitTermination(240)
+    assert keys_of(spark, out) == ["a", "b", "d", "e", "f", "g"] and not compared
+
+    rows = scoring.run_rows(source.successful_logs(source.read_eval_logs(spark, root))).withColumn("_key", run_stream.run_key())
+    more = rows.withColumn("run_id", F.concat("run_id", F.lit("-2"))).withColumn("_key", F.col("run_id"))
+    notes = str(tmp_path / "notes")
+    run_stream.append_batch(more.filter("run_id < 'c'"), 7, out, notes)
+    run_stream.append_batch(more.filter("run_id < 'c'"), 7, out, notes)  # run again: its rows are there
+    assert compared == [1]
+    run_stream.append_batch(more.filter("run_id > 'c'"), 8, out, notes)
+    assert compared == [1] and len(keys_of(spark, out)) == 12 == len(set(keys_of(spark, out)))
+
+
+def test_files_are_rows_or_rejects(spark, tmp_path):
+    root = tmp_path / "logs"
+    logs.tree(root)
+    folder = root / "zero_shot" / "gpqa" / "gpt-4o"
+    (folder / "empty.json").write_text(" ")
+    (folder / "broken.json").write_text('{"status": "success", "eval": {"task"')
+    (folder / "bytes.json").write_bytes(b"\xff\xfe\x00 no json")
+    (folder / "list.json").write_text("[]")
+    (folder / "large.json").write_text('{"status": "success", "samples": []}' + " " * 50_000)
+    (folder / "notes.txt").write_text("not a log")
+    scanned = source.scan_logs(spark, str(root), largest=40_000)
+    counted, rejects = source.counted_logs(scanned), source.log_rejects(scanned)
+    assert counted.count() + rejects.count() == 7 + 5
+    assert {r.filename: r.reject for r in rejects.collect()} == {
+        "empty.json": "unreadable", "broken.json": "unreadable", "bytes.json": "unreadable", "list.json": "unreadable", "large.json": "too large",
+        logs.name(2): "status error",
+    }
+    plain = source.successful_logs(source.read_eval_logs(spark, str(root))).filter("filename NOT IN ('large.json', 'broken.json')")
+    assert counted.columns == plain.columns
+    scored = [scoring.run_rows(rows).drop("directory", "results_generated_time") for rows in (counted, plain)]
+    assert sorted(map(str, scored[0].collect())) == sorted(map(str, scored[1].collect()))
+    evaluate.store_runs(spark, str(root), str(tmp_path / "runs"), str(tmp_path / "rejects"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "rejects")).count() == 5
+
+    stream = source.log_rejects(source.scan_logs(spark, str(root), stream=True, files_per_batch=3, largest=40_000))
+    query = stream.writeStream.format("memory").queryName("rejects_out").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert {tuple(r) for r in spark.table("rejects_out").collect()} == {tuple(r) for r in rejects.collect()}
