@@ -15,7 +15,6 @@ from gradewise.operators.retrieval import RETRIEVER_ALIASES, RETRIEVERS
 from gradewise.operators.samples import MAPPERS
 
 CONTROL_KEYS = ("enabled", "runs")
-MATRIX_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -213,9 +212,9 @@ def run_matrix(benchmarks: DataFrame, models: DataFrame) -> DataFrame:
 
     `models(model_key, model, default_settings, settings, rag)` and `benchmarks(benchmark, runs, args)` may be of any size; every
     benchmark is asked for every model, so the output is their product by its meaning. The side of the models is dealt over
-    `MATRIX_PARTS` keys and the benchmarks are repeated once per key, which makes it an ordinary join that no task holds alone.
+    as many keys as a shuffle has partitions and the benchmarks are repeated once per key, which makes it an ordinary join that no task holds alone.
     """
-    parts = F.lit(MATRIX_PARTS)
+    parts = F.lit(max(1, int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     entries = models.select(
         F.pmod(F.xxhash64("model_key", "model"), parts).alias("_part"),
         "model_key",

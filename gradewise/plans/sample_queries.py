@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradewise import fixed_values as fixed
 from gradewise.functions import dates, literals
 from gradewise.functions.labels import letter_index
-from gradewise.operators import prompts, retrieval, samples, sampling, validate
+from gradewise.operators import prompts, retrieval, samples, sampling, scoring, validate
 from gradewise.plans.catalog import Tables, big, query, text_of
 from gradewise.sources import questions
 
@@ -245,7 +245,7 @@ FROM p
 def first_match(t: Tables):
     """First path part that begins with a digit, and where it stands."""
     parts = F.split("url", "/")
-    hit = F.get(F.filter(parts, lambda p: p.rlike("^[0-9]")), F.lit(0))
+    hit = scoring.first_match(parts, lambda p: p.rlike("^[0-9]"))
     return t.pages.select("page_id", hit.alias("first_number"), big(F.array_position(parts, hit) - 1).alias("first_position"))
 
 
@@ -675,3 +675,90 @@ def retrieve_vector(t: Tables):
     corpus = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
     ranked = retrieval.retrieve("vector", asked, corpus, k=5, exclude_self=True)
     return ranked.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "retrieve_vector_near",
+    "SELECT count(*)::BIGINT AS n_questions, least(count(*) - 1, 5) * count(*)::BIGINT AS n_wanted, true AS is_recall_reached FROM embeddings",
+)
+def retrieve_vector_near(t: Tables):
+    """How much of the exact result the approximate retrieval finds for all vectors as questions: 0.9 or more."""
+    asked = t.embeddings.select(F.col("vec_id").alias("question_id"), "embedding")
+    corpus = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    exact = retrieval.retrieve("vector", asked, corpus, k=5, exclude_self=True).select("question_id", "doc_id")
+    near = retrieval.retrieve("vector_near", asked, corpus, k=5, exclude_self=True).select("question_id", "doc_id", F.lit(True).alias("is_found"))
+    return exact.join(near, ["question_id", "doc_id"], "left").agg(
+        F.count_distinct("question_id").alias("n_questions"),
+        F.count(F.lit(1)).alias("n_wanted"),
+        (F.count("is_found") >= 0.9 * F.count(F.lit(1))).alias("is_recall_reached"),
+    )
+
+
+@query(
+    "complete_arguments",
+    """
+WITH e AS (SELECT user_id % 2 AS f, event_type, user_id % 3 AS n FROM events)
+SELECT CASE f WHEN 0 THEN 'wmdp' ELSE 'vct' END AS benchmark,
+       'cot=' || (event_type = 'click')::VARCHAR || CASE f WHEN 0 THEN '' ELSE ',mode=mr' END || ',n_shot=' || CASE n WHEN 0 THEN '0' ELSE n::VARCHAR END
+       || ',split=' || CASE f WHEN 0 THEN 'test,subset=' || CASE event_type WHEN 'view' THEN 'wmdp-chem' ELSE 'wmdp-bio' END ELSE 'all,subtasks=all' END AS args,
+       count(*)::BIGINT AS n
+FROM e GROUP BY ALL
+""",
+)
+def complete_arguments(t: Tables):
+    """Requests with names left out, null or in another case, as a run uses them."""
+    user, kind = F.col("user_id"), F.col("event_type")
+    is_first = user % 2 == 0
+    shots = F.when(user % 3 != 0, text_of(user % 3))
+    flag = F.when(kind == "click", F.lit("True")).otherwise(F.lit("FALSE"))
+    first = F.create_map(F.lit("cot"), flag, F.lit("subset"), F.when(kind == "view", F.lit("wmdp-chem")).otherwise(F.lit("wmdp-bio")))
+    second = F.create_map(F.lit("cot"), flag, F.lit("mode"), F.lit("mr"))
+    given = F.when(is_first, first).otherwise(second)
+    requests = t.events.select(
+        F.when(is_first, F.lit("wmdp")).otherwise(F.lit("vct")).alias("benchmark"),
+        F.when(shots.isNull(), given).otherwise(F.map_concat(given, F.create_map(F.lit("n_shot"), shots))).alias("args"),
+    )
+    complete = validate.complete_arguments(requests)
+    return complete.groupBy("benchmark", _map_text(F.col("args")).alias("args")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "registered_samples",
+    """
+WITH r AS (SELECT p_name AS input, chr((65 + p_size % 4)::INT) AS target, p_brand || '|' || p_type || '|x|y' AS choices, p_partkey % 2 AS f FROM part)
+SELECT CASE f WHEN 0 THEN 'mmlu' ELSE 'wmdp' END AS benchmark, input, target, choices, count(*)::BIGINT AS n FROM r GROUP BY ALL
+""",
+)
+def registered_samples(t: Tables):
+    """Records of two benchmarks, mapped by the names under which their mappers are registered."""
+    records = t.part.select(
+        F.col("p_name").alias("question"), F.array("p_brand", "p_type", F.lit("x"), F.lit("y")).alias("choices"),
+        (F.col("p_size") % 4).alias("answer"), F.col("p_brand").alias("subject"), "p_partkey",
+    )
+    rows = [samples.to_samples(name, records.filter(F.col("p_partkey") % 2 == f).drop("p_partkey")) for f, name in enumerate(("mmlu", "wmdp"))]
+    return (
+        rows[0].unionByName(rows[1])
+        .groupBy("benchmark", "input", F.get("target", F.lit(0)).alias("target"), F.array_join("choices", "|").alias("choices"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query(
+    "n_shot_guard",
+    """
+WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT lang, shots AS n_shot, n > shots AS is_enough FROM n, (SELECT unnest([0, 5, 100, 100000]) AS shots)
+""",
+)
+def n_shot_guard(t: Tables):
+    """For the samples of each language: is there a run with so many examples, or is it refused?"""
+    langs = [r.lang for r in t.documents.select("lang").distinct().collect()]  # four
+
+    def is_enough(lang: str, n: int) -> bool:
+        try:
+            return sampling.check_n_shot(t.documents.filter(F.col("lang") == lang), n) is not None
+        except ValueError:
+            return False
+
+    rows = [(lang, n, is_enough(lang, n)) for lang in langs for n in (0, 5, 100, 100_000)]
+    return t.spark.createDataFrame(rows, "lang string, n_shot int, is_enough boolean")

@@ -8,7 +8,7 @@ from gradewise.functions.answers import extract_answer, is_correct_multi, is_cor
 from gradewise.functions.labels import letter
 from gradewise.functions.measures import binomial_stderr
 from gradewise.operators import compare, costing, dims, runs, scoring
-from gradewise.plans.catalog import Tables, big, query, r6
+from gradewise.plans.catalog import Tables, big, query, r6, text_of
 from gradewise.sources.dimensions import baselines_table, publication_dates
 
 
@@ -459,3 +459,36 @@ def array_length_stats(t: Tables):
     """Words as items; documents in one language have no array at all."""
     words = F.when(F.col("lang") != "de", F.split(F.col("text"), " "))
     return compare.array_length_stats(t.documents.select(words.alias("words")), "words")
+
+
+@query(
+    "log_cost",
+    """
+WITH u AS (SELECT l_orderkey, l_quantity * 1000 AS i, l_linenumber AS o, p_retailprice AS p, l_linenumber AS total, l_returnflag = 'R' AS is_open
+           FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size < 40)
+SELECT l_orderkey::VARCHAR AS directory, round(sum(coalesce(round(p, 2) / 1000000 * i + 2.5::DOUBLE / 1000000 * o, 0)), 8) AS cost,
+       max(total)::BIGINT AS total_samples, max(CASE WHEN NOT is_open THEN total END)::BIGINT AS completed_samples
+FROM u GROUP BY ALL
+""",
+)
+def log_cost(t: Tables):
+    """Lines as logs of an order, each with the usage of a part as model and of a model that no price is known of."""
+    prices = t.part.filter(F.col("p_size") < 40).select(
+        text_of(F.col("p_partkey")).alias("inspect_model_name"),
+        F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("input_cost_per_M_tokens"),
+        F.lit("$2.50").alias("output_cost_per_M_tokens"),
+        F.lit(None).cast("string").alias("cost_per_M_tokens"),
+    )
+    usage = lambda i, o: F.struct(big(i).alias("input_tokens"), big(o).alias("output_tokens"))
+    number = F.col("l_linenumber")
+    logs = t.lineitem.select(
+        text_of(F.col("l_orderkey")).alias("directory"),
+        text_of(number).alias("filename"),
+        F.struct(big(number).alias("total_samples"), F.when(F.col("l_returnflag") != "R", big(number)).alias("completed_samples")).alias("results"),
+        F.struct(
+            F.create_map(
+                text_of(F.col("l_partkey")), usage(F.col("l_quantity") * 1000, number), F.lit("unlisted/model"), usage(number, number)
+            ).alias("model_usage")
+        ).alias("stats"),
+    )
+    return costing.log_cost(logs, prices, ["directory"]).withColumn("cost", F.round("cost", 8))
