@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Str
 BLOCK_BYTES = 64 << 20
 QUERY_BLOCK = 1 << 16
 CORPUS_CHUNK = 8192
-#: Passages of a cell that meet in one task.
-SLOT_ROWS = 1 << 16
+#: Passages of a cell that meet in one task, and of a slot of the exact form at least, where there are so many.
+SLOT_ROWS, LEAST_SLOT_ROWS = 1 << 16, 1 << 13
 #: Rows that the centroids are fitted on, for each cell; every row is indexed.
 SAMPLE_PER_CELL = 128
 MOST_CELLS = 4096
@@ -81,7 +81,8 @@ def _block_searcher(k: int, exclude_self: bool, chunk_rows: int) -> Callable[[It
                 for r, q in enumerate(part) if own else ():
                     if self.names[q] in own:
                         scores[r, own[self.names[q]]] = -np.inf
-                high = (scores >= self.floor[part, None]) & np.isfinite(scores)
+                scores[~np.isfinite(scores)] = -np.inf
+                high = (scores >= self.floor[part, None]) & (scores > -np.inf)
                 if k < scores.shape[1]:
                     high &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
                 r, c = np.nonzero(high)
@@ -173,8 +174,9 @@ def retrieve_exact(
     asked, passages = _asked(questions, question_id, vector), _passages(corpus, doc_id, vector)
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
     blocks = max(1, -(-size["n"] // rows_of_block(size["width"] or 1, query_block)))
-    # as many slots as make one task for each shuffle partition
-    slots = max(1, -(-int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    # as many slots as make one task for each shuffle partition, but none of few passages, as a slot gives k rows per question
+    parts = -(-int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    slots = max(1, min(parts, -(-corpus.count() // LEAST_SLOT_ROWS)))
     grid = {"_cell": F.lit(0), "_blocks": F.lit(blocks), "_slots": F.lit(slots)}
     return best_on_grid(asked.withColumns(grid), passages.withColumns(grid), k, exclude_self, corpus_chunk)
 
