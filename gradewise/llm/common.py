@@ -6,14 +6,15 @@ both are the same document and get the same result. Null texts count as empty te
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewise.storage import kept as stored
+
+__all__ = ["WORD", "count_kind", "found", "keyed", "let", "overlaps", "read", "span_text", "stored", "unpacked", "whole_rows", "with_rows"]
+
 #: A word of a text, as a pattern that Java, Python and RE2 read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,24 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="gradewise-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of our own only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-
-
-def stored(table: DataFrame, name: str) -> DataFrame:
-    """Write `table` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = table.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, th, text, more): the row key and the whole text, null as empty. No other column of `docs` is read."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
