@@ -214,3 +214,22 @@ def test_machine_learns_pairs_without_marginal_link():
     assert np.abs(machine.factors[[insult, group]]).sum(1).min() > 0
     mixed = machine.factors[insult] @ machine.factors[group]
     assert mixed > 0.01, mixed
+
+
+def test_scores_are_sums_over_pairs(spark, given):
+    """The score of a document against the plain sum of the weights of its terms and of the products of all pairs of them."""
+    random = np.random.default_rng(2)
+    docs = given.where("length(text) < 1200").limit(40).unionByName(spark.createDataFrame([(-1, "", "en", "s", 0), (-2, None, "en", "s", 0)], given.schema))
+    on = {r.doc_id: toxicity.features(r.text or "") for r in docs.collect()}
+    used = np.unique(np.concatenate(list(on.values())))[::2]
+    linear, factors = np.zeros(toxicity.BUCKETS), np.zeros((toxicity.BUCKETS, toxicity.FACTORS))
+    linear[used] = random.normal(0, 0.05, len(used))
+    factors[used] = random.normal(0, 0.05, (len(used), toxicity.FACTORS))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.Machine(-1.5, linear, factors)).collect()}
+    assert set(got) == set(on) and len(set(got.values())) > 20
+    for doc, terms in on.items():
+        odds = -1.5 + sum(linear[i] for i in terms)
+        for k, i in enumerate(terms):
+            for j in terms[:k]:
+                odds += float(factors[i] @ factors[j])
+        assert got[doc] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-9), doc
