@@ -1,8 +1,8 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
-A document becomes its token ids and the end id. Full blocks of `size` ids fill a sequence of their own; the rest is one item. Items meet
-in groups of about `GROUP_DOCS` documents, dealt by a keyed digest, so no group grows with the input and no source or group of copies fills
-one. Inside a group, items go in falling length to the first bin that still holds them; the tree of largest free capacities finds it in
+A document becomes its token ids and the end id. Full blocks of `size` ids fill a sequence of their own, so only their checksums travel; the
+rest is one item. Items meet in groups of about `GROUP_DOCS` documents, dealt by a keyed digest, so no group grows with the input and no source
+or group of copies fills one. Inside a group, items go in falling length to the first bin that still holds them; the tree of largest free capacities finds it in
 log(bins) steps. At last the emptiest bins are taken apart to fill the gaps of the others, so a document is cut only if that saves padding.
 
 Results in special cases: a null or empty text is the end id alone; rows that agree in doc_id and text are packed once each; an empty
@@ -48,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
-        self.tokenizer.encode_special_tokens = True
+        # texts with the literal of an added token, which the tokenizer takes out before it splits, are encoded as they are
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         # pieces that begin with a space, in the letters of byte-level vocabularies
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -77,6 +79,11 @@ class Encoder:
         known.update((u, np.array(c.ids, self.kind).tobytes()) for u, c in zip(new, codes, strict=True))
 
     def encode(self, many: list[str], end: int) -> list[bytes]:
+        literal = {i for i, t in enumerate(many) if self.added.search(t)}
+        if literal:
+            plain = iter(self.encode([t for i, t in enumerate(many) if i not in literal], end))
+            whole = lambda t: np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], self.kind).tobytes()
+            return [whole(t) if i in literal else next(plain) for i, t in enumerate(many)]
         parts = [_APART.split(t) if _RUNS.search(t) else t.split(" ") for t in many]
         self.learn({p[0] for p in parts}, False)
         self.learn(set().union(*[p[1:] for p in parts]), True)
@@ -97,26 +104,37 @@ def _encoder(path: str | None) -> Encoder:
     return _ENCODERS[path]
 
 
-def token_items(docs: DataFrame, vocabulary: str | None, size: int, end: int) -> DataFrame:
-    """(doc_id, start, ids, doc_tokens): full blocks and rests of all documents, ids as packed little-endian integers."""
+def token_items(docs: DataFrame, vocabulary: str | None, size: int, end: int, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, ids, ids_crc32, doc_tokens): full blocks and rests of all documents, ids as packed little-endian integers.
+
+    Without `with_ids`, full blocks have no ids but their checksum.
+    """
     rows = keyed(docs).select("doc_id", "text")
-    schema = T.StructType([rows.schema["doc_id"]]).add("start", "long").add("ids", "binary").add("doc_tokens", "long")
+    schema = T.StructType([rows.schema["doc_id"]]).add("start", "long").add("ids", "binary").add("ids_crc32", "long").add("doc_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         width = np.dtype(encoder.kind).itemsize
         for batch in slices(batches):
-            at, start, ids, total = [], [], [], []
+            at, start, ids, crc, total = [], [], [], [], []
             for row, code in enumerate(encoder.encode(texts(batch), end)):
                 n = len(code) // width
                 for s in range(0, n, size):
                     at.append(row)
                     start.append(s)
-                    ids.append(code[s * width : (s + size) * width])
+                    own = code[s * width : (s + size) * width]
+                    crc.append(zlib.crc32(np.frombuffer(own, encoder.kind).astype("<u4").tobytes()))
+                    ids.append(own if with_ids or len(own) < size * width else None)
                     total.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())],
-                names=["doc_id", "start", "ids", "doc_tokens"],
+                [
+                    batch.column("doc_id").take(pa.array(at, pa.int32())),
+                    pa.array(start, pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array(crc, pa.int64()),
+                    pa.array(total, pa.int64()),
+                ],
+                names=["doc_id", "start", "ids", "ids_crc32", "doc_tokens"],
             )
 
     return rows.mapInArrow(run, schema)
@@ -181,8 +199,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end:
     `vocabulary` is a tokenizer file that all executors can read; by default the installed public one.
     """
     groups = max(1, -(-docs.count() // GROUP_DOCS))
-    items = token_items(docs, vocabulary, size, end)
-    deal = F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), F.spark_partition_id())
+    items = token_items(docs, vocabulary, size, end, with_ids)
+    deal = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.spark_partition_id())
     dealt = items.withColumn("grp", F.pmod(deal, F.lit(groups)))
     schema = T.StructType([items.schema["doc_id"]])
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
@@ -192,18 +210,22 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end:
 
     def one_group(key: tuple, table: pa.Table) -> pa.Table:
         grp, kind = key[0].as_py(), _encoder(vocabulary).kind
-        codes = [np.frombuffer(x, kind) for x in table["ids"].to_pylist()]
-        starts, totals = table["start"].to_pylist(), table["doc_tokens"].to_pylist()
-        crc = [zlib.crc32(c.tobytes()) for c in codes]
-        order = sorted(range(len(codes)), key=lambda i: (-len(codes[i]), crc[i], starts[i]))
+        codes = [None if x is None else np.frombuffer(x, kind) for x in table["ids"].to_pylist()]
+        starts, totals, crc = (table[c].to_pylist() for c in ("start", "doc_tokens", "ids_crc32"))
+        lengths = [size if c is None else len(c) for c in codes]
+        order = sorted(range(len(codes)), key=lambda i: (-lengths[i], crc[i], starts[i]))
+        full = sum(n == size for n in lengths)  # each a sequence of its own
+        bins = [[(k, 0, size)] for k in range(full)]
+        bins += [[(full + item, first, n) for item, first, n in b] for b in fill_bins([lengths[i] for i in order[full:]], size)]
         at, rows, ids = [], [], []
-        for number, pieces in enumerate(fill_bins([len(codes[i]) for i in order], size)):
+        for number, pieces in enumerate(bins):
             offset = 0
             for item, first, n in pieces:
                 i = order[item]
-                own = codes[i][first : first + n].astype("<u4")
+                own = codes[i] if n == lengths[i] else codes[i][first : first + n]
                 at.append(i)
-                rows.append((starts[i] + first, n, zlib.crc32(own.tobytes()), totals[i], number * groups + grp, offset))
+                check = crc[i] if n == lengths[i] else zlib.crc32(own.astype("<u4").tobytes())
+                rows.append((starts[i] + first, n, check, totals[i], number * groups + grp, offset))
                 if with_ids:
                     ids.append(own.astype(np.int32))
                 offset += n
