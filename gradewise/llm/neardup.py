@@ -9,10 +9,10 @@ by which all slots are full, so a text costs its shingles plus about slots * log
 Classes. Texts with equal multisets are one node. Nodes that share a band are candidates; links are candidates whose multiset overlap,
 counted on the shingles themselves, is `SIMILARITY` or more; a class is a connected component of links. A crowded bucket, such as that of a
 large group of near copies, is first taken apart by the rare shingles of its members, which loses no link (see `rare_buckets`). Pairs inside a
-bucket are not all emitted: round by round, leaders of each bucket are compared with its members of other components, components merge, a
-leader whose comparisons are complete leaves the bucket, and a bucket with one component left is done. The number of leaders grows fourfold
-each round. What is left once that is little work is compared exhaustively, so every candidate pair is verified or already known to be in
-one class.
+bucket are not all emitted: in `STARS` rounds one leader of each bucket is compared with its members of other components, and components
+merge. What is left of a small bucket is compared pair by pair. A crowded bucket is cut into slices of bounded size, each pair of slices meets
+in one task with its multisets (see `linked_inside`), and only links that join components come out of it. So every candidate pair is verified
+or already known to be in one class, and the rows grow with the members of buckets, not with their pairs.
 
 Results in special cases: null, empty and blank texts have no shingles and are never duplicates; a text of one to four words is one
 shingle; rows that agree in doc_id and text are one document; classes are named by their smallest doc_id (rows without id: by the smallest
@@ -36,14 +36,14 @@ from gradewise.llm.textual import Bounded, mixed, slices, texts, words
 #: 20 bands of 4: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 20 = 3e-5.
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 4, 0.8
 SLOTS = BANDS * ROWS
-#: Rounds go on while the pairs left are more than this and more than twice the rows.
-REST = 20_000
-#: Buckets with more members are taken apart by rare shingles.
+#: Buckets with more members are taken apart by rare shingles, and compared inside tasks.
 CROWD = 8
+#: Members of a slice of a crowded bucket, and shingles of them all.
+SLICE_ROWS, SLICE_SHINGLES = 512, 2_000_000
 #: Keys of this many documents at most are sent to all executors.
 SENT_ROWS = 500_000
-#: Leaders of a bucket in the first round, four times as many in each further one.
-FIRST_LEADERS = 1
+#: Rounds in which a leader of each bucket is compared with its other members.
+STARS = 2
 #: Links that go into one file of the small tables of a round.
 LINKS_A_FILE = 200_000
 
@@ -231,6 +231,76 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def forest(sets: list[np.ndarray], part: np.ndarray, own: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows that are linked and join components: `part` is the component of each row so far. Rows of one slice are compared with
+    each other if all are of one slice, else with those of the other slice."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = df[code] > 1  # what one row has alone is in no overlap
+    code, row = code[shared], row[shared]
+    by_code = row[np.argsort(code, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(df)))])
+    starts = np.searchsorted(row, np.arange(n + 1))
+    cross = bool((own != own[0]).any())
+    _, label = np.unique(part, return_inverse=True)
+    found = []
+    for i in range(n - 1):
+        mine = code[starts[i] : starts[i + 1]]
+        length = edges[mine + 1] - edges[mine]
+        first = np.repeat(edges[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(mine) else length
+        common = np.bincount(by_code[first + np.arange(len(first))], minlength=n)
+        good = (common >= least * (sizes[i] + sizes - common) - 1e-9) & (label != label[i])
+        good[: i + 1] = False
+        if cross:
+            good &= own != own[i]
+        for j in np.flatnonzero(good):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((i, int(j)))
+    return found
+
+
+def linked_inside(now: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join parts inside the buckets of `now` (bucket, node, part, weight, n, shingles).
+
+    A bucket is cut into slices of about `SLICE_ROWS` members and `SLICE_SHINGLES` shingles, and each pair of slices meets in one task.
+    """
+    slices_of = F.ceil(F.greatest(F.col("n") / SLICE_ROWS, F.col("shingles") / SLICE_SHINGLES)).cast("int")
+    whole = now.withColumn("s", slices_of).withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")).cast("int")).join(sets, "node")
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
+        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "elements"
+    )
+    keys = ["bucket", "lo", "hi"]
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["elements"]]
+        node, part, own = (rows[c].to_numpy() for c in ("node", "part", "own"))
+        found = forest(each, part, own, least) if len(each) > 1 else []
+        ends = [node[[p[k] for p in found]].astype(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, parts = None, []
+        for batch in batches:
+            marks = [batch.column(c).to_numpy() for c in keys]
+            starts = [0, *np.flatnonzero(np.any([np.diff(m, prepend=m[:1]) != 0 for m in marks], axis=0)), batch.num_rows]
+            for at, end in zip(starts, starts[1:], strict=False):
+                if at == end:
+                    continue
+                here = tuple(m[at] for m in marks)
+                if here != place and parts:
+                    yield links(parts)
+                    parts = []
+                place = here
+                parts.append(batch.slice(at, end - at))
+        if parts:
+            yield links(parts)
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def merged(parts: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
     """(node, part) after `n_links` links (a, b) have joined parts: smallest labels spread along links, with jumps along labels."""
     files = 1 + n_links // LINKS_A_FILE
@@ -271,41 +341,40 @@ def candidate_parts(docs: DataFrame, nodes: DataFrame, least: float) -> DataFram
     small = members.where(F.col("n") <= CROWD).select("bucket", "node", "weight")
     members = small.unionAll(rare_buckets(sets, crowded, least))
     seen: DataFrame | None = None
-    leaders = FIRST_LEADERS
-    while True:
+    for number in range(STARS + 1):
         now = stored(members.join(parts, "node"), "dup-members")  # with the components so far
-        sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        open_buckets = sizes.where("k > 1")
-        left = open_buckets.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")).first()
-        if not left["rows"]:
+        sizes = now.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("weight").cast("long")).alias("shingles"), F.min("part").alias("p"), F.max("part").alias("q")
+        )
+        is_open = stored(sizes.where("p <> q").drop("p", "q"), "dup-open")
+        if is_open.isEmpty():
             return parts
-        last = left["pairs"] <= max(REST, 2 * left["rows"])
+        now = now.join(is_open, "bucket")
+        last = number == STARS
+        few = now.where(F.col("n") <= CROWD) if last else now
         if last:
-            lead = now.select("bucket", F.col("node").alias("leader"), F.col("weight").alias("lw"), F.col("part").alias("lp"))
+            lead = few.select("bucket", F.col("node").alias("leader"), F.col("weight").alias("lw"), F.col("part").alias("lp"))
             apart = F.col("part") < F.col("lp")
         else:
-            # one leader for each of so many parts of a bucket: the first by a digest that all buckets share
-            place = F.xxhash64("node", F.lit(leaders))
-            slot = F.pmod(F.xxhash64("node", F.lit(leaders), F.lit(1)), F.lit(leaders))
-            lead = now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(place.alias("h"), "node", "weight", "part")).alias("m"))
+            # one leader of each bucket: the first by a digest that all buckets share
+            place = F.xxhash64("node", F.lit(number))
+            lead = now.groupBy("bucket").agg(F.min(F.struct(place.alias("h"), "node", "weight", "part")).alias("m"))
             lead = lead.select("bucket", F.col("m.node").alias("leader"), F.col("m.weight").alias("lw"), F.col("m.part").alias("lp"))
             apart = F.col("part") != F.col("lp")
         near = F.least("weight", "lw") >= F.greatest("weight", "lw") * least - 1e-9
-        pairs = now.join(lead, "bucket").where(apart & near).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
+        pairs = few.join(lead, "bucket").where(apart & near).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs, "dup-pairs")
+        links = linked(pairs, sets, least)
+        if last:
+            links = links.unionAll(linked_inside(now.where(F.col("n") > CROWD), sets, least))
         found = Observation()
-        links = stored(linked(pairs, sets, least).observe(found, F.count(F.lit(1)).alias("n")), "dup-links")
+        links = stored(links.observe(found, F.count(F.lit(1)).alias("n")), "dup-links")
         if found.get["n"]:
             parts = merged(parts, links, found.get["n"])
-        if last:
-            return parts
         seen = pairs if seen is None else seen.union(pairs)
-        done = lead.select("bucket", F.col("leader").alias("node"))
-        members = now.drop("part").join(done, ["bucket", "node"], "left_anti").join(open_buckets.select("bucket"), "bucket", "left_semi")
-        leaders *= 4
+    return parts
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
