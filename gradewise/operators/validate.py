@@ -13,8 +13,11 @@ from gradewise import fixed_values as fixed
 from gradewise.functions.literals import drop_keys, merge_settings
 from gradewise.operators.retrieval import RETRIEVER_ALIASES, RETRIEVERS
 from gradewise.operators.samples import MAPPERS
+from gradewise.operators.sizes import is_small
 
 CONTROL_KEYS = ("enabled", "runs")
+#: Rows of models or benchmarks that are sent whole to the other side of the run matrix.
+SENT_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -211,30 +214,27 @@ def run_matrix(benchmarks: DataFrame, models: DataFrame) -> DataFrame:
     """One row per benchmark, model and run number, with arguments and settings attached.
 
     `models(model_key, model, default_settings, settings, rag)` and `benchmarks(benchmark, runs, args)` may be of any size; every
-    benchmark is asked for every model, so the output is their product by its meaning. The side of the models is dealt over
-    as many keys as a shuffle has partitions and the benchmarks are repeated once per key, which makes it an ordinary join that no task holds alone.
+    benchmark is asked for every model, so the output is their product by its meaning. A side of at most `SENT_ROWS` rows is sent to the other, which is
+    not moved. Where both are larger, the larger side is dealt over as many keys as a shuffle has partitions and the smaller one is repeated once per
+    key, which makes it an ordinary join that no task holds alone.
     """
-    parts = F.lit(max(1, int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    entries = models.select(
-        F.pmod(F.xxhash64("model_key", "model"), parts).alias("_part"),
-        "model_key",
-        "model",
-        merge_settings(F.col("default_settings"), F.col("settings")).alias("settings"),
-        "rag",
-    )
     runs = F.greatest(F.coalesce(F.col("runs"), F.lit(1)), F.lit(0))
-    wanted = (
-        benchmarks.withColumn("_runs", runs)
-        .filter(F.col("_runs") > 0)
-        .select(
-            "benchmark",
-            drop_keys(F.col("args"), *CONTROL_KEYS).alias("args"),
-            "_runs",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("_part"),
-        )
-    )
+    wanted = benchmarks.withColumn("_runs", runs).filter(F.col("_runs") > 0).select("benchmark", drop_keys(F.col("args"), *CONTROL_KEYS).alias("args"), "_runs")
+    entries = models.select("model_key", "model", merge_settings(F.col("default_settings"), F.col("settings")).alias("settings"), "rag")
+    if is_small(models, SENT_ROWS):
+        pairs = wanted.crossJoin(F.broadcast(entries))
+    elif is_small(wanted, SENT_ROWS):
+        pairs = entries.crossJoin(F.broadcast(wanted))
+    else:
+        parts = max(1, int(models.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+        sides = [(wanted, F.xxhash64("benchmark", F.map_entries("args"))), (entries, F.xxhash64("model_key", "model"))]
+        if wanted.count() < entries.count():
+            sides.reverse()
+        (large, key), (small, _) = sides
+        dealt = large.withColumn("_part", F.pmod(key, F.lit(parts).cast("bigint")))
+        pairs = dealt.join(small.withColumn("_part", every), "_part")
     return (
-        wanted.join(entries, "_part")
-        .withColumn("run", F.explode(F.sequence(F.lit(1), F.col("_runs").cast("int"))))
+        pairs.withColumn("run", F.explode(F.sequence(F.lit(1), F.col("_runs").cast("int"))))
         .select("benchmark", "model_key", "model", "run", "args", "settings", "rag")
     )

@@ -302,6 +302,26 @@ def test_configuration_to_run_matrix(spark, tmp_path):
     assert validate.run_matrix(wanted, many).count() == 3 * 200
 
 
+@pytest.mark.parametrize("sent", [None, 0])
+def test_run_matrix_sends_the_smaller_side(spark, monkeypatch, sent):
+    """Few rows of one side are sent to the other, which stays where it is; without sending, the product is the same."""
+    if sent is not None:
+        monkeypatch.setattr(validate, "SENT_ROWS", sent)
+    pair = F.create_map(F.lit("a"), F.col("id").cast("string"), F.lit("runs"), F.lit("9"))
+    for n, m in ((300, 4), (4, 300)):
+        benchmarks = spark.range(n).select(F.concat(F.lit("b"), "id").alias("benchmark"), (F.col("id") % 3).cast("int").alias("runs"), pair.alias("args"))
+        models = spark.range(m).select(
+            F.concat(F.lit("k"), "id").alias("model_key"), F.concat(F.lit("m"), "id").alias("model"),
+            pair.alias("default_settings"), F.create_map(F.lit("runs"), F.lit(None).cast("string")).alias("settings"), F.lit(None).cast("string").alias("rag"),
+        )
+        matrix = validate.run_matrix(benchmarks, models)
+        got = [(r.benchmark, r.model, r.run, r.args, r.settings) for r in matrix.collect()]
+        want = [(f"b{b}", f"m{k}", r, {"a": str(b)}, {"a": str(k)}) for b in range(n) for k in range(m) for r in range(1, b % 3 + 1)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        if sent is None:
+            assert "BroadcastNestedLoopJoin" in matrix._jdf.queryExecution().executedPlan().toString()
+
+
 def test_argument_checks(spark):
     requests = spark.createDataFrame(
         [("gpqa", {"subset": "gpqa_main", "subtasks": '["Biology","Alchemy"]', "n_shot": "5"}), ("wmdp", {"subset": "all", "cot": "True"}),
