@@ -14,16 +14,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
-#: Bytes of question vectors that a task holds, and passages that are multiplied with them at once.
-BLOCK_BYTES = 64 << 20
-QUERY_BLOCK = 1 << 16
+#: Bytes, as double, and rows of question vectors that a task holds; passages that are multiplied with them at once, and their bytes as double.
+BLOCK_BYTES = 32 << 20
+QUERY_BLOCK = 1 << 15
 CORPUS_CHUNK = 8192
+CHUNK_BYTES = 8 << 20
+#: Scores, or distances to centroids, that a task has at once.
+SCORES = 1 << 19
 #: Passages of a cell that meet in one task, and of a slot of the exact form at least, where there are so many.
 SLOT_ROWS, LEAST_SLOT_ROWS = 1 << 16, 1 << 13
 #: Rows that the centroids are fitted on, for each cell; every row is indexed.
@@ -49,20 +53,41 @@ def _of_one_kind(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFram
 def _block_searcher(k: int, exclude_self: bool, chunk_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Reads rows by grid place, questions before passages. Defined inside a function so that it travels to the workers by value."""
     keys, own_columns = list(_KEYS), ["question_id", "doc_id", "score"]
+    most, chunk_bytes = SCORES, CHUNK_BYTES
 
     def matrix(column: pa.Array, width: int) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+    def copies_apart(vectors: np.ndarray, names: pa.Array) -> np.ndarray:
+        """The rows, which come by id, without those that have the same vector as rows of k smaller ids, one more where a question leaves its own out."""
+        _, code = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.itemsize * vectors.shape[1]}")[:, 0], return_inverse=True)
+        if len(code) == code.max() + 1:
+            return np.arange(len(code))
+        order = np.argsort(code, kind="stable")
+        code, name = code[order], pc.dictionary_encode(names).indices.to_numpy()[order]
+        new = np.r_[True, code[1:] != code[:-1]]
+        ids = np.cumsum(new | np.r_[True, name[1:] != name[:-1]])
+        before = ids - ids[new][np.cumsum(new) - 1]
+        return np.sort(order[before < k + exclude_self])
+
+    def in_order(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Products of rows, added up from the first component on, so that copies score the same wherever they are."""
+        scores = np.zeros(len(left))
+        for x, y in zip(left.astype(np.float64).T, right.T, strict=True):
+            scores += x * y
+        return scores
 
     class Best:
-        """The questions of a block and the k best passages of each so far."""
+        """The questions of a block, their vectors in the kind they come in, and the k best passages of each so far."""
 
         def __init__(self, parts: list[pa.RecordBatch], width: int):
-            rows = pa.Table.from_batches(parts).combine_chunks()
-            self.width, self.ids = width, rows["question_id"].combine_chunks()
-            self.vectors = matrix(rows["vector"].combine_chunks(), width)
-            self.length = np.sqrt((self.vectors**2).sum(axis=1))
+            self.width, self.ids = width, pa.chunked_array([p.column("question_id") for p in parts]).combine_chunks()
+            self.vectors = np.concatenate([matrix(p.column("vector"), width) for p in parts])
+            self.length = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors, dtype=np.float64))
             self.floor = np.full(len(self.ids), -np.inf)
-            self.names = self.ids.to_pylist() if exclude_self else []
+            self.rows_of: dict = {}
+            for row, name in enumerate(self.ids.to_pylist() if exclude_self else ()):
+                self.rows_of.setdefault(name, []).append(row)
             self.found, self.done = None, False
 
         def take(self, rows: pa.RecordBatch) -> None:
@@ -72,24 +97,41 @@ def _block_searcher(k: int, exclude_self: bool, chunk_rows: int) -> Callable[[It
             if not len(active):
                 self.done = True
                 return
-            right = matrix(rows.column("vector"), self.width)
-            own = {d: c for c, d in enumerate(rows.column("doc_id").to_pylist())} if exclude_self else {}
+            names = rows.column("doc_id")
+            order = pc.sort_indices(names).to_numpy()  # of equal scores the smaller id comes first
+            right = matrix(rows.column("vector"), self.width)[order]
+            kept = copies_apart(right, names.take(pa.array(order)))
+            names, right = names.take(pa.array(order[kept])), right[kept].astype(np.float64)
+            own_length = np.sqrt((right**2).sum(axis=1))
+            # what products of blocks may differ by from sums in order
+            slack = self.length * own_length[np.isfinite(own_length)].max(initial=0.0) * max(1e-12, 4e-16 * self.width)
+            own = [(r, c) for c, name in enumerate(names.to_pylist()) for r in self.rows_of.get(name, ())] if self.rows_of else []
+            own_row, own_column = np.array(sorted(own), np.int64).reshape(-1, 2).T
             places, columns, found = [], [], []
-            for at in range(0, len(active), 256):
-                part = active[at : at + 256]
-                scores = self.vectors[part] @ right.T
-                for r, q in enumerate(part) if own else ():
-                    if self.names[q] in own:
-                        scores[r, own[self.names[q]]] = -np.inf
-                scores[~np.isfinite(scores)] = -np.inf
-                high = (scores >= self.floor[part, None]) & (scores > -np.inf)
-                if k < scores.shape[1]:
-                    high &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
-                r, c = np.nonzero(high)
-                places.append(part[r])
-                columns.append(c)
-                found.append(scores[r, c])
-            new = pa.table({"q": np.concatenate(places), "doc_id": rows.column("doc_id").take(pa.array(np.concatenate(columns))), "score": np.concatenate(found)})
+            step = max(1, most // len(names))
+            for at in range(0, len(active), step):
+                part = active[at : at + step]
+                scores = self.vectors[part].astype(np.float64) @ right.T
+                mine = slice(*np.searchsorted(own_row, [part[0], part[-1] + 1]))
+                here = np.searchsorted(part, own_row[mine])
+                asked = part[np.minimum(here, len(part) - 1)] == own_row[mine]
+                scores[here[asked], own_column[mine][asked]] = -np.inf
+                high = scores >= (self.floor - slack)[part, None]
+                many = np.flatnonzero(np.count_nonzero(high, axis=1) > k)
+                if len(many):
+                    finite = np.where(np.isfinite(scores[many]), scores[many], -np.inf)
+                    high[many] = finite >= np.partition(finite, -k, axis=1)[:, -k, None] - slack[part[many], None]
+                r, c = np.divmod(np.flatnonzero(high), len(names))
+                real = np.isfinite(scores[r, c])
+                r, c = r[real], c[real]
+                score = np.concatenate([np.zeros(0), *(in_order(self.vectors[part[r[x : x + 4096]]], right[c[x : x + 4096]]) for x in range(0, len(r), 4096))])
+                by = np.lexsort((c, -score, r))
+                r, c, score = r[by], c[by], score[by]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                places.append(part[r[first]])
+                columns.append(c[first])
+                found.append(score[first])
+            new = pa.table({"q": np.concatenate(places), "doc_id": names.take(pa.array(np.concatenate(columns))), "score": np.concatenate(found)})
             whole = new if self.found is None else pa.concat_tables([self.found, new])
             whole = whole.sort_by([("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")]).combine_chunks()
             q = whole["q"].to_numpy()
@@ -119,11 +161,14 @@ def _block_searcher(k: int, exclude_self: bool, chunk_rows: int) -> Callable[[It
                     place, asked, best = here, [], None
                 if marks[-1][a] == 0:
                     asked.append(batch.slice(a, b - a))
-                elif asked and here[1]:
-                    best = Best(asked, here[1]) if best is None else best
-                    for at in range(a, b, chunk_rows):
+                    continue
+                if asked and here[1]:
+                    best, asked = Best(asked, here[1]), []
+                if best is not None:
+                    step = max(1, min(chunk_rows, chunk_bytes // (8 * here[1])))
+                    for at in range(a, b, step):
                         if not best.done:
-                            best.take(batch.slice(at, min(chunk_rows, b - at)))
+                            best.take(batch.slice(at, min(step, b - at)))
         if best is not None:
             yield from best.rows()
 
@@ -205,9 +250,11 @@ def _cell_finder(centroids: np.ndarray, longest: float, probes: int, lift: bool)
             rest = np.zeros(len(vectors))
         return np.hstack([vectors, rest[:, None]])
 
+    rows_at_once = max(1, SCORES // len(centroids))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares = (centroids**2).sum(axis=1)
-        for batch in batches:
+        for batch in (whole.slice(at, rows_at_once) for whole in batches for at in range(0, whole.num_rows, rows_at_once)):
             vectors = batch.column("vector")
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
             distance = squares - 2 * lifted(flat) @ centroids.T

@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,64 @@ def test_near_index_is_stored_and_split(spark, tmp_path, monkeypatch):
     # with all cells visited nothing is missed
     every = retrieval.retrieve_vector_near(asked, corpus, k=5, index=index, probes=32)
     assert {tuple(r)[:2] for r in every.collect()} == {tuple(r)[:2] for r in exact.collect()}
+
+
+def grid_rows(points, asked, block_rows=5000):
+    """Batches as a task of the grid reads them: questions, then passages."""
+    for side, rows in ((0, points[:asked]), (1, points)):
+        for at in range(0, len(rows), block_rows):
+            part = rows[at : at + block_rows]
+            n, width = part.shape
+            same = lambda x: pa.array(np.full(n, x, np.int32))
+            ids = pa.array(np.arange(at, at + n))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(part.ravel()))
+            length = pa.array(np.sqrt((part.astype(float) ** 2).sum(axis=1)))
+            places = [same(0), same(width), same(0), same(0), same(side), length]
+            names = ["_cell", "_width", "_block", "_slot", "_side", "_length", "question_id", "doc_id", "vector"]
+            yield pa.RecordBatch.from_arrays([*places, *((ids, pa.nulls(n, pa.int64())) if side == 0 else (pa.nulls(n, pa.int64()), ids)), lists], names=names)
+
+
+def test_copies_of_vectors_take_no_more_memory():
+    """10,000 copies of each of two vectors: only the smallest ids are kept, and what a task holds doesn't grow with the copies."""
+    two = np.random.default_rng(4).normal(size=(2, 16)).astype(np.float32)
+    points = two[np.arange(20_000) % 2]
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(vectors._block_searcher(3, True, 8192)(grid_rows(points, 2000)))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = (two.astype(float) @ two.astype(float).T).argmax(axis=1)
+    for q in (0, 1, 2, 3, 1998, 1999):
+        want = [d for d in range(12) if d % 2 == best[q % 2] and d != q][:3]
+        assert [r["doc_id"] for r in got if r["question_id"] == q] == want
+    assert len(got) == 6000 and peak < 60e6
+
+
+def test_copies_in_other_blocks_score_the_same():
+    """Equal vectors have equal scores in every task, so that the smaller id wins whatever else is multiplied."""
+    generator = np.random.default_rng(6)
+    points = generator.normal(size=(700, 64)).astype(np.float32)
+    points[350:] = points[:350]
+    points[::7] *= 3
+    points[350::7] = points[:350:7]
+    found = {}
+    for asked, rows, chunk in ((350, 5000, 8192), (131, 77, 50), (3, 700, 13)):
+        for batch in vectors._block_searcher(4, False, chunk)(grid_rows(points, asked, rows)):
+            for r in batch.to_pylist():
+                found.setdefault((r["question_id"], r["doc_id"] % 350), set()).add(r["score"])
+    assert all(len(scores) == 1 for scores in found.values())
+
+
+def test_nearest_cells_are_found_in_slices():
+    """4,096 cells and a batch of 10,000 vectors: the distances of a slice are held, not those of the batch."""
+    generator = np.random.default_rng(7)
+    centroids, points = generator.normal(size=(4096, 9)), generator.normal(size=(10_000, 8))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(10_001) * 8, pa.int32()), pa.array(points.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), lists], names=["doc_id", "vector"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(vectors._cell_finder(centroids, 9.0, 3, False)(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = points * (9.0 / np.linalg.norm(points, axis=1))[:, None]
+    order = np.argsort(((centroids[:, :-1][None] - unit[:50, None]) ** 2).sum(axis=2) + centroids[:, -1] ** 2, axis=1)[:, :3]
+    assert got["doc_id"].to_pylist() == list(range(10_000)) and got["_cells"].to_pylist()[:50] == order.tolist()
+    assert peak < 60e6
