@@ -29,10 +29,13 @@ SIZE, END, GROUP_DOCS = 2048, 1, 1000
 LEAST_CUT = 16
 #: Entries of the cache of encoded words in a worker process.
 CACHE = 700_000
+#: Words that the tokenizer gets as one text; its time per word rises with longer ones.
+CHUNK = 200
 
 # A single space between two characters that aren't space: the tokenizer's own splitting always begins a new piece there.
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
+_SOLID = re.compile(r"\S+").fullmatch
 
 
 def default_vocabulary() -> str:
@@ -59,14 +62,14 @@ class Encoder:
 
     def learn(self, units: set[str], inner: bool) -> None:
         known = self.known[inner]
-        new = sorted(units - known.keys())
+        new = [u for u in units if u not in known]  # a difference of sets would go over all that is known
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = sorted(units)
+            new = list(units)
         if inner:
             # words without space inside are encoded many at a time: the only pieces that begin with a space begin a word
-            whole = [u for u in new if u.split() == [u]]
-            chunks = [whole[k : k + 1000] for k in range(0, len(whole), 1000)]
+            whole = [u for u in new if _SOLID(u)]
+            chunks = [whole[k : k + CHUNK] for k in range(0, len(whole), CHUNK)]
             codes = self.tokenizer.encode_batch_fast(["".join([" " + u for u in c]) for c in chunks], add_special_tokens=False)
             for chunk, code in zip(chunks, codes, strict=True):
                 ids = np.array(code.ids, self.kind)
@@ -85,11 +88,12 @@ class Encoder:
             whole = lambda t: np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], self.kind).tobytes()
             return [whole(t) if i in literal else next(plain) for i, t in enumerate(many)]
         parts = [_APART.split(t) if _RUNS.search(t) else t.split(" ") for t in many]
-        self.learn({p[0] for p in parts}, False)
-        self.learn(set().union(*[p[1:] for p in parts]), True)
-        first, inner = self.known
+        heads = [p.pop(0) for p in parts]
+        self.learn(set(heads), False)
+        self.learn(set().union(*parts), True)
+        first, inner = self.known[0], self.known[1].__getitem__
         last = np.array([end], self.kind).tobytes()
-        return [b"".join([first[p[0]], *[inner[x] for x in p[1:]], last]) for p in parts]
+        return [b"".join([first[h], *map(inner, p), last]) for h, p in zip(heads, parts, strict=True)]
 
 
 _ENCODERS: dict[str | None, Encoder] = {}

@@ -320,3 +320,17 @@ def test_pipeline_keeps_clean_documents(spark):
 
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 14))
+
+
+def test_new_words_are_looked_up_one_by_one():
+    """What is learnt from a batch depends on its own words, not on all that are known."""
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("goes over all known words")
+
+    encoder = packing.Encoder(None)
+    encoder.known = (Known(), Known())
+    texts = ["one two two", "", "a  b\tc\n\nd", " three\x1cfour one"]
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [list(map(int, np.frombuffer(code, encoder.kind))) for code in encoder.encode(texts, 1) + encoder.encode(texts, 1)] == want * 2
