@@ -4,8 +4,8 @@ A text is cut into units (a run of space marks and the word behind it; no piece
 neighbouring symbols wait in an agenda, best score first, ties to the left. A candidate merge is known by its unit, the place of the unit and
 its span, and a keyed digest of these decides whether it is skipped: the same key gives the same pieces on every machine and every retry,
 another `seed` gives others. The place is a digest of text and position, so every occurrence of a word has draws of its own; only without
-dropout does a worker remember segmentations. Short units go through the agenda together, one merge of each at a time; long ones have a heap
-of their own. Characters outside the vocabulary become byte pieces, also the space mark itself where a text holds it, so decoding gives back
+dropout does a worker remember segmentations. Short units go through the agenda together, one merge of each at a time, after which only the
+pairs with new neighbours are looked up; long ones have a heap of their own. Characters outside the vocabulary become byte pieces, also the space mark itself where a text holds it, so decoding gives back
 every text.
 
 Results in special cases: a null or empty text has no pieces; rows that agree in doc_id and text get the same pieces; an empty table gives no
@@ -33,10 +33,12 @@ SPACE, LITERAL = "▁", "\udfff"  # the mark, and a stand-in for the mark as ord
 #: Units of more characters than this have a heap of their own.
 LONG = 48
 #: Units that go through the agenda together.
-TOGETHER = 8192
+TOGETHER = 16384
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_MASK = (1 << 64) - 1
+_MASK, _MASK_32 = (1 << 64) - 1, (1 << 32) - 1
+#: No candidate: behind every entry of an agenda.
+_NONE = np.int64(1 << 62)
 
 
 def default_model() -> str:
@@ -69,10 +71,33 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
         self.pair_list = pairs
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[int(p)] for p in self.pairs], np.int64)
         # rank 0 is the best score; equal scores share a rank
         self.rank = np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
+        # pieces of one character by code point; `none`, behind all ids, is no piece
+        self.none = n
+        self.of_char = np.full(0x110000, n, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        # merges by left and right id: each left one has an offset at which its row of right ones meets no other row's
+        rows: dict[int, list[int]] = {}
+        for pair in pairs:
+            rows.setdefault(pair >> 32, []).append(pair & _MASK_32)
+        room, draw = 4 * len(pairs) + 1, np.random.default_rng(0)
+        self.offset = np.zeros(n + 1, np.int64)
+        self.owner, self.merge = np.full(room + n + 1, -1, np.int64), np.full(room + n + 1, _NONE)
+        for left, rights in sorted(rows.items(), key=lambda x: -len(x[1])):
+            at = np.array(rights, np.int64)
+            while (self.owner[at + self.offset[left]] >= 0).any():
+                self.offset[left] = draw.integers(room)
+            at += self.offset[left]
+            to = np.array([pairs[left << 32 | r] for r in rights], np.int64)
+            self.owner[at], self.merge[at] = left, self.rank[to] << 38 | to
+
+    def candidate(self, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Agenda entries of pairs of ids: rank, start of the left symbol and merged id as one integer; `_NONE` without a merge."""
+        at = self.offset[left] + right
+        return np.where(self.owner[at] == left, self.merge[at] | start << 32, _NONE)
 
     def spelled(self, ch: str) -> list[int]:
         return [int(self.byte[b]) for b in (SPACE if ch == LITERAL else ch).encode("utf-8", "surrogatepass")]
@@ -146,57 +171,98 @@ def encode_long(voc: Vocabulary, unit: str, seed: int, dropout: float) -> list[i
     return out
 
 
-def encode_short(voc: Vocabulary, units: list[str], seeds: list[int] | np.ndarray, dropout: float) -> list[bytes]:
-    """Many units at once: in each round every unit takes the best merge on its agenda, until none has one left.
+def _merged(voc: Vocabulary, ids: np.ndarray, agenda: np.ndarray, seed: np.ndarray, dropout: float) -> None:
+    """Merge the symbols of many units in place: a column is a unit, absorbed symbols become -1. `agenda` is used up.
 
-    Each unit's ids as packed 32-bit integers.
+    A row more than the longest unit has holds no piece, so what lies before the first and behind the last symbol is there. In each round every
+    unit takes the best candidate off its agenda: its draw skips it for good, or it is merged and the two new neighbours are candidates.
     """
-    sizes = np.array([len(u) for u in units])
-    joined = "".join(units)
-    get = voc.ids.get
-    ids = np.array([get(c, -1) for c in joined], np.int64)
-    owner = np.repeat(np.arange(len(units)), sizes)
-    start = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    seed = np.array(seeds, np.uint64)
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(ids):
-        # symbol i joins symbol i + 1 of the same unit
-        same = np.flatnonzero(owner[:-1] == owner[1:])
-        same = same[(ids[same] >= 0) & (ids[same + 1] >= 0)]
-        code = ids[same] << 32 | ids[same + 1]
-        at = np.searchsorted(voc.pairs, code)
-        at[at == len(voc.pairs)] = 0
-        hit = voc.pairs[at] == code
-        same, to = same[hit], voc.merged[at[hit]]
-        if dropout > 0 and len(same):
-            nxt = same + 2
-            inside = nxt < len(ids)
-            nxt[~inside] = 0
-            stop = np.where(inside & (owner[nxt] == owner[same]), start[nxt], sizes[owner[same]])
-            kept = ~_skipped(seed[owner[same]], start[same], start[same + 1], stop, dropout)
-            same, to = same[kept], to[kept]
-        # the best rank of each unit, the leftmost of equals
-        own, n = owner[same], len(same)
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if n else same
-        best = np.minimum.reduceat(voc.rank[to] * n + np.arange(n), first) % n if n else same
-        moving = np.zeros(len(units), bool)
-        moving[owner[same[best]]] = True
-        stay = moving[owner]
-        done.append((owner[~stay], start[~stay], ids[~stay]))
-        ids[same[best]] = to[best]
-        stay[same[best] + 1] = False
-        ids, owner, start = ids[stay], owner[stay], start[stay]
-    owner, start, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, int),) * 3
-    order = np.lexsort((start, owner))
-    owner, start, ids = owner[order], start[order], ids[order]
-    if (ids < 0).any():
-        base = np.cumsum(sizes) - sizes
-        parts = [voc.spelled(joined[base[o] + s]) if i < 0 else [i] for o, s, i in zip(owner, start, ids, strict=True)]
-        owner = np.repeat(owner, [len(p) for p in parts])
-        ids = np.array([x for p in parts for x in p], np.int64)
-    ends = np.searchsorted(owner, np.arange(len(units) + 1)) * 4
-    packed, ends = ids.astype(np.int32).tobytes(), ends.tolist()
-    return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    rows, width = ids.shape
+    flat = ids.reshape(-1)
+    end = np.repeat(np.arange(1, rows + 1), width)
+    before = np.repeat(np.arange(-1, rows - 1), width)
+    units = np.arange(width)
+    while True:
+        best = agenda.min(axis=0)
+        at = np.flatnonzero(best != _NONE)
+        if not len(at):
+            return
+        best = best[at]
+        if 4 * len(at) < 3 * len(units):  # units that are done leave
+            agenda, units = np.take(agenda, at, axis=1), units[at]
+            at = np.arange(len(at))
+        line, wide = agenda.reshape(-1), agenda.shape[1]
+        left, own = best >> 32 & 63, units[at]
+        spot = left * width + own
+        right = end[spot]
+        stop = end[right * width + own]
+        line[left * wide + at] = _NONE
+        if dropout > 0:
+            kept = np.flatnonzero(~_skipped(seed[own], left, right, stop, dropout))
+            best, at, left, own, spot, right, stop = (x[kept] for x in (best, at, left, own, spot, right, stop))
+        to = best & _MASK_32
+        flat[spot], end[spot] = to, stop
+        flat[right * width + own] = -1
+        line[right * wide + at] = _NONE
+        after = stop * width + own
+        before[after] = left
+        line[left * wide + at] = voc.candidate(to, flat[after], left)
+        ahead = before[spot] % rows
+        line[ahead * wide + at] = voc.candidate(flat[ahead * width + own], to, ahead)
+
+
+def encode_units(voc: Vocabulary, units: list[str], which: np.ndarray, seeds: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the pieces of units[which[i]] with seeds[i], one after the other, and where each one's end.
+
+    Units of at most `LONG` characters go through the agenda together, those of like length at once; what an occurrence starts with is made once
+    for each of `units`.
+    """
+    size = np.array([len(u) for u in units], np.int64)
+    points = voc.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    base = np.cumsum(size) - size
+    start = np.arange(len(points)) - np.repeat(base, size)
+    first = np.full(len(points), _NONE)
+    first[:-1] = voc.candidate(points[:-1], points[1:], start[:-1])
+    first[base + size - 1] = _NONE  # units are never empty
+    sizes = size[which]
+    order = np.argsort(sizes.astype(np.int16) if len(size) and size.max() < 1 << 15 else sizes, kind="stable")
+    lengths, done = sizes[order], 0
+    counts, found = np.zeros(len(which), np.int64), []
+    short = int(np.searchsorted(lengths, LONG, "right"))
+    while done < short:
+        ends = min(done + TOGETHER, short, int(np.searchsorted(lengths, lengths[done] * 3 // 2 + 2, "right")))
+        at, done = order[done:ends], ends
+        own = which[at]
+        row = np.arange(lengths[ends - 1] + 1)[:, None]
+        inside = row < sizes[at]
+        cell = np.where(inside, base[own] + row, 0)
+        ids = np.where(inside, points[cell], voc.none)
+        _merged(voc, ids, np.where(inside, first[cell], _NONE), seeds[at], dropout)
+        left = (ids >= 0) & inside
+        odd = (left & (ids == voc.none)).any(axis=0)
+        for k in np.flatnonzero(odd).tolist():
+            parts = [voc.spelled(c) if i == voc.none else [i] for c, i in zip(units[own[k]], ids[:, k].tolist(), strict=False) if i >= 0]
+            found.append((at[k : k + 1], np.array([x for p in parts for x in p], np.int32)))
+            counts[at[k]] = len(found[-1][1])
+        if odd.any():
+            at, ids, left = at[~odd], ids[:, ~odd], left[:, ~odd]
+        counts[at] = left.sum(axis=0)
+        found.append((at, ids.T[left.T].astype(np.int32)))
+    for i in order[short:].tolist():
+        found.append((np.array([i]), np.array(encode_long(voc, units[which[i]], int(seeds[i]), dropout), np.int32)))
+        counts[i] = len(found[-1][1])
+    ends = np.cumsum(counts)
+    out = np.zeros(int(counts.sum()), np.int32)
+    for at, ids in found:
+        n = counts[at]
+        out[np.repeat(ends[at] - np.cumsum(n), n) + np.arange(len(ids))] = ids
+    return out, ends
+
+
+def encode_short(voc: Vocabulary, units: list[str], seeds: list[int] | np.ndarray, dropout: float) -> list[bytes]:
+    """Each unit's ids as packed 32-bit integers."""
+    ids, ends = encode_units(voc, units, np.arange(len(units)), np.array(seeds, np.uint64), dropout)
+    return [x.tobytes() for x in np.split(ids, ends[:-1])] if units else []
 
 
 class Encoder:
@@ -214,35 +280,24 @@ class Encoder:
             return [u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
         return text.split(" ") if text else []
 
-    def segmented(self, units: list[str], seeds: np.ndarray) -> list[bytes]:
-        """Packed ids of every unit, each with its own seed."""
-        units = [SPACE + u for u in units]
-        out = [b""] * len(units)
-        short = [i for i, u in enumerate(units) if len(u) <= LONG]
-        for k in range(0, len(short), TOGETHER):
-            at = short[k : k + TOGETHER]
-            for i, ids in zip(at, encode_short(self.voc, [units[i] for i in at], seeds[at], self.dropout), strict=True):
-                out[i] = ids
-        for i, u in enumerate(units):
-            if len(u) > LONG:
-                out[i] = np.array(encode_long(self.voc, u, int(seeds[i]), self.dropout), np.int32).tobytes()
-        return out
-
     def encode(self, many: list[str], keys: list[int]) -> list[np.ndarray]:
         cut = [self.units(t) for t in many]
         if self.dropout > 0:
-            out = []
-            for units, key in zip(cut, keys, strict=True):
-                places = mixed(np.arange(len(units), dtype=np.uint64) + mixed(np.array([key & _MASK], np.uint64)))
-                out.append(unit_seeds(np.array([self.digest[u] for u in units], np.uint64), places))
+            number: dict[str, int] = {}
+            which = np.array([number.setdefault(u, len(number)) for units in cut for u in units], np.int64)
+            digests = np.array([self.digest[u] for u in number], np.uint64)
+            sizes = np.array([len(units) for units in cut], np.int64)
+            ends = np.cumsum(sizes)
+            place = (np.arange(len(which)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
+            text = np.repeat(mixed(np.array([k & _MASK for k in keys], np.uint64)), sizes)
+            seeds = unit_seeds(digests[which], mixed(place + text))
             # texts meet in one call, since most have few units
-            every = self.segmented([u for units in cut for u in units], np.concatenate([*out, np.zeros(0, np.uint64)]))
-            ends = np.cumsum([0, *map(len, cut)]).tolist()
-            return [np.frombuffer(b"".join(every[a:b]), np.int32) for a, b in zip(ends, ends[1:], strict=False)]
+            ids, behind = encode_units(self.voc, [SPACE + u for u in number], which, seeds, self.dropout)
+            return np.split(ids, np.r_[0, behind][ends[:-1]]) if many else []
         if len(self.known) > CACHE:
             self.known.clear()
         new = list({u for units in cut for u in units} - self.known.keys())
-        self.known.update(zip(new, self.segmented(new, np.zeros(len(new), np.uint64)), strict=True))
+        self.known.update(zip(new, encode_short(self.voc, [SPACE + u for u in new], np.zeros(len(new), np.uint64), 0.0), strict=True))
         return [np.frombuffer(b"".join([self.known[u] for u in units]), np.int32) for units in cut]
 
 

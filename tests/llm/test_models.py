@@ -233,3 +233,16 @@ def test_scores_are_sums_over_pairs(spark, given):
             for j in terms[:k]:
                 odds += float(factors[i] @ factors[j])
         assert got[doc] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-9), doc
+
+
+def test_pieces_look_up_new_neighbours_alone(monkeypatch):
+    """Pairs looked up for many occurrences: those of each distinct word once, then two for each merge, not all pairs again in every round."""
+    voc, units = pieces.vocabulary(None), ["▁" + w for w in "internationalisation the unbelievable é漢🙂 aaaaaaaaaaaaaaaa".split()]
+    which = np.arange(500) % len(units)
+    seeds = np.array([pieces.unit_seed(units[k], i, 3) for i, k in enumerate(which)], np.uint64)
+    seen, plain = [], pieces.Vocabulary.candidate
+    monkeypatch.setattr(pieces.Vocabulary, "candidate", lambda v, left, right, start: (seen.append(len(left)), plain(v, left, right, start))[1])
+    ids, ends = pieces.encode_units(voc, units, which, seeds, 0.1)
+    for k, seed, got in zip(which, seeds, np.split(ids, ends[:-1]), strict=True):
+        assert pieces.encode_long(voc, units[k], int(seed), 0.1) == got.tolist()
+    assert sum(seen) <= sum(map(len, units)) + 2 * sum(len(units[k]) for k in which)
