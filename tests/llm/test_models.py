@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from gradewise.llm import lm, pieces, topk, toxicity
+from gradewise.llm import lm, pieces, textual, topk, toxicity
 
 
 def test_toxicity_held_out(spark):
@@ -246,3 +246,21 @@ def test_pieces_look_up_new_neighbours_alone(monkeypatch):
     for k, seed, got in zip(which, seeds, np.split(ids, ends[:-1]), strict=True):
         assert pieces.encode_long(voc, units[k], int(seed), 0.1) == got.tolist()
     assert sum(seen) <= sum(map(len, units)) + 2 * sum(len(units[k]) for k in which)
+
+
+def test_lm_small_buckets(given, spark):
+    """Words and bigrams that are frequent for the size of a bucket are dealt out, with the same losses; each bigram of a document travels once."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    # copies of one text, and one bigram that makes up most of others
+    more = spark.createDataFrame([(-1 - i, "same text again") for i in range(30)] + [(-100 - i, f"very often {i} " * 50) for i in range(30)], "doc_id long, text string")
+    docs = given.select("doc_id", "text").unionByName(more)
+    rows = lm.with_target(docs, labels)
+    known = lm.frequent(rows, 500)
+    assert len(known.keys["gram"]) and len(known.keys["word"]) > 10 and known.counts["all"][0][1] > 1000
+    one, two = ({r.doc_id: r for r in lm.difference_report(docs, labels, b).collect()} for b in (1 << 40, 500))
+    assert len(one) == len(two) == docs.count()
+    for i, r in one.items():
+        assert two[i].target_loss == pytest.approx(r.target_loss) and two[i].background_loss == pytest.approx(r.background_loss)
+    words = [textual.words(r.text or "") for r in rows.select("th", "target", "text").distinct().collect()]
+    sent = lm.blocks(rows.coalesce(1), known, 7).select(F.sum("n_grams").alias("n")).first().n
+    assert sent <= sum(len(set(zip(["", *w], w, strict=False))) for w in words)
